@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: White space that ends a word, for Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
+#: The same characters, for Python.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 

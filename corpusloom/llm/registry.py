@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, common, linededup, mixing, quality, sharding, warc
+from corpusloom.llm import audio, bpe, common, linededup, mixing, ppm, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    scored = ppm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ~left_out)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
@@ -64,7 +70,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op3_byte_bpe, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
+QUERIES = [op1_ppm_score, op3_byte_bpe, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
 
 #: DuckDB can read these as they stand; others have tests against brute force.
 ORACLES = {
