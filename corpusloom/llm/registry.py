@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, common, linededup, mixing, ppm, quality, sharding, warc
+from corpusloom.llm import audio, bpe, common, linededup, mixing, neardup, ppm, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("train")).drop("train")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
@@ -70,10 +74,20 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_ppm_score, op3_byte_bpe, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
+QUERIES = [op1_ppm_score, op2_jaccard_join, op3_byte_bpe, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
 
 #: DuckDB can read these as they stand; others have tests against brute force.
 ORACLES = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n, sh FROM s),
+x AS (SELECT doc_id, n, unnest(sh) AS t FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(d, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d WHERE r.c < e.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n""",
     "op5_mix_sources": r"""
 WITH RECURSIVE base AS (
   SELECT row_number() OVER () AS r, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
