@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, common, linededup, mixing, neardup, ppm, quality, sharding, warc
+from corpusloom.llm import audio, bpe, common, linededup, mixing, neardup, pii, ppm, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(encoded, vocabulary))
 
 
+def _is_kind(kind: int):
+    return lambda x: x["kind"] == kind
+
+
+def op4_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.span_text("base"), "UTF-8"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -74,7 +84,7 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_ppm_score, op2_jaccard_join, op3_byte_bpe, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
+QUERIES = [op1_ppm_score, op2_jaccard_join, op3_byte_bpe, op4_private_spans, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
 
 #: DuckDB can read these as they stand; others have tests against brute force.
 ORACLES = {
