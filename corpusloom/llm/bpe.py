@@ -14,6 +14,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import common
 
@@ -210,8 +211,8 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, column: str = "
     return encoded.mapInArrow(decode, common.plus(encoded, "decoded binary"))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents with ids and decoded bytes."""
+def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents with ids and decoded bytes, and the columns of ``keep``."""
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +220,9 @@ def digests(decoded: DataFrame) -> DataFrame:
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             ids = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]  # noqa: B905
             raw = [hashlib.sha256(x or b"").hexdigest() for x in batch.column("decoded").to_pylist()]
-            counts = pa.array(np.diff(offsets).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(ids), pa.array(raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in keep)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    chosen = decoded.select("doc_id", "ids", "decoded", *[c for c in keep if c not in ("doc_id", "ids", "decoded")])
+    schema = common.plus(chosen.select("doc_id"), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(digest, T.StructType([*schema.fields, *(chosen.schema[c] for c in keep)]))

@@ -36,7 +36,7 @@ def shuffle_key(epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch.cast("string")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Give every document the words that a mix of all sources takes from it.
 
     Each source's documents come in a shuffled order once an epoch; a copy's virtual finish time is the source's
@@ -44,13 +44,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct
     the words so far stay within the total of the targets. Running sums go in two levels (blocks of the shuffle key,
     then rows of a block), and the cut is found in a histogram of finish times, so no source is gathered in one task.
 
-    Returns doc_id, source, size, source_size (long), target (double), taken (long), a row for each row of ``docs``.
+    Returns doc_id, source, size, source_size (long), target (double), taken (long) and the columns of ``keep``, a row
+    for each row of ``docs``.
     Null text has size 0; null source is a source of its own; null ids and repeated rows are documents as any other
     (rows alike in doc_id, source and size are interchangeable). An empty table gives an empty result.
     """
-    base = common.materialise(docs.select("doc_id", "source", common.word_count().alias("size")))
-    base = base.withColumn("_row", F.monotonically_increasing_id())
-    base = common.materialise(base)
+    base = common.materialise(docs.select("doc_id", "source", common.word_count().alias("size"), F.monotonically_increasing_id().alias("_row"), *keep))
     targets = common.materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_pct, max_epochs))
     copies = base.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
     copies = copies.withColumn("key", shuffle_key(F.col("epoch")))
@@ -79,4 +78,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct
         chosen = timed.where(slot < over["slot"]).unionByName(edge)
     taken = chosen.groupBy(F.col("_row").alias("_r")).agg(F.sum("size").alias("taken"))
     sized = base.join(taken, F.col("_row") == F.col("_r"), "left").join(targets.select(F.col("source").alias("_t"), "source_size", "target"), same(F.col("_t")))
-    return sized.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return sized.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they are.
+
+    Rows without words are never taken. Nulls and repeated rows as in mix_sources.
+    """
+    names = docs.columns
+    keyed = common.materialise(docs.withColumn("_key", F.monotonically_increasing_id()))
+    taken = mix_sources(keyed, weights, share_pct, max_epochs, keep=("_key",)).where("taken > 0")
+    times = taken.select(F.col("_key"), F.expr("cast(taken div size as int)").alias("_times"))
+    copies = keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*[F.col(f"`{n}`") for n in names])
