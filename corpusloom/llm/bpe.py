@@ -136,6 +136,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, size: int = 32_768
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     docs = docs.drop("ids")
     names = docs.columns
+    row_name = common.free_name(docs, "_row")
     long_text = F.char_length("text") > size + overlap
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +175,11 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, size: int = 32_768
     ids_schema = common.plus(docs, "ids array<int>")
     short = docs.where(F.coalesce(~long_text, F.lit(True))).mapInArrow(whole, ids_schema)
     # written, because the row numbers must be the same in both uses below
-    keyed = common.materialise(docs.where(long_text).select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{n}`") for n in names]))
-    chunks = keyed.select("_row", "text").mapInArrow(cut, "_row long, k int, chunk string")
+    keyed = common.materialise(docs.where(long_text).select(F.monotonically_increasing_id().alias(row_name), *[F.col(f"`{n}`") for n in names]))
+    chunks = keyed.select(F.col(row_name).alias("_row"), "text").mapInArrow(cut, "_row long, k int, chunk string")
     chunks = chunks.repartition("_row", "k").mapInArrow(pretokenise, "_row long, k int, chunk string, widths array<int>")
     joined = chunks.groupBy("_row").applyInArrow(join, "_row long, ids array<int>")
-    longs = keyed.join(joined, "_row").select(*[F.col(f"`{n}`") for n in names], "ids")
+    longs = keyed.join(joined.select(F.col("_row").alias(row_name), "ids"), row_name).select(*[F.col(f"`{n}`") for n in names], "ids")
     return short.unionByName(longs)
 
 

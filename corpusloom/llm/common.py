@@ -42,6 +42,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` and more columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

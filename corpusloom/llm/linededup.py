@@ -100,14 +100,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         runs.add(lines.where(F.col("batch") == b).select("h", "doc_id").distinct())
     common_lines = runs.entries().where(F.col("n_docs") >= min_docs)
     lost = lines.select("h", "doc_id").join(common_lines, "h").where(F.col("doc_id") != F.col("owner"))
-    lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_lost"))
-    joined = docs.join(lost, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    id_, lost_ = common.free_name(docs, "_id"), common.free_name(docs, "_lost")
+    lost = lost.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("h").alias(lost_))
+    joined = docs.join(lost, F.col("doc_id") == F.col(id_), "left").drop(id_)
     names = docs.columns
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, keys in zip(batch.column("text").to_pylist(), batch.column("_lost").to_pylist(), strict=True):
+            for text, keys in zip(batch.column("text").to_pylist(), batch.column(lost_).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 if keys:
                     keys = set(keys)

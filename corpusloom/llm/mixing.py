@@ -87,8 +87,9 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct:
     Rows without words are never taken. Nulls and repeated rows as in mix_sources.
     """
     names = docs.columns
-    keyed = common.materialise(docs.withColumn("_key", F.monotonically_increasing_id()))
-    taken = mix_sources(keyed, weights, share_pct, max_epochs, keep=("_key",)).where("taken > 0")
-    times = taken.select(F.col("_key"), F.expr("cast(taken div size as int)").alias("_times"))
-    copies = keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    key, times = common.free_name(docs, "_key"), common.free_name(docs, "_times")
+    keyed = common.materialise(docs.withColumn(key, F.monotonically_increasing_id()))
+    taken = mix_sources(keyed.select("doc_id", "source", "text", key), weights, share_pct, max_epochs, keep=(key,)).where("taken > 0")
+    counted = taken.select(key, F.expr("cast(taken div size as int)").alias(times))
+    copies = keyed.join(counted, key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*[F.col(f"`{n}`") for n in names])
