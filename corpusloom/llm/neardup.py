@@ -7,9 +7,10 @@ pairs are verified on the sets.
 
 A tree over the whole corpus would not fit one task, so documents first meet by rare shingles: under one global order
 (rarest first, by a table of counters of fixed size) two sets that are similar enough must share one of their first
-n - ceil(t n) + 1 shingles. Chains over each such shingle, in order of set size, join documents to families, and the
-tree is built for each family; a large family is cut into tiles of the tree, and tiles meet pair by pair as far as
-the bound of their corners allows.
+n - ceil(t n) + 1 shingles. Points that share such a shingle are compared by the bound, and those that pass make
+families; the tree is built for each family, a large family is cut into tiles of the tree, and tiles meet pair by pair
+as far as the bound of their corners allows. A shingle that very many share joins them in chains of like size instead,
+which puts them into one family without comparing any.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 from corpusloom.llm.graphs import UnionFind, connected_components
 
-GROUPS = 64
+GROUPS = 256
 #: Counters of the popularity table, whose size is fixed. They only set the order of shingles, never a result.
-COUNTER_BITS = 20
+COUNTER_BITS = 22
 PARTS = 64
-#: Points below one node of the R-tree.
+#: Points below one node of the R-tree, and up to how many are compared without one.
 FANOUT = 16
+#: Sharers of a shingle up to which they are compared by the bound at once; more are chained.
+SHARERS = 4096
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -60,6 +63,19 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def point_of(shingles: np.ndarray) -> bytes:
+    """Members of a set by group, as bytes, or as 32-bit numbers where a count is above 255."""
+    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def read_points(packed: list[bytes]) -> np.ndarray:
+    points = np.empty((len(packed), GROUPS), np.int32)
+    for i, x in enumerate(packed):
+        points[i] = np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.int32)
+    return points
+
+
 def popularity(docs: DataFrame, k: int) -> np.ndarray:
     """Number of (document, shingle) pairs that fall on each of 2^COUNTER_BITS counters, over all documents."""
     width = (1 << COUNTER_BITS) // PARTS
@@ -151,24 +167,29 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counters.value
         for batch in common.slices(batches):
-            names, counts, keys = [], [], []
+            names, counts, keys, points = [], [], [], []
             for s in shingle_sets(common.texts_of(batch), k):
                 n = len(s)
                 names.append(set_name(s) if n else None)
                 counts.append(n)
                 first = np.argsort(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[: n - -(-num * n // den) + 1]
                 keys.append(s[first].view(np.int64))
-            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys"])
+                points.append(point_of(s) if n else None)
+            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "point"])
 
-    described = common.materialise(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, node long, n long, keys array<long>"))
+    described = common.materialise(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, node long, n long, keys array<long>, point binary"))
     rows = described.select("doc_id", "node", "n")
     lowest = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     keys = described.where("n > 0").select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    shared = common.materialise(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
+    points = described.select("node", "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    few = shared.where(F.col("m") <= SHARERS).select("key", "node", "n").join(points, "node")
+    near = _bounded_edges(few, num, den)
     by_size = Window.partitionBy("key").orderBy("n", "node")
-    chained = keys.withColumn("b", F.lag("node").over(by_size)).withColumn("m", F.lag("n").over(by_size))
-    chains = chained.where(F.col("b").isNotNull() & (F.col("m") * den >= F.col("n") * num)).select(F.col("node").alias("a"), "b")
-    family = common.materialise(connected_components(chains))
+    chained = shared.where(F.col("m") > SHARERS).withColumn("b", F.lag("node").over(by_size)).withColumn("l", F.lag("n").over(by_size))
+    chains = chained.where(F.col("b").isNotNull() & (F.col("l") * den >= F.col("n") * num)).select(F.col("node").alias("a"), "b")
+    family = common.materialise(connected_components(near.unionByName(chains)))
     wanted = common.materialise(family.join(lowest, "node").select("node", "component", "low"))
     sets = _sets_of(docs, wanted, k, max_broadcast_ids)
     links = _family_links(sets, num, den, tile)
@@ -180,6 +201,50 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect whom the bound can't tell apart among sharers of a key; rows: (key, node, n, point).
+
+    A task goes through its keys one after another and keeps, beside the points of one key, whom it has connected.
+    """
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, key, held = UnionFind(), None, []
+
+        def settle() -> list[tuple[int, int]]:
+            found = []
+            if len(held) > 1:
+                nodes, sizes, points = [x[0] for x in held], np.array([x[1] for x in held]), read_points([x[2] for x in held])
+                tree = CountTree(points, sizes) if len(held) > FANOUT else None
+                for i in range(len(held) - 1):
+                    if tree:
+                        others = tree.reach(points[i], int(sizes[i]), num, den)
+                        others = others[others > i]
+                    else:  # rows come by size
+                        last = int(np.searchsorted(sizes * num, sizes[i] * den, side="right"))
+                        bound = np.minimum(points[i], points[i + 1 : last]).sum(axis=1)
+                        others = i + 1 + np.flatnonzero((num + den) * bound >= num * (sizes[i] + sizes[i + 1 : last]))
+                    for j in others.tolist():
+                        if sets.join(nodes[i], nodes[j]):
+                            found.append((nodes[i], nodes[j]))
+            return found
+
+        for batch in batches:
+            found = []
+            for k, node, n, point in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "point")), strict=True):
+                if k != key:
+                    found += settle()
+                    key, held = k, []
+                held.append((node, n, point))
+            yield _edge_batch(found)
+        yield _edge_batch(settle())
+
+    return rows.select("key", "node", "n", "point").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(compare, "a long, b long")
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int) -> DataFrame:
     """(component, node, n, members, point) of the nodes in families: only these sets are ever moved."""
 
@@ -192,13 +257,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int)
                     names.append(node)
                     sizes.append(len(s))
                     members.append(s.tobytes())
-                    points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
-            columns = [batch.column("component").take(pa.array(keep, pa.int32())), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(points, pa.list_(pa.int32()))]
+                    points.append(point_of(s))
+            columns = [batch.column("component").take(pa.array(keep, pa.int32())), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["component", "node", "n", "members", "point"])
 
     asked = common.broadcast_if_small(wanted.withColumnRenamed("low", "_low"), max_broadcast_ids)
     texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_low"))).select("component", "node", "text")
-    found = texts.mapInArrow(collect, "component long, node long, n long, members binary, point array<int>")
+    found = texts.mapInArrow(collect, "component long, node long, n long, members binary, point binary")
     return common.materialise(found.dropDuplicates(["node"]))
 
 
@@ -207,19 +272,29 @@ def _family_links(sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     order = Window.partitionBy("component").orderBy("n", "node")
     placed = sets.select("component", "node", "n", "point").withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile).cast("int"))
     placed = common.materialise(placed)
-    corner = F.array(*[F.max(F.col("point")[g]) for g in range(GROUPS)])
-    tiles = placed.groupBy("component", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), corner.alias("corner"), F.count("*").alias("size"))
+
+    def corner(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        row = [table["component"][0].as_py(), table["tile"][0].as_py(), int(n.min()), int(n.max()), read_points(table["point"].to_pylist()).max(axis=0), len(n)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64()]
+        return pa.table({c: pa.array([v], k) for c, v, k in zip(("component", "tile", "low", "high", "corner", "size"), row, kinds, strict=True)})
+
+    whole = placed.groupBy("component").agg(F.max("tile").alias("tiles")).where("tiles > 0").select("component")
+    large = placed.join(whole, "component", "left_semi")
+    tiles = large.groupBy("component", "tile").applyInArrow(corner, "component long, tile int, low long, high long, corner array<int>, size long")
     left = tiles.select("component", F.col("tile").alias("i"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("corner").alias("c1"), F.col("size").alias("s1"))
     right = tiles.select("component", F.col("tile").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("corner").alias("c2"))
     bound = F.aggregate(F.zip_with("c1", "c2", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     meet = left.join(right, "component").where("i <= j").where("i < j or s1 > 1").where(F.col("h1") * den >= F.col("l2") * num)
     meet = meet.where((num + den) * bound >= num * (F.col("l1") + F.col("l2"))).select("component", "i", "j")
+    alone = placed.select("component", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct().join(whole, "component", "left_anti")
+    meet = meet.unionByName(alone)
     spread = meet.select("component", "i", "j", F.explode(F.expr("if(i = j, array(i), array(i, j))")).alias("tile"))
     dealt = placed.select("component", "node", "tile").join(spread, ["component", "tile"]).join(sets.select("node", "members", "point"), "node")
 
     def link(table: pa.Table) -> pa.Table:
         members = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
-        points = np.array(table["point"].to_pylist(), np.int32).reshape(len(members), GROUPS)
+        points = read_points(table["point"].to_pylist())
         home = np.asarray(table["tile"]) != np.asarray(table["i"])
         found = link_tiles(table["node"].to_pylist(), members, points, home.astype(np.int8), num, den)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
