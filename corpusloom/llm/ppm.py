@@ -3,8 +3,8 @@
 The trie of contexts is the set of 6-grams (five context bytes and the next byte) with their training counts; the
 contexts of orders 4 to 0 are its suffixes, so their counts are sums of it. With a fixed trie the probability of a
 byte depends on its 6-gram alone: it is worked out once for each distinct 6-gram, where all trie nodes that share the
-last three context bytes meet, and then summed by document. The trie is spread over RANGES ranges of contexts; each
-bucket of documents asks the ranges for the 6-grams it has. No task or driver ever holds the whole trie.
+last three context bytes meet, and then summed by document. The trie is spread over ranges of contexts, more of them
+for more text; each bucket of documents asks the ranges for the 6-grams it has. No task or driver ever holds the whole trie.
 
 Rows between the steps carry packed arrays (sorted keys and their counts), so what is shuffled is a few bytes a key.
 """
@@ -32,7 +32,8 @@ SYMBOLS = 256
 SEGMENT = 1 << 20
 #: Characters of a block of segments (one row), and of a bucket of blocks, whose keys are looked up together.
 BLOCK, BUCKET = 4 << 20, 32 << 20
-RANGES = 256
+#: Ranges of keys: one for so much text, within bounds that keep packed rows of a useful size.
+RANGE_BYTES, FEWEST, MOST = 2 << 30, 256, 1 << 14
 #: Code lengths are kept in whole 1e-8 of a decade, so that sums do not depend on order.
 SCALE = 100_000_000
 GRAM, WORD = 0, 1
@@ -156,13 +157,16 @@ def word_keys(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def gram_range(gram: np.ndarray) -> np.ndarray:
+def gram_range(gram: np.ndarray, ranges: int) -> np.ndarray:
     """The range that a 6-gram's last three context bytes belong to."""
-    context = ((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.uint32)
-    return ((context * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64)
+    return word_range(common.mix64((gram >> np.uint64(8)) & np.uint64(0xFFFFFF)), ranges)
 
 
-def count_keys(blocks: DataFrame) -> DataFrame:
+def word_range(key: np.ndarray, ranges: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def count_keys(blocks: DataFrame, ranges: int = FEWEST) -> DataFrame:
     """(bucket, kind, range, keys, counts): the distinct 6-grams and words of each bucket, with their training counts.
 
     Keys of held-out texts are there too, with count 0.
@@ -174,10 +178,10 @@ def count_keys(blocks: DataFrame) -> DataFrame:
         def send():
             for kind in (GRAM, WORD):
                 keys, counts = merge(held[kind])
-                at = gram_range(keys) if kind == GRAM else (keys >> np.uint64(56)).astype(np.int64)
+                at = gram_range(keys, ranges) if kind == GRAM else word_range(keys, ranges)
                 order = np.argsort(at, kind="stable")
-                keys, counts, cuts = keys[order], counts[order], np.searchsorted(at[order], np.arange(RANGES + 1))
-                some = [r for r in range(RANGES) if cuts[r + 1] > cuts[r]]
+                keys, counts, cuts = keys[order], counts[order], np.searchsorted(at[order], np.arange(ranges + 1))
+                some = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
                 columns = [pa.array([now] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32())]
                 columns += [pa.array([pack_keys(keys[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()), pa.array([pack(counts[cuts[r] : cuts[r + 1]]) for r in some], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "range", "keys", "counts"])
@@ -347,7 +351,8 @@ def score_documents(docs: DataFrame, train: Column, alpha: float = 0.1, segment:
     """
     spark = docs.sparkSession
     blocks = segment_documents(docs, F.coalesce(train, F.lit(False)), segment)
-    counts = count_keys(blocks)
+    text = blocks.agg(F.sum(F.octet_length("block").cast("long"))).first()[0] or 0  # compressed, about a third of the text
+    counts = count_keys(blocks, int(min(MOST, max(FEWEST, 3 * text // RANGE_BYTES))))
     totals = total_keys(counts)
     pairs = totals.where(F.col("kind") == GRAM).select(F.explode(F.arrays_zip("low", "low_counts")).alias("x"))
     pairs = pairs.groupBy(F.col("x.low").alias("low")).agg(F.sum("x.low_counts").alias("n")).toArrow()
