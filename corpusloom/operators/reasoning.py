@@ -12,6 +12,8 @@ from corpusloom.sources.scratch import materialise
 
 CITATION = r"\[ref:([^:\]\n]+):(\d+)-(\d+)\]"
 SHA_CITATION = r"\[sha:([a-f0-9]{7,40})\s*@\s*([0-9T:\-Z.]+)\]"
+#: Rows of a frontier that go to all tasks.
+MAX_FRONTIER = 100_000
 NO_HOPS = "No relevant notes were found for this question."
 
 
@@ -87,8 +89,10 @@ def trace(chunks: DataFrame, links: DataFrame, notes: DataFrame, seeds: DataFram
                 found = front.join(to, "from_note").join(vec, "note_path").withColumn("turn", F.struct(F.col("front"), F.col("link_pos").cast("double").alias("x"), F.col("chunk_id").alias("y")))
                 scored = found.withColumn("score", V.dot(F.col("from_vec"), F.col("vec")))
             else:
-                # the frontier is bounded by questions x max_hops; it meets all chunks once
+                # at most questions x max_hops rows, counted; they meet all chunks once
                 asked = front.select("question_id", "from_id", "front", "from_note", "from_vec")
+                if asked.limit(MAX_FRONTIER + 1).count() > MAX_FRONTIER:
+                    raise ValueError("too many questions at once: trace them in blocks")
                 scored = vec.join(F.broadcast(asked), F.col("note_path") != F.col("from_note")).withColumn("score", V.dot(F.col("from_vec"), F.col("vec"))).where(F.col("score") >= min_score)
                 scored = scored.withColumn("turn", F.struct(F.col("front"), (-F.col("score")).alias("x"), F.col("chunk_id").alias("y")))
             fresh = scored.join(hops.select("question_id", F.col("to_id").alias("chunk_id")), ["question_id", "chunk_id"], "left_anti")

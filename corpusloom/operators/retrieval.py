@@ -27,32 +27,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, chunk_id, score): exact cosines of unit vectors; each task sends its ``keep`` best for each query.
+#: Queries that go to all tasks at once; more are met in blocks.
+MAX_QUERIES = 10_000
 
-    Queries are counted before they go to all tasks; a larger set is refused, to be answered in blocks.
+
+def _best(scores: np.ndarray, chunk: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best scores, ties to the lower chunk."""
+    if len(scores) > 4 * keep:
+        edge = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+        some = np.flatnonzero(scores >= edge)
+        return some[np.lexsort((chunk[some], -scores[some]))[:keep]]
+    return np.lexsort((chunk, -scores))[:keep]
+
+
+def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """(query_id, chunk_id, score): exact dot products; at least the ``keep`` best of each query, a few from each task.
+
+    Queries are counted first. Up to ``max_queries`` they go to all tasks and each task sends its best; a larger set is
+    dealt to blocks that meet blocks of chunks, so that a task holds one block of either.
     """
     asked = queries.select("query_id", "vec").limit(max_queries + 1).toArrow()
     if asked.num_rows > max_queries:
-        raise ValueError(f"more than {max_queries} queries: answer them in blocks")
-    ids, matrix = asked["query_id"].to_pylist(), _matrix(asked["vec"].combine_chunks())
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+        return _score_blocks(chunks, queries, keep, max_queries)
+    shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), _matrix(asked["vec"].combine_chunks())))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
             chunk, scores = batch.column("chunk_id").to_numpy(), matrix @ _matrix(batch.column("vec")).T
             for q in range(len(ids)):
                 s, c = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], chunk))
-                order = np.lexsort((c, -s))[:keep]
+                order = _best(s, c, keep)
                 best[q] = (s[order], c[order])
-        rows = [(ids[q], c, s) for q in range(len(ids)) for s, c in zip(*best[q])]  # noqa: B905
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "chunk_id", "score"])
+        sizes = [len(c) for _, c in best]
+        columns = [np.repeat(ids, sizes), np.concatenate([c for _, c in best] or [np.zeros(0, np.int64)]), np.concatenate([s for s, _ in best] or [np.zeros(0)])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "chunk_id", "score"])
 
     return chunks.select("chunk_id", "vec").mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
+def _score_blocks(chunks: DataFrame, queries: DataFrame, keep: int, block: int) -> DataFrame:
+    blocks = -(-queries.count() // block)
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"), F.col("query_id").alias("id"), "vec", F.lit(True).alias("asked"))
+    parts = max(1, -(-chunks.count() // 16_384))
+    rows = chunks.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("c"), F.col("chunk_id").alias("id"), "vec", F.lit(False).alias("asked"))
+    met = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = np.asarray(table["asked"])
+        ids, m = table["id"].to_numpy(), _matrix(table["vec"].combine_chunks())
+        chunk, other = ids[~mine], m[~mine]
+        out = []
+        for i in np.flatnonzero(mine) if len(chunk) else ():
+            scores = other @ m[i]
+            at = _best(scores, chunk, keep)
+            out.append((np.full(len(at), ids[i]), chunk[at], scores[at]))
+        q, c, s = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])  # noqa: B905
+        return pa.table({"query_id": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    return met.groupBy("c", "q").applyInArrow(run, "query_id long, chunk_id long, score double")
+
+
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top-k, ties by chunk_id."""
     return top_k(score_queries(chunks, queries, k), k, "query_id", "chunk_id")
@@ -66,13 +102,12 @@ def quantize_scale(chunks: DataFrame) -> DataFrame:
 
 def coarse_rescore(chunks: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 8) -> DataFrame:
     """(query_id, chunk_id, score, rank): k * oversample by 8-bit dot product, then the k best of these by cosine."""
-    scale = quantize_scale(chunks)  # one row
-    coded = lambda t: t.crossJoin(F.broadcast(scale)).withColumn("code", V.quantize(F.col("vec"), F.col("scale"))).drop("scale")
-    asked = coded(queries.select("query_id", "vec")).select("query_id", F.col("vec").alias("qvec"), F.col("code").alias("qcode"))
-    # the stated query set meets all chunks once; k * oversample rows a query leave each task
-    met = coded(chunks.select("chunk_id", "vec")).crossJoin(F.broadcast(asked))
-    coarse = top_k(met.withColumn("dot", V.int_dot(F.col("code"), F.col("qcode"))), k * oversample, "query_id", "chunk_id", score="dot")
-    return top_k(coarse.select("query_id", "chunk_id", "dot", V.dot(F.col("vec"), F.col("qvec")).alias("score")), k, "query_id", F.desc("dot"), "chunk_id").drop("dot")
+    scale = F.broadcast(quantize_scale(chunks))  # one row
+    coded = lambda t, name: t.crossJoin(scale).select(name, F.transform(V.quantize(F.col("vec"), F.col("scale")), lambda x: x.cast("float")).alias("vec"))
+    dots = score_queries(coded(chunks.select("chunk_id", "vec"), "chunk_id"), coded(queries.select("query_id", "vec"), "query_id"), k * oversample)
+    coarse = top_k(dots, k * oversample, "query_id", "chunk_id").select("query_id", "chunk_id", F.col("score").alias("dot"))
+    both = coarse.join(chunks.select("chunk_id", "vec"), "chunk_id").join(queries.select("query_id", F.col("vec").alias("qvec")), "query_id")
+    return top_k(both.select("query_id", "chunk_id", "dot", V.dot(F.col("vec"), F.col("qvec")).alias("score")), k, "query_id", F.desc("dot"), "chunk_id").drop("dot")
 
 
 def neighbors(chunks: DataFrame, note_paths: list[str], k: int = 10) -> DataFrame:

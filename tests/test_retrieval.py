@@ -67,8 +67,8 @@ def test_topk_and_coarse_recall(chunks):
         assert [got[(q, r)] for r in range(1, 6)] == order.tolist()
     recall = E.truth_recall(V.coarse_rescore(df, queries), V.dense_topk(df, queries)).agg(F.avg("recall")).first()[0]
     assert recall >= 0.95
-    with pytest.raises(ValueError):
-        V.score_queries(df, queries, 5, max_queries=3)
+    blocks = V.top_k(V.score_queries(df, queries, 5, max_queries=7), 5, "query_id", "chunk_id")
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in blocks.collect()} == got
 
 
 def test_similar_pairs_equal_brute_force(chunks):
