@@ -77,27 +77,29 @@ def read_points(packed: list[bytes]) -> np.ndarray:
 
 
 def popularity(docs: DataFrame, k: int) -> np.ndarray:
-    """Number of (document, shingle) pairs that fall on each of 2^COUNTER_BITS counters, over all documents."""
+    """How many (document, shingle) pairs of all documents fall on each of 2^COUNTER_BITS counters, in eighths of powers of two."""
     width = (1 << COUNTER_BITS) // PARTS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in common.slices(batches):
-            every = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(common.texts_of(batch), k)])
-            total += np.bincount((every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+            at = np.sort(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(common.texts_of(batch), k)]) >> np.uint64(64 - COUNTER_BITS))
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+            total[at[first].astype(np.int64)] += np.diff(np.append(first, len(at))).astype(np.int32)
         rows = [total[p * width : (p + 1) * width].tobytes() for p in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counters"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for x in table["counters"]:
-            total += np.frombuffer(x.as_py(), np.int32 if len(x.as_py()) == 4 * width else np.int64)
-        return pa.table({"part": table["part"].slice(0, 1), "counters": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), np.int32)
+        steps = np.minimum(255, np.floor(8 * np.log2(total + 1))).astype(np.uint8)
+        return pa.table({"part": table["part"].slice(0, 1), "counters": pa.array([steps.tobytes()], pa.binary())})
 
     summed = docs.select("text").mapInArrow(count, "part int, counters binary").groupBy("part").applyInArrow(add, "part int, counters binary")
-    whole = np.zeros(1 << COUNTER_BITS, np.int64)
-    for part, counters in summed.collect():  # PARTS rows
-        whole[part * width : (part + 1) * width] = np.frombuffer(counters, np.int64)
+    whole = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for part, counters in summed.collect():  # PARTS rows, a byte for each counter
+        whole[part * width : (part + 1) * width] = np.frombuffer(counters, np.uint8)
     return whole
 
 

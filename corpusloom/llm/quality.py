@@ -15,6 +15,8 @@ from corpusloom.llm import common
 #: Hashed byte 4-grams fall into so many buckets; both multinomials have this fixed size.
 BUCKETS = 1 << 16
 GRAM = 4
+#: Grams' worth of raw distribution that the trusted counts start from: with little trusted text ratios stay near 0.
+PRIOR = 1 << 12
 #: Fixed point of the per-gram ratio, so that sums are whole numbers and do not depend on order.
 SCALE = 1_000_000
 
@@ -67,16 +69,15 @@ def count_grams(docs: DataFrame, trusted: str) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """The fixed-point ratio of each bucket; with no trusted text at all every ratio is 0.
+    """The fixed-point ratio of each bucket.
 
     At most BUCKETS rows come to the driver.
     """
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts.collect():
         raw[bucket], target[bucket] = r, t
-    if not target.sum():
-        return np.zeros(BUCKETS, np.int64)
-    p, q = (target + 1) / (target.sum() + BUCKETS), (raw + 1) / (raw.sum() + BUCKETS)
+    q = (raw + 1) / (raw.sum() + BUCKETS)
+    p = (target + PRIOR * q) / (target.sum() + PRIOR)
     return np.rint(np.log(p / q) * SCALE).astype(np.int64)
 
 
@@ -128,7 +129,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = -0.35,
     """Judge every document: rule counts plus the length-normalised log-likelihood ratio of its hashed byte 4-grams.
 
     The trusted multinomial is that of all documents which ``labels`` (doc_id, quality) marks 1, the raw one that of
-    the whole corpus; both have BUCKETS entries with add-one smoothing. ``llr`` is the mean log ratio of a text's
+    the whole corpus; both have BUCKETS entries, the raw one smoothed by one each and the trusted one by PRIOR grams of
+    the raw one, so without trusted text every ratio is 0. ``llr`` is the mean log ratio of a text's
     grams in millionths, rounded toward minus infinity; ``kept`` needs llr >= threshold and no failed base rule.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr (long), base_failed, kept to the columns of

@@ -270,7 +270,8 @@ def test_quality_rules(docs, empty, spark):
         for b in spread((r.text or "").encode()):
             raw[b] += 1
             target[b] += r.doc_id in (10, 50, 60)
-    ratio = np.rint(np.log((target + 1) / (target.sum() + quality.BUCKETS) / ((raw + 1) / (raw.sum() + quality.BUCKETS))) * quality.SCALE).astype(int)
+    share = (raw + 1) / (raw.sum() + quality.BUCKETS)
+    ratio = np.rint(np.log((target + quality.PRIOR * share) / (target.sum() + quality.PRIOR) / share) * quality.SCALE).astype(int)
     assert len(got) == docs.count()
     for r in got:
         t, words = r.text or "", _words(r.text)

@@ -27,7 +27,7 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("sf"))
     docs = [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
     spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(300, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(300, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
