@@ -65,7 +65,7 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``target`` bytes of ``column`` so that temporary arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
