@@ -21,7 +21,7 @@ from corpusloom.llm import common
 #: A match can depend on so many characters behind its end ("'re" needs two); boundaries nearer to a chunk's end don't count.
 MARGIN = 16
 #: Entries of a worker's memo of encoded pre-tokens, and the longest one kept. It never changes a result.
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 150_000, 40
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, size: int = 32_768
                 part = batch.slice(a, 512)
                 ids = [b"".join(code.encode(code.find(t))) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), id_lists(ids)], names=[*names, "ids"])
+        code.memo.clear()  # workers are used again, for other things too
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,18 +213,26 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, column: str = "
     return encoded.mapInArrow(decode, common.plus(encoded, "decoded binary"))
 
 
-def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents with ids and decoded bytes, and the columns of ``keep``."""
+def digests(encoded: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents with ids, and the columns of ``keep``.
+
+    Ids are decoded as decode_documents does, but only the digest of the bytes leaves the task.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(shared.value)
         for batch in batches:
-            lists = batch.column("ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ids = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:])]  # noqa: B905
-            raw = [hashlib.sha256(x or b"").hexdigest() for x in batch.column("decoded").to_pylist()]
-            columns = [batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in keep)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
-
-    chosen = decoded.select("doc_id", "ids", "decoded", *[c for c in keep if c not in ("doc_id", "ids", "decoded")])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                lists = part.column("ids")
+                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+                spans = list(zip(offsets, offsets[1:]))  # noqa: B905
+                ids = [hashlib.sha256(values[x:y].tobytes()).hexdigest() for x, y in spans]
+                raw = [hashlib.sha256(code.decode(values[x:y])).hexdigest() for x, y in spans]
+                columns = [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in keep)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
+
+    chosen = encoded.select("doc_id", "ids", *[c for c in keep if c not in ("doc_id", "ids")])
     schema = common.plus(chosen.select("doc_id"), "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return chosen.mapInArrow(digest, T.StructType([*schema.fields, *(chosen.schema[c] for c in keep)]))
