@@ -47,7 +47,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, with digests of the ids and of the bytes that they decode to."""
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), vocabulary).select("doc_id", "source", "ids")
-    return bpe.digests(bpe.decode_documents(encoded, vocabulary), keep=("source", "ids"))
+    return bpe.digests(encoded, vocabulary, keep=("source", "ids"))
 
 
 STAGES = [
