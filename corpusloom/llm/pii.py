@@ -24,11 +24,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Wider nets of the candidates; every repetition is bounded or linear.
+# Wider nets of the candidates; every repetition is bounded or linear: a secret has no greatest length, but has to follow = or :.
 DIGITS = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])")
 NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 SPELLED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}(?![A-Za-z])")
-ASSIGNED = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+/-]{16,256})")
+ASSIGNED = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+/-]{16,})")
 # Gazetteers and context words.
 TOP_DOMAINS = frozenset("com org net edu gov int info biz io co de fr es uk us eu it nl ch at be ca au jp".split())
 SECRET_NAMES = re.compile(r"(?i)(token|secret|passw(?:or)?d|api[_ -]?key|key|credential)\W{0,3}$")

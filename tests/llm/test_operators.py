@@ -217,6 +217,15 @@ def test_private_spans(docs, empty):
     assert pii.find_private(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [16, 256, 257, 1000, 100_000])
+def test_secrets_of_any_length_are_whole_candidates(size):
+    secret = ("aB3_+/-x" * size)[:size]
+    text = f"the api token = '{secret}' and more"
+    at = text.index(secret)
+    assert pii.candidate_spans(text, pii.base_spans(text)) == [(4, at, at + size, False)]
+    assert pii.votes_of(text, 4, at, at + size, False)[0][4] == 1  # nothing of it goes on behind its end
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.4
