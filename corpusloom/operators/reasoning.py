@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import links as L
+from corpusloom.operators.retrieval import _matrix
 from corpusloom.sources.scratch import materialise
 
 CITATION = r"\[ref:([^:\]\n]+):(\d+)-(\d+)\]"
 SHA_CITATION = r"\[sha:([a-f0-9]{7,40})\s*@\s*([0-9T:\-Z.]+)\]"
-#: Rows of a frontier that go to all tasks.
-MAX_FRONTIER = 100_000
+#: Rows of a frontier and chunks that one task holds; more are met in blocks.
+MAX_FRONTIER, MAX_CHUNKS = 10_000, 16_384
 NO_HOPS = "No relevant notes were found for this question."
 
 
@@ -69,6 +73,46 @@ def answer_stub(prompts: DataFrame, key: str = "question_id") -> DataFrame:
     return prompts.select(key, F.concat(F.lit("[stub] "), F.substring("prompt", 1, 2000)).alias("answer"))
 
 
+def _nearest(vec: DataFrame, front: DataFrame, keep: int, min_score: float) -> DataFrame:
+    """(question_id, from_id, front, chunk_id, score): chunks of other notes with a score of at least ``min_score``.
+
+    Frontier rows are counted and dealt to blocks that meet blocks of chunks, so that a task holds one block of either
+    and sends the ``keep`` best of each row, ties to the lower chunk; the best of all blocks are among them.
+    """
+    blocks = max(1, -(-front.count() // MAX_FRONTIER))
+    parts = max(1, -(-vec.count() // MAX_CHUNKS))
+    part = lambda n, *names: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = front.where(F.col("from_note").isNotNull()).withColumn("_q", part(blocks, "question_id", "from_id")).withColumn("_c", each(parts))
+    rows = vec.where(F.col("note_path").isNotNull()).withColumn("_c", part(parts, "chunk_id")).withColumn("_q", each(blocks))
+    schema = S.StructType([front.schema[n] for n in ("question_id", "from_id", "front")] + [vec.schema["chunk_id"], S.StructField("score", S.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, to, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            a, b = _matrix(left["from_vec"].combine_chunks()), _matrix(right["vec"].combine_chunks())
+            own, notes, ids = left["from_note"].to_pylist(), np.array(right["note_path"].to_pylist(), dtype=object), right["chunk_id"].to_numpy()
+            length = np.linalg.norm(b, axis=1).max()
+            for i in range(len(a)):
+                rough = b @ a[i]
+                slack = 1e-11 * length * np.linalg.norm(a[i])  # beyond the rounding of any order of the sum
+                fit = np.flatnonzero(rough >= min_score - slack)
+                fit = fit[notes[fit] != own[i]]
+                if len(fit) > keep:
+                    fit = fit[rough[fit] >= np.partition(rough[fit], len(fit) - keep)[len(fit) - keep] - slack]
+                if len(fit):
+                    exact = np.add.accumulate(b[fit] * a[i], axis=1)[:, -1]  # in order of the elements, as V.dot
+                    best = np.lexsort((ids[fit], -exact))[:keep]
+                    best = best[exact[best] >= min_score]
+                    at.append(np.full(len(best), i))
+                    to.append(fit[best])
+                    scores.append(exact[best])
+        found = left.select(["question_id", "from_id", "front"]).take(pa.array(np.concatenate(at)))
+        return found.append_column("chunk_id", right["chunk_id"].take(pa.array(np.concatenate(to)))).append_column("score", pa.array(np.concatenate(scores)))
+
+    return asked.groupBy("_c", "_q").cogroup(rows.groupBy("_c", "_q")).applyInArrow(run, schema)
+
+
 def trace(chunks: DataFrame, links: DataFrame, notes: DataFrame, seeds: DataFrame, max_depth: int = 2, knn: int = 3, min_score: float = 0.5, max_hops: int = 30) -> DataFrame:
     """(question_id, step, from_id, to_id, edge, score, ord): how an answer can be reached from seed chunks.
 
@@ -89,11 +133,8 @@ def trace(chunks: DataFrame, links: DataFrame, notes: DataFrame, seeds: DataFram
                 found = front.join(to, "from_note").join(vec, "note_path").withColumn("turn", F.struct(F.col("front"), F.col("link_pos").cast("double").alias("x"), F.col("chunk_id").alias("y")))
                 scored = found.withColumn("score", V.dot(F.col("from_vec"), F.col("vec")))
             else:
-                # at most questions x max_hops rows, counted; they meet all chunks once
-                asked = front.select("question_id", "from_id", "front", "from_note", "from_vec")
-                if asked.limit(MAX_FRONTIER + 1).count() > MAX_FRONTIER:
-                    raise ValueError("too many questions at once: trace them in blocks")
-                scored = vec.join(F.broadcast(asked), F.col("note_path") != F.col("from_note")).withColumn("score", V.dot(F.col("from_vec"), F.col("vec"))).where(F.col("score") >= min_score)
+                # a question has visited max_hops chunks at most, so its nearest fresh ones are among so many more
+                scored = _nearest(vec, front.select("question_id", "from_id", "front", "from_note", "from_vec"), knn + max_hops, min_score)
                 scored = scored.withColumn("turn", F.struct(F.col("front"), (-F.col("score")).alias("x"), F.col("chunk_id").alias("y")))
             fresh = scored.join(hops.select("question_id", F.col("to_id").alias("chunk_id")), ["question_id", "chunk_id"], "left_anti")
             if edge == "knn":

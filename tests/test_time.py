@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,47 @@ def test_trace(spark):
     assert len(_trace(spark, {"A": ["b", "c", "d"]}, max_hops=2)) == 2
 
 
+def _plain_trace(vec, note, links, seeds, depth, knn, least, most):
+    """The hops of one question, level by level."""
+    hops, seen = [(0, None, c, "seed") for c in seeds[:most]], set(seeds[:most])
+    dot = lambda a, b: sum((float(x) * float(y) for x, y in zip(vec[a], vec[b], strict=True)), 0.0)
+    for level in range(1, depth + 1):
+        front = [h[2] for h in hops if h[0] == level - 1]
+        for edge in ("wikilink", "knn"):
+            wanted = {}
+            for place, f in enumerate(front):
+                if edge == "wikilink":
+                    found = [(pos, c) for pos, t in enumerate(links[note[f]]) if t != note[f] for c in vec if note[c] == t and c not in seen]
+                else:
+                    found = sorted((-dot(f, c), c) for c in vec if note[c] != note[f] and c not in seen and dot(f, c) >= least)[:knn]
+                for x, c in found:
+                    wanted[c] = min(wanted.get(c, ((9e9,), 0)), ((place, x, c), f))
+            for c, (_, f) in sorted(wanted.items(), key=lambda x: x[1][0]):
+                if len(hops) < most:
+                    hops.append((level, f, c, edge))
+                    seen.add(c)
+    return hops
+
+
+@pytest.mark.parametrize("frontier,part", [(1, 16_384), (2, 7), (100_000, 16_384)])
+def test_trace_in_blocks_equals_a_plain_search(spark, monkeypatch, frontier, part):
+    monkeypatch.setattr(G, "MAX_FRONTIER", frontier)
+    monkeypatch.setattr(G, "MAX_CHUNKS", part, raising=False)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 4)).astype(np.float32)
+    m[40:50] = m[3]  # equal scores
+    vec, note = {i: v.tolist() for i, v in enumerate(m)}, {i: f"n{i // 2}" for i in range(60)}
+    links = {f"n{i}": [f"n{int(x)}" for x in rng.permutation(30)[: i % 3]] for i in range(30)}
+    seeds = {q: [int(x) for x in rng.permutation(60)[:3]] for q in range(5)}
+    chunks = spark.createDataFrame([(i, note[i], v) for i, v in vec.items()], "chunk_id long, note_path string, vec array<float>").repartition(3)
+    table = spark.createDataFrame(list(links.items()), "note_path string, targets array<string>")
+    asked = spark.createDataFrame([(q, c, 1.0, r + 1) for q, cs in seeds.items() for r, c in enumerate(cs)], "question_id long, chunk_id long, score double, rank int")
+    got = {q: [] for q in seeds}
+    for r in G.trace(chunks, table, table.select("note_path"), asked, max_hops=20).orderBy("question_id", "ord").collect():
+        got[r.question_id].append((r.step, r.from_id, r.to_id, r.edge))
+    assert got == {q: _plain_trace(vec, note, links, cs, 2, 3, 0.5, 20) for q, cs in seeds.items()}
+
+
 def test_debounce(spark):
     t0 = datetime(2024, 1, 1)
     rows = [("a", t0), ("a", t0 + timedelta(milliseconds=200)), ("a", t0 + timedelta(milliseconds=600)), ("b", t0)]
