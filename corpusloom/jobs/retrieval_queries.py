@@ -78,11 +78,16 @@ def _metrics(s, d):
     return E.metrics(E.ranked_notes(hits), _gold(s, d)).select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
+def _asked_notes(s, d):
+    """The notes of the stated query set."""
+    return t.chunks(s, d).where("chunk_id % 100 = 0").select("note_path").distinct()
+
+
 def _hybrid(s, d):
-    """Vectors with the documents of the same number; queries are the texts of the query vectors."""
+    """Vectors with the documents of the same number; queries are the whole texts of the query vectors."""
     docs = t.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = t.chunks(s, d).drop("text").join(docs, "chunk_id")
-    asked = t.asked(s, d).join(docs.select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 80).alias("query")), "query_id")
+    asked = t.asked(s, d).join(docs.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     return _round(V.hybrid(chunks, asked, 10, router=True))
 
 
@@ -108,6 +113,7 @@ QUERIES = {
     "coarse_rescore": lambda s, d: _round(V.coarse_rescore(t.chunks(s, d), t.asked(s, d))),
     "coarse_recall": _recall,
     "neighbors": lambda s, d: _round(V.neighbors(t.chunks(s, d), ["n0", "n50", "n100"])),
+    "neighbors_asked": lambda s, d: _round(V.neighbors(t.chunks(s, d), _asked_notes(s, d))),
     "search_in_note": lambda s, d: _round(V.search_in_note(t.chunks(s, d), t.asked(s, d), "n33")),
     "similar_pairs": lambda s, d: _round(V.similar_pairs(t.chunks(s, d), 0.3)),
     "bridges": lambda s, d: _bridges(s, d, False),
@@ -138,6 +144,10 @@ SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITIO
     "neighbors": f"""WITH {CHUNKS}, x AS (SELECT *, repeat('x', CAST(chunk_id % 7 AS BIGINT)) AS text FROM c),
 seed AS (SELECT *, row_number() OVER (PARTITION BY note_path ORDER BY length(text) DESC, chunk_id) AS n FROM x WHERE note_path IN ('n0', 'n50', 'n100')),
 m AS (SELECT a.note_path, b.chunk_id, b.note_path AS other, {COS} AS score FROM seed a, x b WHERE a.n = 1), k AS (SELECT *, row_number() OVER (PARTITION BY note_path ORDER BY score DESC, chunk_id) AS c FROM m)
+SELECT note_path, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY note_path ORDER BY score DESC, chunk_id) AS rank FROM k WHERE c <= 20 AND other <> note_path QUALIFY rank <= 10""",
+    "neighbors_asked": f"""WITH {CHUNKS}, x AS (SELECT *, repeat('x', CAST(chunk_id % 7 AS BIGINT)) AS text FROM c),
+seed AS (SELECT *, row_number() OVER (PARTITION BY note_path ORDER BY length(text) DESC, chunk_id) AS n FROM x WHERE note_path IN (SELECT note_path FROM c WHERE chunk_id % 100 = 0)),
+m AS (SELECT a.note_path, b.chunk_id, b.note_path AS other, {COS} AS score FROM seed a, x b WHERE a.n = 1), k AS (SELECT *, row_number() OVER (PARTITION BY note_path ORDER BY score DESC, chunk_id) AS c FROM m)
 SELECT note_path, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY note_path ORDER BY score DESC, chunk_id) AS rank FROM k WHERE c <= 20 AND other <> note_path QUALIFY rank <= 10""",
     "search_in_note": f"{TOP} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r WHERE rank <= 20 AND chunk_id // 3 = 33 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5",
     "similar_pairs": f"{PAIRS} SELECT a, b, score FROM f",

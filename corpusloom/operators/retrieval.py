@@ -110,9 +110,14 @@ def coarse_rescore(chunks: DataFrame, queries: DataFrame, k: int = 10, oversampl
     return top_k(both.select("query_id", "chunk_id", "dot", V.dot(F.col("vec"), F.col("qvec")).alias("score")), k, "query_id", F.desc("dot"), "chunk_id").drop("dot")
 
 
-def neighbors(chunks: DataFrame, note_paths: list[str], k: int = 10) -> DataFrame:
-    """(note_path, chunk_id, score, rank): nearest chunks of other notes to a note's longest chunk (the first of equals)."""
-    seed = chunks.where(F.col("note_path").isin(note_paths)).groupBy("note_path").agg(F.max_by(F.struct("chunk_id", "vec"), F.struct(F.char_length("text"), -F.col("chunk_id"))).alias("s"))
+def neighbors(chunks: DataFrame, note_paths: DataFrame | list[str], k: int = 10) -> DataFrame:
+    """(note_path, chunk_id, score, rank): nearest chunks of other notes to a note's longest chunk (the first of equals).
+
+    ``note_paths``: the notes asked for, a table (note_path) of any size or a short list.
+    """
+    asked = F.col("note_path").isin(note_paths) if isinstance(note_paths, list) else None
+    mine = chunks.join(note_paths.select("note_path").distinct(), "note_path", "left_semi") if asked is None else chunks.where(asked)
+    seed = mine.groupBy("note_path").agg(F.max_by(F.struct("chunk_id", "vec"), F.struct(F.char_length("text"), -F.col("chunk_id"))).alias("s"))
     numbered = seed.select("note_path", F.col("s.chunk_id").alias("query_id"), F.col("s.vec").alias("vec"))
     found = dense_topk(chunks, numbered, 2 * k).select("query_id", "chunk_id", "score")
     named = found.join(numbered.select("query_id", "note_path"), "query_id").join(chunks.select("chunk_id", F.col("note_path").alias("other")), "chunk_id")
@@ -274,7 +279,9 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, router: bool = Fa
     """
     want = 8 * k
     dense = dense_topk(chunks, queries, want).select("query_id", F.lit(0).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
-    words = bm25(postings(chunks), index_sizes(chunks), queries, want).select("query_id", F.lit(1).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
+    # lists of weight 0 are out, so their queries are not put
+    put = queries.where(intent_weights(intent(F.col("query")))[1] != 0) if router else queries
+    words = bm25(postings(chunks), index_sizes(chunks), put, want).select("query_id", F.lit(1).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
     lists, weights = dense.unionByName(words), None
     if router:
         vector, lexical = intent_weights(intent(F.col("query")))
