@@ -34,6 +34,20 @@ def _diff(s, d):
     return X.line_set_diff(pick(0), pick(1))
 
 
+def _diff_pairs(s, d):
+    """Each document and the one of the next id."""
+    docs = t.table(s, d, "documents")
+    return X.line_set_diff(docs.select("doc_id", "text"), docs.select((F.col("doc_id") - 1).alias("doc_id"), "text"), "doc_id")
+
+
+def _periodic(s, d):
+    """All documents, and notes of the even weeks that have entries."""
+    stem = R.periodic_stem(F.col("day"), "weekly")
+    weeks = _entries(s, d).select(stem.alias("week")).distinct().where(F.substring("week", -1, 1).isin(*"02468"))
+    kept = weeks.select(F.concat("week", F.lit(".md")).alias("note_path"), F.concat(F.lit("# "), "week").alias("text"))
+    return R.append_periodic(t.plain(s, d).select("note_path", "text").unionByName(kept), _entries(s, d), "weekly")
+
+
 QUERIES = {
     "line_offsets": lambda s, d: X.line_offsets(t.notes(s, d)).select("note_path", "line", "byte_start"),
     "outline": lambda s, d: X.outline(t.notes(s, d)),
@@ -48,6 +62,7 @@ QUERIES = {
     "all_links": lambda s, d: X.all_links(t.notes(s, d)).select("note_path", F.array_join("wikilinks", ",").alias("wikilinks"), F.array_join("embeds", ",").alias("embeds")),
     "quotes_islands": lambda s, d: X.quotes(t.notes(s, d)),
     "line_set_diff": _diff,
+    "line_set_diff_pairs": _diff_pairs,
     "read_slice": lambda s, d: X.read_slice(t.notes(s, d), 0, 9),
     "chunk_notes": lambda s, d: chunking.chunk_notes(t.notes(s, d), 0).select("note_path", "ord", "granularity", "byte_start", "byte_end", F.array_join("heading_path", " > ").alias("path")),
     "replace_all": lambda s, d: R.replace_text(t.notes(s, d), "the ", "THE ").select("note_path", F.sha2("text", 256).alias("sha256"), "replacements"),
@@ -63,6 +78,7 @@ QUERIES = {
     "split_notes": lambda s, d: R.split_notes(t.notes(s, d), 2, "split/").select("note_path", F.char_length("text").cast("long").alias("chars")),
     "merge_notes": lambda s, d: R.merge_notes(t.notes(s, d), _merge_sources(s, d)).select("note_path", F.sha2("text", 256).alias("sha256")),
     "append_periodic": lambda s, d: R.append_periodic(t.notes(s, d).select("note_path", "text").limit(0), _entries(s, d), "weekly").select("note_path", F.sha2("text", 256).alias("sha256")),
+    "append_periodic_notes": lambda s, d: _periodic(s, d).select("note_path", F.sha2("text", 256).alias("sha256")),
     "move_folder": lambda s, d: R.move(t.notes(s, d), "src1", "moved/here").where("note_path like 'moved/%'").select("note_path"),
     "replace_first_line": lambda s, d: _changed(s, d, R.replace_first_line(t.notes(s, d), None, "+++")),
 }
@@ -95,6 +111,8 @@ SELECT note_path, coalesce(w, '') AS wikilinks, coalesce(m, '') AS embeds FROM n
 SELECT note_path, min(line) AS line, string_agg(x, chr(10) ORDER BY line) AS quote FROM q GROUP BY note_path, g""",
     "line_set_diff": """WITH a AS (SELECT unnest(string_split(text, chr(10))) AS content FROM documents WHERE doc_id = 0), b AS (SELECT unnest(string_split(text, chr(10))) AS content FROM documents WHERE doc_id = 1)
 SELECT 'left' AS side, content FROM a WHERE content NOT IN (SELECT content FROM b) UNION ALL SELECT 'right', content FROM b WHERE content NOT IN (SELECT content FROM a)""",
+    "line_set_diff_pairs": """WITH p AS (SELECT a.doc_id, string_split(a.text, chr(10)) AS x, string_split(b.text, chr(10)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, 'left' AS side, unnest(list_filter(x, lambda l: NOT list_contains(y, l))) AS content FROM p UNION ALL SELECT doc_id, 'right', unnest(list_filter(y, lambda l: NOT list_contains(x, l))) FROM p""",
     "read_slice": f"{WITH} SELECT note_path, CAST(strlen(text) AS BIGINT) AS bytes, substr(text, 1, 9) AS part FROM notes",
     "replace_all": f"{WITH} SELECT note_path, sha256(replace(text, 'the ', 'THE ')) AS sha256, CAST((length(text) - length(replace(text, 'the ', ''))) // 4 AS BIGINT) AS replacements FROM notes WHERE contains(text, 'the ')",
     "replace_first": f"{WITH} SELECT note_path, sha256(substr(text, 1, instr(text, 'the ') - 1) || 'THE ' || substr(text, instr(text, 'the ') + 4)) AS sha256 FROM notes WHERE contains(text, 'the ')",
@@ -108,6 +126,8 @@ SELECT 'left' AS side, content FROM a WHERE content NOT IN (SELECT content FROM
     "wiki_to_md": rf"{WITH}, c AS (SELECT note_path, text, regexp_replace(text, ' \[\[([0-9]+)\]\]', ' [\1](\1.md)', 'g') AS new FROM notes) {OLD}",
     "merge_notes": f"{WITH} SELECT 'merged/' || source || '.md' AS note_path, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS sha256 FROM notes GROUP BY source",
     "append_periodic": "SELECT strftime(ts, '%G-W%V') || '.md' AS note_path, sha256(string_agg(event_type || ' ' || user_id, chr(10) ORDER BY event_id)) AS sha256 FROM events GROUP BY 1",
+    "append_periodic_notes": f"""{PLAIN}, e AS (SELECT strftime(ts, '%G-W%V') AS week, string_agg(event_type || ' ' || user_id, chr(10) ORDER BY event_id) AS x FROM events GROUP BY 1)
+SELECT note_path, sha256(text) AS sha256 FROM plain UNION ALL SELECT week || '.md', sha256(CASE WHEN CAST(right(week, 1) AS INT) % 2 = 0 THEN '# ' || week || chr(10) ELSE '' END || x) FROM e""",
     "move_folder": f"{PLAIN} SELECT 'moved/here' || substr(note_path, 5) AS note_path FROM plain WHERE starts_with(note_path, 'src1/')",
     "replace_first_line": f"{WITH}, c AS (SELECT note_path, text, '+++' || substr(text, 4) AS new FROM notes) {OLD}",
 }

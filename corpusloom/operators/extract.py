@@ -199,11 +199,18 @@ def tables(notes: DataFrame) -> DataFrame:
     return _per_note(notes, "note_path string, line long, cells array<array<string>>", scan)
 
 
-def line_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(side, content): lines of one note that the other lacks, repeats kept; each side is a table of notes of one row."""
-    a = left.select(F.explode(T.lines("text")).alias("content"))
-    b = right.select(F.explode(T.lines("text")).alias("content"))
-    only = lambda x, y, side: x.join(y.distinct(), "content", "left_anti").select(F.lit(side).alias("side"), "content")
+def line_set_diff(left: DataFrame, right: DataFrame, pair: str | None = None) -> DataFrame:
+    """(side, content): lines of one note that the other lacks, repeats kept.
+
+    With ``pair``, a column of both sides, each pair is one diff and its key is the first column; a pair that one side
+    lacks has no diff. Without it each side is a table of notes of one row.
+    """
+    keys = [pair] if pair else []
+    if pair:
+        left, right = left.join(right.select(pair).distinct(), pair, "left_semi"), right.join(left.select(pair).distinct(), pair, "left_semi")
+    a = left.select(*keys, F.explode(T.lines("text")).alias("content"))
+    b = right.select(*keys, F.explode(T.lines("text")).alias("content"))
+    only = lambda x, y, side: x.join(y.distinct(), [*keys, "content"], "left_anti").select(*keys, F.lit(side).alias("side"), "content")
     return only(a, b, "left").unionByName(only(b, a, "right"))
 
 

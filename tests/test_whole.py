@@ -70,3 +70,12 @@ def test_hybrid_equals_a_plain_search(spark):
     for r in V.hybrid(df, asked, 2, router=True).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.chunk_id)
     assert got == expected
+
+
+def test_diff_of_all_pairs(spark):
+    assert len({r[0] for r in _equal_to_sql(spark, "line_set_diff_pairs")}) > 100
+
+
+def test_periodic_entries_go_to_notes_that_exist(spark):
+    rows = dict(_equal_to_sql(spark, "append_periodic_notes"))
+    assert len(rows) > 200 and "2024-W01.md" in rows and "2024-W02.md" in rows
