@@ -43,10 +43,10 @@ def long_notes(notes: DataFrame, min_words: int = 1000, limit: int = 50) -> Data
     return counted.where(F.col("words") >= min_words).orderBy(F.desc("words"), "note_path").limit(limit)
 
 
-def top_terms(notes: DataFrame, limit: int = 50, max_bytes: int = 1_000_000) -> DataFrame:
-    """(term, n): most frequent runs of four or more a-z, stop words left out. Ties by term."""
-    small = notes.where(F.octet_length("text") <= max_bytes)
-    terms = small.select(F.explode(T.all_groups(F.lower("text"), "[a-z]{4,}", 0)).alias("term")).where(~F.col("term").isin(T.STOPWORDS))
+def top_terms(notes: DataFrame, limit: int = 50, max_bytes: int | None = None) -> DataFrame:
+    """(term, n): most frequent runs of four or more a-z, stop words left out. Ties by term. Texts above ``max_bytes``, if set, do not count."""
+    counted = notes if max_bytes is None else notes.where(F.octet_length("text") <= max_bytes)
+    terms = counted.select(F.explode(T.all_groups(F.lower("text"), "[a-z]{4,}", 0)).alias("term")).where(~F.col("term").isin(T.STOPWORDS))
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(limit)
 
 
@@ -147,8 +147,11 @@ def catastrophic(pattern: str) -> bool:
     return bool(re.search(r"\([^)]*[+*][^)]*\)[+*{]", pattern))
 
 
-def grep(notes: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, context: int = 0, limit: int | None = None) -> DataFrame:
-    """(note_path, line, content, before, after): matching lines with up to five lines around, within the row's own text."""
+def grep(notes: DataFrame, pattern: str, regex: bool = False, ignore_case: bool = False, context: int = 0, limit: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """(note_path, line, content, before, after): matching lines with up to five lines around, within the row's own text.
+
+    Whole lines are read and returned, or their first ``max_chars`` characters, if set.
+    """
     if len(pattern) > 256 or regex and catastrophic(pattern):
         raise ValueError("pattern is too long or repeats a repeated group")
     around = min(5, context)
@@ -156,7 +159,7 @@ def grep(notes: DataFrame, pattern: str, regex: bool = False, ignore_case: bool
     if not regex:  # cheap test of the whole text first
         kept = notes.where(F.contains(F.lower("text") if ignore_case else F.col("text"), F.lit(pattern.lower() if ignore_case else pattern))).select("note_path", T.lines("text").alias("all"))
     hits = kept.select("note_path", "all", F.posexplode("all").alias("pos", "content"))
-    content = F.substring("content", 1, 5000)
+    content = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
     test = content.rlike(("(?i)" if ignore_case else "") + pattern) if regex else F.contains(F.lower(content) if ignore_case else content, F.lit(pattern.lower() if ignore_case else pattern))
     before = F.slice("all", F.greatest(F.col("pos") + 1 - around, F.lit(1)), F.least(F.col("pos"), F.lit(around)))
     after = F.slice("all", F.col("pos") + 2, F.lit(around))

@@ -91,9 +91,10 @@ def first_paragraph(notes: DataFrame) -> DataFrame:
     return notes.select("note_path", F.coalesce(F.get(fit, F.lit(0)), F.lit("")).alias("paragraph"))
 
 
-def inline_fields(notes: DataFrame, max_line: int = 2000) -> DataFrame:
-    """(note_path, line, key, value) of ``key:: value`` in lines of up to ``max_line`` characters."""
-    lines = notes.select("note_path", F.posexplode(T.lines("text")).alias("pos", "content")).where(F.contains("content", F.lit("::")) & (F.char_length("content") <= max_line))
+def inline_fields(notes: DataFrame, max_line: int | None = None) -> DataFrame:
+    """(note_path, line, key, value) of ``key:: value`` in all lines, or in those of up to ``max_line`` characters."""
+    lines = notes.select("note_path", F.posexplode(T.lines("text")).alias("pos", "content")).where(F.contains("content", F.lit("::")))
+    lines = lines if max_line is None else lines.where(F.char_length("content") <= max_line)
     pairs = F.arrays_zip(T.all_groups("content", T.INLINE_FIELD, 1).alias("key"), T.all_groups("content", T.INLINE_FIELD, 2).alias("value"))
     found = lines.select("note_path", (F.col("pos") + 1).cast("long").alias("line"), F.explode(pairs).alias("p"))
     return found.select("note_path", "line", F.col("p.key").alias("key"), F.trim(F.col("p.value")).alias("value"))

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.jobs import registry, retrieval_queries
+from corpusloom.operators import corpus as C
+from corpusloom.operators import extract as X
 from corpusloom.operators import retrieval as V
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,17 @@ def test_diff_of_all_pairs(spark):
 def test_periodic_entries_go_to_notes_that_exist(spark):
     rows = dict(_equal_to_sql(spark, "append_periodic_notes"))
     assert len(rows) > 200 and "2024-W01.md" in rows and "2024-W02.md" in rows
+
+
+def test_long_texts_are_read_whole(spark):
+    line = "x " * 600_000 + "clown yes:: value"
+    df = spark.createDataFrame([("a.md", line), ("b.md", "clown")], "note_path string, text string")
+    assert [tuple(r) for r in C.top_terms(df).collect()] == [("clown", 2), ("value", 1)]
+    assert {(r.note_path, len(r.content)) for r in C.grep(df, "clown").collect()} == {("a.md", len(line)), ("b.md", 5)}
+    assert C.grep(df, r"\bclown\b", regex=True).count() == 2
+    assert [tuple(r) for r in X.inline_fields(df).collect()] == [("a.md", 1, "yes", "value")]
+
+
+@pytest.mark.parametrize("name", ["top_terms", "grep_context", "grep_regex", "inline_fields"])
+def test_registered_queries_without_caps_agree_with_their_sql(spark, name):
+    _equal_to_sql(spark, name)
