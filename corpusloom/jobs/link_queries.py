@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.jobs import tables as t
 from corpusloom.jobs.corpus_queries import WITH
 from corpusloom.operators import links as L
@@ -22,8 +23,8 @@ def _links(s, d):
 
 
 def _titles(s, d):
-    """Two-word titles: the second and third word of each benchmark text."""
-    return t.table(s, d, "benchmark").select(F.regexp_extract("text", r"^\S+ ([a-z]+ [a-z]+)", 1).alias("title")).where("title <> ''")
+    """The notes' own titles, and benchmark texts as whole titles."""
+    return t.notes(s, d).select(T.basename("note_path").alias("title")).unionByName(t.table(s, d, "benchmark").select(F.col("text").alias("title")))
 
 
 def _answers(s, d):
@@ -62,7 +63,7 @@ QUERIES = {
     "mutual_links": lambda s, d: L.mutual_links(_links(s, d), t.notes(s, d)),
     "link_completions": lambda s, d: L.completions(t.notes(s, d), "12"),
     "link_graph": lambda s, d: L.link_graph(_links(s, d), t.notes(s, d), "src10/10.md"),
-    "unlinked_mentions": lambda s, d: L.unlinked_mentions(t.notes(s, d), _titles(s, d), max_words=2),
+    "unlinked_mentions": lambda s, d: L.unlinked_mentions(t.notes(s, d), _titles(s, d)),
     "communities": lambda s, d: L.communities(_links(s, d), t.notes(s, d)),
     "trace": _trace,
     "extract_citations": lambda s, d: G.extract_citations(_answers(s, d)),

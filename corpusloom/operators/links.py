@@ -9,6 +9,10 @@ from corpusloom.functions import text as T
 from corpusloom.sources.scratch import materialise
 
 
+#: Starts of titles that go to all tasks; more meet the places in lines by a shuffle.
+MAX_STARTS = 500_000
+
+
 def outbound(notes: DataFrame) -> DataFrame:
     """(note_path, targets): each note's distinct link targets in order of first appearance."""
     return notes.select("note_path", T.wikilinks("text").alias("targets"))
@@ -91,18 +95,32 @@ def index_export(notes: DataFrame) -> DataFrame:
     return notes.select("note_path", T.wikilinks("text").alias("targets"), F.array_sort(F.array_distinct(T.tags("text"))).alias("tags"))
 
 
-def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, max_words: int = 4) -> DataFrame:
-    """(src, line, mention): titles that stand as whole words in a line without being linked.
+def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4) -> DataFrame:
+    """(src, line, mention): titles that stand as whole words in a line without being linked, each once a line.
 
-    ``titles`` (title) meet lines by equality of word n-grams, so there is no test of every line against every title.
-    Titles are compared without case, as words divided by single spaces; links and inline code are taken out first.
+    ``titles`` (title) may have any number of words. Lines meet the first two words of titles, or the only one, which
+    tell the lengths that are worth a try at that place; word n-grams of these lengths meet whole titles by equality, so
+    there is no test of every line against every title. Titles are compared without case, as words divided by single
+    spaces; links and inline code are taken out first.
     """
     bare = F.regexp_replace(F.regexp_replace(F.col("content"), r"!?\[\[[^\]]*\]\]", " "), r"`[^`]*`", " ")
     lines = notes.select("note_path", F.posexplode(T.lines("text")).alias("pos", "content"))
-    tokens = lines.select(F.col("note_path").alias("src"), (F.col("pos") + 1).alias("line"), T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0).alias("w"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " ")))))
-    asked = titles.where((F.char_length("title") >= min_chars) & (F.char_length("title") <= 256)).select(F.array_join(T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0), " ").alias("mention")).distinct()
-    return tokens.select("src", F.col("line").cast("long"), F.explode(grams).alias("mention")).join(asked, "mention").select("src", "line", "mention")
+    tokens = lines.select(F.col("note_path").alias("src"), (F.col("pos") + 1).cast("long").alias("line"), T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0).alias("w"))
+    # notes of the same path are told apart by their words
+    tokens = tokens.where(F.size("w") > 0).withColumn("joined", F.array_join("w", " ")).withColumn("h", F.xxhash64("joined"))
+    words = T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0)
+    asked = titles.where((F.char_length("title") >= min_chars) & (F.char_length("title") <= 256)).select(words.alias("t")).where(F.size("t") > 0)
+    asked = asked.select(F.array_join("t", " ").alias("mention"), F.array_join(F.slice("t", 1, 2), " ").alias("start"), F.size("t").alias("n")).distinct()
+    # hashes of starts only suggest a try; at most 128 lengths of up to 256 characters each
+    starts = asked.groupBy(F.xxhash64("start").alias("start")).agg(F.collect_set("n").alias("ns"))
+    starts = F.broadcast(starts) if starts.limit(MAX_STARTS + 1).count() <= MAX_STARTS else starts
+    pairs = F.transform("w", lambda x, i: F.struct(i.alias("i"), F.array(F.xxhash64(x), F.xxhash64(F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("starts")))
+    places = tokens.select("src", "line", "h", F.explode(pairs).alias("p")).select("src", "line", "h", F.col("p.i").alias("i"), F.explode("p.starts").alias("start"))
+    tries = places.join(starts, "start").groupBy("src", "line", "h").agg(F.collect_set(F.struct("i", "ns")).alias("tries"))
+    fit = F.transform("tries", lambda x: F.transform(F.filter(x["ns"], lambda n: x["i"] + n <= F.size("w")), lambda n: F.array_join(F.slice("w", x["i"] + 1, n), " ")))
+    lines = tokens.select("src", "line", "h", "joined").join(tries, ["src", "line", "h"]).withColumn("w", F.split("joined", " "))
+    grams = lines.select("src", "line", F.explode(F.array_distinct(F.flatten(fit))).alias("mention"))
+    return grams.join(asked.select("mention"), "mention").select("src", "line", "mention")
 
 
 def communities(links: DataFrame, notes: DataFrame, rounds: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 """Registered queries that answer for whole tables, against their SQL on a given table or against a plain search."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.jobs import registry, retrieval_queries
 from corpusloom.operators import corpus as C
 from corpusloom.operators import extract as X
+from corpusloom.operators import links as L
 from corpusloom.operators import retrieval as V
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +98,22 @@ def test_long_texts_are_read_whole(spark):
 @pytest.mark.parametrize("name", ["top_terms", "grep_context", "grep_regex", "inline_fields"])
 def test_registered_queries_without_caps_agree_with_their_sql(spark, name):
     _equal_to_sql(spark, name)
+
+
+def test_mentions_of_titles_of_any_length(spark):
+    long = "one two three four five six seven eight nine ten"
+    titles = ["solo", long, "One two three", "ONE two", "six seven eight nine", "absent words here", "abc", "x" * 257, "a b " * 30]
+    texts = {"a.md": f"see {long.title()}, and solo solo\n[[one two]] one, two `three`", "b.md": "one two\nthree " + "a b " * 40, "c.md": None, "d.md": ""}
+    rows = [(p, x) for p, x in texts.items()] + [("a.md", "of the same path: solo\nabsent words")]
+    expected = []
+    for path, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            w = " " + " ".join(re.findall(r"\w+", re.sub(r"`[^`]*`", " ", re.sub(r"!?\[\[[^\]]*\]\]", " ", line)).lower())) + " "
+            expected += [(path, i + 1, t.lower().strip()) for t in titles if 4 <= len(t) <= 256 and f" {t.lower().strip()} " in w]
+    got = L.unlinked_mentions(spark.createDataFrame(rows, "note_path string, text string"), spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and ("a.md", 1, long) in expected and len(expected) > 8
+
+
+def test_mentions_query_asks_for_whole_titles(spark):
+    found = registry.queries()["unlinked_mentions"](spark, SF)
+    assert found.where(F.size(F.split("mention", " ")) > 10).count() > 0
