@@ -5,24 +5,30 @@ point, and two sets share at most the sum of the coordinates' minima. Points lie
 bounds all points below it, so subtrees and pairs that can't reach the needed overlap fall away and only surviving
 pairs are verified on the sets.
 
-A tree over the whole corpus would not fit one task, so documents first meet by rare shingles: under one global order
-(rarest first, by a table of counters of fixed size) two sets that are similar enough must share one of their first
-n - ceil(t n) + 1 shingles. Points that share such a shingle are compared by the bound, and those that pass make
-families; the tree is built for each family, a large family is cut into tiles of the tree, and tiles meet pair by pair
-as far as the bound of their corners allows. A shingle that very many share joins them in chains of like size instead,
-which puts them into one family without comparing any.
+A tree over the whole corpus would not fit one task, and its corners would not tell unrelated documents of like size
+apart, so documents first meet by rare shingles: under one global order (rarest first, by a table of counters of fixed
+size) two sets that are similar enough must share one of their first n - ceil(t n) + 1 shingles. That deals the points
+to trees: sharers of a shingle are the points of one tree, whose bound decides which of them make a family, and each
+family, or each tile of a large one, is a tree of its own that gives the pairs to verify.
+
+Two things keep a large family from costing all pairs of its tiles. Tiles are linked within themselves first, together
+with some visitors from other tiles; what is connected by then is dealt to tiles again by component, and two tiles of
+one component don't meet. And within a task whoever is connected already is left out before any bound is worked out.
+A shingle that very many share joins them by size class to one member each, without comparing any.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import common
 from corpusloom.llm.graphs import UnionFind, connected_components
@@ -31,10 +37,16 @@ GROUPS = 256
 #: Counters of the popularity table, whose size is fixed. They only set the order of shingles, never a result.
 COUNTER_BITS = 22
 PARTS = 64
-#: Points below one node of the R-tree, and up to how many are compared without one.
+#: Points below one node of the R-tree; as few make a tree of one leaf.
 FANOUT = 16
-#: Sharers of a shingle up to which they are compared by the bound at once; more are chained.
+#: Sharers of a shingle up to which they are compared by the bound at once; more are joined by size class.
 SHARERS = 4096
+#: Shingles of one tile: a tile of very long texts has fewer of them.
+TILE_SHINGLES = 1 << 21
+#: Rows of equal sets are dealt to so many parts before they are named.
+SALTS = 64
+#: One of so many nodes of a tile visits other tiles of its family.
+VISITOR = 128
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -129,45 +141,65 @@ class CountTree:
         return nodes
 
 
-def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """den * |a and b| >= num * |a or b| for sorted distinct values."""
-    common_ = len(a) + len(b) - len(np.union1d(a, b))
-    return den * common_ >= num * (len(a) + len(b) - common_)
-
-
-def link_tiles(nodes: list[int], sets: list[np.ndarray], points: np.ndarray, home: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def link_tiles(nodes: list[int], sets: list[np.ndarray], points: np.ndarray, home: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected among ``nodes``; ``home`` tells the tile, and tiles 0 and 1 are joined.
 
-    With one tile all pairs count, with two those across; pairs that earlier links connect already are not verified.
+    With one tile all pairs count, with two those across. Nodes of the same ``known`` label, or connected by a link
+    found before, are not compared. A link holds if den * |a and b| >= num * |a or b|.
     """
     sizes = np.array([len(s) for s in sets])
     left = np.flatnonzero(home == 0)
     right = np.flatnonzero(home == 1) if home.any() else left
     order = right[np.lexsort((points[right, 0], sizes[right]))]
-    tree, sets_, links = CountTree(points[order], sizes[order]), UnionFind(), []
+    tree, links = CountTree(points[order], sizes[order]), []
+    label = np.unique(known, return_inverse=True)[1] if known is not None else np.arange(len(nodes))
+    codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)[1]
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.concatenate([codes[cuts[j] : cuts[j + 1]] for j in order.tolist()] or [codes[:0]])
+    starts = np.concatenate(([0], np.cumsum(sizes[order])))
+    mark = np.zeros(len(codes) + 1, bool)
     for i in left.tolist():
-        for j in order[tree.reach(points[i], int(sizes[i]), num, den)].tolist():
-            if i != j and sets_.find(i) != sets_.find(j) and similar(sets[i], sets[j], num, den):
-                sets_.join(i, j)
+        apart = label[order] != label[i]
+        if not apart.any():
+            continue
+        near = tree.reach(points[i], int(sizes[i]), num, den)
+        near = near[apart[near]]
+        if not len(near):
+            continue
+        mine = codes[cuts[i] : cuts[i + 1]]
+        mark[mine] = True
+        if 4 * sizes[order[near]].sum() < len(flat):
+            both = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j + 1]]]) for j in near.tolist()])
+        else:
+            both = np.add.reduceat(mark[flat], starts[:-1], dtype=np.int64)[near]
+        mark[mine] = False
+        union = sizes[i] + sizes[order[near]] - both
+        for j in order[near[den * both >= num * union]].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 links.append((nodes[i], nodes[j]))
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, tile: int = 1024, max_broadcast_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, tile: int = 1024, max_broadcast_ids: int = 2_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Groups of documents that links connect: den * |intersection| >= num * |union| of their k-word shingle sets.
 
     Returns a row for each row of ``docs``: doc_id, n_shingles (long), component_id, the smallest doc_id reachable by
-    links, itself included. Equal sets are one node from the start. Exact: no link between different sets is lost and
-    no partner is capped (sets and shingles are told apart by 64-bit hashes).
+    links, itself included. With ``keep``, names of more columns of ``docs``, also group_id (long: the same for all
+    rows of a group, null without a set) and these columns. Equal sets are one node from the start. Exact: no link
+    between different sets is lost and no partner is capped (sets and shingles are told apart by 64-bit hashes).
 
     Words are runs without ASCII white space, A-Z lower-cased; fewer than k words are one shingle. Null or empty texts
     have no set, n_shingles 0, and are linked with nothing. Null ids never name a component unless it has no other
-    id; repeated rows are nodes alike. Other columns are ignored. An empty table gives an empty result.
+    id; repeated rows, and rows of one id with different texts, are nodes alike. Other columns are ignored. An empty
+    table gives an empty result.
     """
     counters = docs.sparkSession.sparkContext.broadcast(popularity(docs, k))
+    kept = [f"_k{i}" for i in range(len(keep))]
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, kept, strict=True)])
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
+        table, row = counters.value, 0
         for batch in common.slices(batches):
             names, counts, keys, points = [], [], [], []
             for s in shingle_sets(common.texts_of(batch), k):
@@ -177,36 +209,54 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
                 first = np.argsort(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[: n - -(-num * n // den) + 1]
                 keys.append(s[first].view(np.int64))
                 points.append(point_of(s) if n else None)
-            columns = [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "point"])
-
-    described = common.materialise(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, node long, n long, keys array<long>, point binary"))
-    rows = described.select("doc_id", "node", "n")
-    lowest = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    keys = described.where("n > 0").select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    shared = common.materialise(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
-    points = described.select("node", "point").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    few = shared.where(F.col("m") <= SHARERS).select("key", "node", "n").join(points, "node")
-    near = _bounded_edges(few, num, den)
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    chained = shared.where(F.col("m") > SHARERS).withColumn("b", F.lag("node").over(by_size)).withColumn("l", F.lag("n").over(by_size))
-    chains = chained.where(F.col("b").isNotNull() & (F.col("l") * den >= F.col("n") * num)).select(F.col("node").alias("a"), "b")
-    family = common.materialise(connected_components(near.unionByName(chains)))
-    wanted = common.materialise(family.join(lowest, "node").select("node", "component", "low"))
+            salt, row = np.arange(row, row + batch.num_rows, dtype=np.int32) % SALTS, row + batch.num_rows
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(salt), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["doc_id", "th", "salt", "node", "n", "keys", "point", *kept])
+
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, th long, salt int, node long, n long, keys array<long>, point binary").fields, *(given.schema[c] for c in kept)])
+    described = common.materialise(given.mapInArrow(describe, schema))
+    rows = described.select("doc_id", "salt", "node", "n", *kept)
+    # equal sets meet in two steps, so that a text that a third of all rows have is spread over SALTS tasks
+    where = F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th")
+    parts = common.materialise(described.where("node is not null").groupBy("node", "salt").agg(F.min("doc_id").alias("low"), where))
+    lowest = common.materialise(parts.groupBy("node").agg(F.min("low").alias("low"), F.coalesce(F.min_by("th", "low"), F.min("th")).alias("th")))
+    nodes = common.materialise(described.where("n > 0").select("node", "n", "keys", "point").dropDuplicates(["node"]))
+    family = common.materialise(connected_components(_family_edges(nodes, num, den)))
+    wanted = common.materialise(family.join(lowest, "node").select("node", "component", "low", "th"))
     sets = _sets_of(docs, wanted, k, max_broadcast_ids)
-    links = _family_links(sets, num, den, tile)
-    groups = connected_components(links)
-    named = groups.join(lowest, "node").withColumn("least", F.min("low").over(Window.partitionBy("component"))).select(F.col("node").alias("_node"), "least")
-    alone = lowest.select(F.col("node").alias("_alone"), "low")
-    named = alone.join(named, F.col("_alone") == F.col("_node"), "left").select(F.col("_alone").alias("_node"), F.coalesce("least", "low").alias("least"))
-    joined = rows.join(named, F.col("node") == F.col("_node"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    groups = common.materialise(connected_components(_family_links(sets, num, den, tile)))
+    least = groups.join(lowest, "node").groupBy("component").agg(F.min("low").alias("least"))
+    named = groups.join(common.broadcast_if_small(least, max_broadcast_ids), "component")
+    named = lowest.join(named, "node", "left").select("node", F.coalesce("least", "low").alias("least"), F.coalesce("component", "node").alias("group_id"))
+    told = parts.select("node", "salt").join(named, "node").select(F.col("node").alias("_node"), F.col("salt").alias("_salt"), "least", "group_id")
+    joined = rows.join(told, (F.col("node") == F.col("_node")) & (F.col("salt") == F.col("_salt")), "left")
+    extra = ["group_id", *[F.col(n).alias(c) for c, n in zip(keep, kept, strict=True)]] if keep else []
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *extra)
+
+
+def _family_edges(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that put into one family whoever may be similar; nodes: (node, n, keys, point), once each."""
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
+    counts = common.materialise(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    # fewer than (all keys) / SHARERS rows
+    hot = common.broadcast_if_small(counts.where(F.col("m") > SHARERS).select("key"), 1_000_000)
+    few = keys.join(hot, "key", "left_anti").join(counts.where(F.col("m") <= SHARERS).select("key"), "key")
+    near = _bounded_edges(few.join(nodes.select("node", "point"), "node"), num, den)
+    # similar sets are of the same size class or of neighbouring ones
+    step = max(1e-6, math.log(den / num) * 1.001)
+    many = keys.join(hot, "key").withColumn("c", F.floor(F.ln("n") / step))
+    heads = common.materialise(many.groupBy("key", "c").agg(F.min("node").alias("head")))
+    small = common.broadcast_if_small(heads, 1_000_000)
+    stars = many.join(small, ["key", "c"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    steps = heads.select("key", (F.col("c") + 1).alias("c"), F.col("head").alias("a")).join(heads.withColumnRenamed("head", "b"), ["key", "c"]).select("a", "b")
+    return near.unionByName(stars.unionByName(steps).where("a <> b").distinct())
 
 
 def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect whom the bound can't tell apart among sharers of a key; rows: (key, node, n, point).
 
-    A task goes through its keys one after another and keeps, beside the points of one key, whom it has connected.
+    A task goes through its keys one after another and keeps, beside the points of one key, whom it has connected;
+    who is connected already is not compared again.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,20 +264,30 @@ def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def settle() -> list[tuple[int, int]]:
             found = []
-            if len(held) > 1:
-                nodes, sizes, points = [x[0] for x in held], np.array([x[1] for x in held]), read_points([x[2] for x in held])
-                tree = CountTree(points, sizes) if len(held) > FANOUT else None
-                for i in range(len(held) - 1):
-                    if tree:
-                        others = tree.reach(points[i], int(sizes[i]), num, den)
-                        others = others[others > i]
-                    else:  # rows come by size
-                        last = int(np.searchsorted(sizes * num, sizes[i] * den, side="right"))
-                        bound = np.minimum(points[i], points[i + 1 : last]).sum(axis=1)
-                        others = i + 1 + np.flatnonzero((num + den) * bound >= num * (sizes[i] + sizes[i + 1 : last]))
-                    for j in others.tolist():
-                        if sets.join(nodes[i], nodes[j]):
-                            found.append((nodes[i], nodes[j]))
+            if len(held) < 2:
+                return found
+            nodes = [x[0] for x in held]
+            label = np.array([sets.find(x) for x in nodes])
+            if (label == label[0]).all():
+                return found
+            sizes, points = np.array([x[1] for x in held]), read_points([x[2] for x in held])
+            tree = CountTree(points, sizes) if len(held) > FANOUT else None
+            for i in range(len(held) - 1):
+                apart = label != label[i]
+                if not apart[i + 1 :].any():
+                    continue
+                if tree:
+                    others = tree.reach(points[i], int(sizes[i]), num, den)
+                    others = others[others > i]
+                else:  # one leaf; rows come by size
+                    last = int(np.searchsorted(sizes * num, sizes[i] * den, side="right"))
+                    bound = np.minimum(points[i], points[i + 1 : last]).sum(axis=1)
+                    others = i + 1 + np.flatnonzero((num + den) * bound >= num * (sizes[i] + sizes[i + 1 : last]))
+                for j in others[apart[others]].tolist():
+                    if label[i] != label[j]:
+                        sets.join(nodes[i], nodes[j])
+                        found.append((nodes[i], nodes[j]))
+                        label[(label == label[i]) | (label == label[j])] = min(label[i], label[j])
             return found
 
         for batch in batches:
@@ -248,7 +308,10 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int) -> DataFrame:
-    """(component, node, n, members, point) of the nodes in families: only these sets are ever moved."""
+    """(component, node, n, members, point) of the nodes in families: only these sets are ever moved.
+
+    A node's text is found by its hash and its least id, so many rows of one id, or of none, don't meet each other.
+    """
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -263,42 +326,87 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int)
             columns = [batch.column("component").take(pa.array(keep, pa.int32())), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["component", "node", "n", "members", "point"])
 
-    asked = common.broadcast_if_small(wanted.withColumnRenamed("low", "_low"), max_broadcast_ids)
-    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("_low"))).select("component", "node", "text")
-    found = texts.mapInArrow(collect, "component long, node long, n long, members binary, point binary")
-    return common.materialise(found.dropDuplicates(["node"]))
+    asked = common.broadcast_if_small(wanted.select("component", "node", F.col("low").alias("_low"), F.col("th").alias("_th")), max_broadcast_ids)
+    found = (F.xxhash64("text") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_low"))
+    texts = docs.select("doc_id", "text").join(asked, found).select("component", "node", "text")
+    sets = texts.mapInArrow(collect, "component long, node long, n long, members binary, point binary")
+    return common.materialise(sets.dropDuplicates(["node"]))
+
+
+def _dealt(placed: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """``placed`` with ``c`` and ``part``: at most about ``tile`` nodes, and TILE_SHINGLES shingles, for each value of ``by`` and both."""
+    classed = placed.withColumn("c", F.floor(F.log2("n") * 4))
+    sizes = classed.groupBy(*by, "c").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("m") / tile, F.col("w") / TILE_SHINGLES)).cast("int")).drop("m", "w")
+    sized = classed.join(common.broadcast_if_small(sizes, 1_000_000), [*by, "c"])
+    return sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
 def _family_links(sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """Links (a, b) inside families, found tile by tile."""
-    order = Window.partitionBy("component").orderBy("n", "node")
-    placed = sets.select("component", "node", "n", "point").withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile).cast("int"))
-    placed = common.materialise(placed)
+    """Links (a, b) inside families: within tiles first, then between tiles that are not of one component by then."""
+    slim = sets.select("component", "node", "n")
+    large = slim.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where((F.col("m") > tile) | (F.col("w") > TILE_SHINGLES)).select("component")
+    large = common.materialise(large)  # fewer than nodes / tile rows, apart from families of very long texts
+    known = common.broadcast_if_small(large, 1_000_000)
+    small = slim.join(known, "component", "left_anti").select("component", F.lit(0).cast("long").alias("c"), F.lit(0).alias("part"), "node")
+    placed = common.materialise(_dealt(slim.join(known, "component"), ["component"], tile))
+    # visitors go to parts 1, 2, 4, ... further on in their class, and to one of the next class
+    guests = placed.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, min(VISITOR, tile // 2)))) == 0)
+    hops = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.col("parts").cast("double"))).cast("int")), lambda j: F.pmod(F.col("part") + F.pow(F.lit(2), j).cast("int"), F.col("parts")))
+    within = guests.select("component", "c", F.explode(F.array_distinct(hops)).alias("part"), "node")
+    above = placed.select("component", (F.col("c") - 1).alias("c"), F.col("parts").alias("_above")).distinct()
+    onward = guests.join(above, ["component", "c"]).select("component", (F.col("c") + 1).alias("c"), F.pmod("part", "_above").alias("part"), "node")
+    own = placed.select("component", "c", "part", "node")
+    pooled = own.unionByName(within).unionByName(onward).distinct().unionByName(small)
+
+    def within_tile(table: pa.Table) -> pa.Table:
+        return _links_of(table, np.zeros(len(table), np.int8), num, den)
+
+    held = sets.select("node", "members", "point")
+    first = common.materialise(pooled.join(held, "node").groupBy("component", "c", "part").applyInArrow(within_tile, "a long, b long"))
+    if large.isEmpty():
+        return first
+    return first.unionByName(_links_between(placed.select("component", "node", "n"), first, held, num, den, tile))
+
+
+def _links_of(table: pa.Table, home: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> pa.Table:
+    members = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+    found = link_tiles(table["node"].to_pylist(), members, read_points(table["point"].to_pylist()), home, num, den, known)
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+
+def _links_between(slim: DataFrame, first: DataFrame, held: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """Links between tiles of large families, dealt by the components that ``first`` makes.
+
+    A component of a quarter tile or more has tiles of its own, the rest shares tiles. Tiles meet if the bound of
+    their corners lets them, but not if both are of one component.
+    """
+    label = connected_components(first).select("node", F.col("component").alias("label"))
+    named = common.materialise(slim.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    own = named.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") * 4 >= tile).select("label", F.col("label").alias("own"))
+    whole = named.join(common.broadcast_if_small(own, 1_000_000), "label", "left").withColumn("own", F.coalesce(F.col("own").cast("string"), F.lit("")))
+    placed = _dealt(whole, ["component", "own"], tile).withColumn("tile", F.concat_ws("/", "own", F.col("c").cast("string"), F.col("part").cast("string")))
+    placed = common.materialise(placed.select("component", "node", "n", "label", "own", "tile"))
 
     def corner(table: pa.Table) -> pa.Table:
         n = table["n"].to_numpy()
-        row = [table["component"][0].as_py(), table["tile"][0].as_py(), int(n.min()), int(n.max()), read_points(table["point"].to_pylist()).max(axis=0), len(n)]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64()]
-        return pa.table({c: pa.array([v], k) for c, v, k in zip(("component", "tile", "low", "high", "corner", "size"), row, kinds, strict=True)})
-
-    whole = placed.groupBy("component").agg(F.max("tile").alias("tiles")).where("tiles > 0").select("component")
-    large = placed.join(whole, "component", "left_semi")
-    tiles = large.groupBy("component", "tile").applyInArrow(corner, "component long, tile int, low long, high long, corner array<int>, size long")
-    left = tiles.select("component", F.col("tile").alias("i"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("corner").alias("c1"), F.col("size").alias("s1"))
-    right = tiles.select("component", F.col("tile").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("corner").alias("c2"))
+        row = [table[c][0].as_py() for c in ("component", "own", "tile")] + [int(n.min()), int(n.max()), read_points(table["point"].to_pylist()).max(axis=0)]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        return pa.table({c: pa.array([v], k) for c, v, k in zip(("component", "own", "tile", "low", "high", "corner"), row, kinds, strict=True)})
+
+    pointed = placed.select("component", "own", "tile", "node", "n").join(held.select("node", "point"), "node")
+    tiles = common.materialise(pointed.groupBy("component", "own", "tile").applyInArrow(corner, "component long, own string, tile string, low long, high long, corner array<int>"))
+    left = tiles.select("component", F.col("own").alias("o1"), F.col("tile").alias("i"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("corner").alias("c1"))
+    right = tiles.select("component", F.col("own").alias("o2"), F.col("tile").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("corner").alias("c2"))
     bound = F.aggregate(F.zip_with("c1", "c2", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    meet = left.join(right, "component").where("i <= j").where("i < j or s1 > 1").where(F.col("h1") * den >= F.col("l2") * num)
-    meet = meet.where((num + den) * bound >= num * (F.col("l1") + F.col("l2"))).select("component", "i", "j")
-    alone = placed.select("component", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct().join(whole, "component", "left_anti")
-    meet = meet.unionByName(alone)
-    spread = meet.select("component", "i", "j", F.explode(F.expr("if(i = j, array(i), array(i, j))")).alias("tile"))
-    dealt = placed.select("component", "node", "tile").join(spread, ["component", "tile"]).join(sets.select("node", "members", "point"), "node")
+    meet = left.join(right, "component").where("i <= j").where("o1 = '' or o1 <> o2")
+    meet = meet.where((F.col("h1") * den >= F.col("l2") * num) & (F.col("h2") * den >= F.col("l1") * num) & ((num + den) * bound >= num * (F.col("l1") + F.col("l2"))))
+    meet = meet.select("component", "i", "j")
+    spread = meet.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    dealt = placed.select("component", "node", "label", "tile").join(spread, ["component", "tile"]).join(held, "node")
 
     def link(table: pa.Table) -> pa.Table:
-        members = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
-        points = read_points(table["point"].to_pylist())
-        home = np.asarray(table["tile"]) != np.asarray(table["i"])
-        found = link_tiles(table["node"].to_pylist(), members, points, home.astype(np.int8), num, den)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        home = (np.asarray(table["tile"]) != np.asarray(table["i"])).astype(np.int8)
+        return _links_of(table, home, num, den, table["label"].to_numpy())
 
-    return dealt.select("component", "i", "j", "tile", "node", "members", "point").groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
+    return dealt.select("component", "i", "j", "tile", "node", "label", "members", "point").groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
