@@ -30,12 +30,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with linked 5-word shingle sets (similarity 0.8 or more) stays: that of the least doc_id.
 
-    Repeated rows of one doc_id are one document; rows without a doc_id have no group and all stay.
+    Rows are told apart, not ids: rows of one id with different texts are different documents. Of equal ids in a group
+    the row with the least hash of all its columns stays, so repeated rows leave one; a row without an id stays only
+    where its group has no id. Rows without words have no group and all stay.
     """
-    groups = neardup.near_duplicates(docs.where("doc_id is not null"), k=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _like(docs, kept).unionByName(docs.where("doc_id is null"))
+    row, tie = common.free_name(docs, "_row"), common.free_name(docs, "_tie")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = common.materialise(keyed)
+    groups = neardup.near_duplicates(keyed, k=5, num=80, den=100, keep=(row, tie))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", tie, row)).alias("first")
+    kept = groups.where("group_id is not null").groupBy("group_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    kept = kept.unionByName(groups.where("group_id is null").select(row))
+    return _like(docs, keyed.join(kept, row, "left_semi"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
