@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,36 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Add, for each new name of ``sums``, the sum of its column (whole numbers) from the first row in ``order`` to this one.
+
+    One range sort over all rows, whatever keys they have: rows that are equal in the first columns of ``order`` still
+    spread over tasks if later ones differ. Each task sums its own rows, a row for each task goes to the driver, and
+    the sums before a task are added. Nulls come first and count as 0. The result is written, in order.
+    """
+    names, new = df.columns, list(sums)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), dict.fromkeys(new, 0)
+        for batch in batches:
+            made = []
+            for name in new:
+                made.append(np.cumsum(np.asarray(pc.fill_null(batch.column(sums[name]), 0), dtype=np.int64)) + before[name])
+                before[name] = int(made[-1][-1]) if batch.num_rows else before[name]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made), pa.array(np.full(batch.num_rows, part, np.int32))], names=[*names, *new, "_part"])
+
+    schema = plus(df, ", ".join(f"{n} long" for n in new) + ", _part int")
+    summed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add, schema))
+    ends = sorted(tuple(r) for r in summed.groupBy("_part").agg(*[F.max(n).alias(n) for n in new]).collect())
+    offsets, total = [], [0] * len(new)
+    for part, *last in ends:
+        offsets.append((part, *total))
+        total = [a + b for a, b in zip(total, last, strict=True)]
+    before = df.sparkSession.createDataFrame(offsets, "_part int, " + ", ".join(f"_before_{n} long" for n in new))
+    joined = summed.join(F.broadcast(before), "_part")  # a row for each task
+    return joined.select(*[F.col(f"`{n}`") for n in names], *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in new])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where ``df`` has such a column already."""
     taken = {c.lower() for c in df.columns}

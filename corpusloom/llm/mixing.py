@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
+#: Sources that go to all tasks; more are met by a shuffle.
+MAX_SOURCES = 500_000
+
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
@@ -14,71 +17,60 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     Sources by code point, null last, take ``weights`` in turn and share ``share_pct`` percent of all sizes; a target
     stops at ``max_epochs`` times its source's size and the excess is shared again by weight until none is above.
     That fixed point is a water level: sources in order of size over weight are full until the level of the rest,
-    (budget - full ones) / weight of the rest, is below the next one's own. One row a source, so one window is enough.
+    (budget - full ones) / weight of the rest, is below the next one's own. Two range sorts of the sources, so there
+    can be as many as there are hosts.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("_turn", (F.row_number().over(by_name) - 1) % len(weights))
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("_turn") + 1)
-    ranked = ranked.select("source", "source_size", weight.cast("long").alias("w"), (F.lit(max_epochs) * F.col("source_size")).alias("cap"))
-    by_fill = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    budget = F.sum("source_size").over(everything) * share_pct / 100
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after)
-    levels = ranked.withColumn("_level", level).withColumn("_open", F.col("_level") * F.col("w") < F.col("cap"))
-    level = F.min(F.when(F.col("_open"), F.struct((F.col("cap") / F.col("w")).alias("at"), F.col("_level").alias("level")))).over(everything)["level"]
-    target = F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("w"), F.col("cap").cast("double")))
-    return levels.select("source", "source_size", target.alias("target"))
+    named = sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit(1).alias("one"))
+    ranked = common.running_sums(named, ["last", "source"], {"place": "one"})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "source_size", "last", weight.cast("long").alias("w"), (F.lit(max_epochs) * F.col("source_size")).cast("long").alias("cap"))
+    ranked = common.running_sums(ranked.withColumn("at", F.col("cap") / F.col("w")), ["at", "last", "source"], {"caps": "cap", "weights": "w"})
+    whole = ranked.agg(F.sum("source_size").alias("all"), F.sum("w").alias("all_w")).first()
+    budget = (whole["all"] or 0) * share_pct / 100
+    level = (F.lit(budget) - (F.col("caps") - F.col("cap"))) / (F.lit(whole["all_w"] or 0) - F.col("weights") + F.col("w"))
+    opened = ranked.withColumn("level", level).where(F.col("level") * F.col("w") < F.col("cap"))
+    best = opened.agg(F.min(F.struct("at", "level")).alias("b")).first()["b"]
+    full = F.col("cap").cast("double")
+    target = full if best is None else F.least(full, F.lit(best["level"]) * F.col("w"))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def shuffle_key(epoch: Column) -> Column:
     """The order of a source's documents in one epoch: pseudo-random, the same in each run."""
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch.cast("string")))
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch.cast("string"))))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Give every document the words that a mix of all sources takes from it.
 
     Each source's documents come in a shuffled order once an epoch; a copy's virtual finish time is the source's
-    words up to its end over the source's target. Copies are taken in order of finish time, over all sources, while
-    the words so far stay within the total of the targets. Running sums go in two levels (blocks of the shuffle key,
-    then rows of a block), and the cut is found in a histogram of finish times, so no source is gathered in one task.
+    words up to its end over the source's target. All copies are range-sorted by finish time into one queue, which is
+    cut where its words pass the total of the targets. Both running sums, that of each source and that of the queue,
+    come from a range sort over all copies, so no source is gathered in one task, nor are the rows without an id.
 
-    Returns doc_id, source, size, source_size (long), target (double), taken (long) and the columns of ``keep``, a row
-    for each row of ``docs``.
+    Returns doc_id, source, size, source_size (long), target (double), taken (long), queue_pos (long, from 0: the
+    place of the first copy that is taken, null if none is) and the columns of ``keep``, a row for each row of ``docs``.
     Null text has size 0; null source is a source of its own; null ids and repeated rows are documents as any other
-    (rows alike in doc_id, source and size are interchangeable). An empty table gives an empty result.
+    (rows alike in doc_id, source and size are interchangeable; the rest does not depend on how rows are dealt to
+    files). An empty table gives an empty result.
     """
     base = common.materialise(docs.select("doc_id", "source", common.word_count().alias("size"), F.monotonically_increasing_id().alias("_row"), *keep))
     targets = common.materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_pct, max_epochs))
-    copies = base.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
+    same = F.col("source").eqNullSafe(F.col("_t"))
+    few = common.broadcast_if_small(targets.withColumnRenamed("source", "_t"), MAX_SOURCES)
+    copies = base.where("size > 0").select("_row", "source", "doc_id", "size", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("epoch"))
     copies = copies.withColumn("key", shuffle_key(F.col("epoch")))
-    copies = copies.withColumn("block", F.concat(F.col("epoch").cast("string"), F.substring("key", 1, 3)))
-    same = lambda other: F.col("source").eqNullSafe(other)
-    blocks = copies.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    so_far = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("before"))
-    blocks = blocks.join(targets.select(F.col("source").alias("_t"), "source_size", "target"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    in_block = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    timed = copies.withColumn("within", F.sum("size").over(in_block)).join(blocks, same(F.col("_s")) & (F.col("block") == F.col("_b")))
-    finish = F.when(F.col("target") > 0, (F.col("before") + F.col("within")) / F.col("target")).otherwise(F.lit(0.0))
-    timed = common.materialise(timed.select("_row", "source", "epoch", "key", "doc_id", "size", finish.alias("finish")).where(F.col("size") > 0))
-    grid = 1 << 16
-    slot = F.least(F.floor(F.col("finish") * grid), F.lit(4 * grid)).cast("int")
+    lined = common.running_sums(copies, ["source", "epoch", "key", "doc_id", "size", "_row"], {"upto": "size"})
+    start = lined.groupBy(F.col("source").alias("_t")).agg(F.min(F.col("upto") - F.col("size")).alias("start"))
+    few_starts = common.broadcast_if_small(targets.join(start, F.col("source").eqNullSafe(F.col("_t"))).select("_t", "start", "target"), MAX_SOURCES)
+    finish = (F.col("upto") - F.col("start")) / F.col("target")
+    timed = lined.join(few_starts, same).select("_row", "source", "epoch", "key", "doc_id", "size", finish.alias("finish"), F.lit(1).alias("one"))
+    queue = common.running_sums(timed, ["finish", "source", "epoch", "key", "doc_id", "_row"], {"words": "size", "place": "one"})
     total = targets.agg(F.sum("target")).first()[0] or 0.0
-    # at most 4 * grid + 1 rows in this window, and one row to the driver
-    hist = timed.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
-    over = hist.where(F.col("upto") > F.floor(F.lit(total) + 1e-6)).orderBy("slot").select("slot", (F.col("upto") - F.col("words")).alias("before")).first()
-    if over is None:
-        chosen = timed
-    else:
-        edge = timed.where(slot == over["slot"])  # one slot of the grid
-        upto = F.lit(over["before"]) + F.sum("size").over(Window.orderBy("finish", "source", "epoch", "key", "doc_id", "_row"))
-        edge = edge.withColumn("upto", upto).where(F.col("upto") <= F.floor(F.lit(total) + 1e-6)).drop("upto")
-        chosen = timed.where(slot < over["slot"]).unionByName(edge)
-    taken = chosen.groupBy(F.col("_row").alias("_r")).agg(F.sum("size").alias("taken"))
-    sized = base.join(taken, F.col("_row") == F.col("_r"), "left").join(targets.select(F.col("source").alias("_t"), "source_size", "target"), same(F.col("_t")))
-    return sized.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
+    chosen = queue.where(F.col("words") <= F.floor(F.lit(total) + 1e-6))
+    taken = chosen.groupBy(F.col("_row").alias("_r")).agg(F.sum("size").alias("taken"), (F.min("place") - 1).alias("queue_pos"))
+    sized = base.join(taken, F.col("_row") == F.col("_r"), "left").join(few, same)
+    return sized.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "queue_pos", *keep)
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2) -> DataFrame:

@@ -42,7 +42,7 @@ def op4_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source", "queue_pos")
 
 
 def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
