@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
 STRIPPED = " \t\n\x0b\x0c\r"
+#: Line keys above this part of all lines are joined apart from the rest.
+HEAVY = 1 << 16
 
 
 def line_key(line: Column) -> Column:
@@ -27,50 +32,121 @@ def _key_of(line: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+@contextlib.contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, scans of runs count as sorted, so that merges of runs neither shuffle nor sort them."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
     """Sorted runs of (hash, n_docs, owner) on levels, in the shared folder.
 
-    A batch is aggregated to a run of its own, sorted by hash over range partitions. Hashes that no older run holds
-    get the batch's largest document as owner (merge-anti-join); others only add to the count. When a level holds
-    ``fanout`` runs they are merged into one run of the next level, so a batch meets few runs however many came before.
+    A run has one sorted file for each bucket of the hash, and all runs have the same buckets: what is merged with a
+    run is read bucket by bucket, in order, without a shuffle of the run. A batch is aggregated by hash, merge-joined
+    with the runs, and written as a run of its own. Hashes that no run holds get the batch's largest document as owner
+    (the anti-join); others only add to the count. Before a level with ``fanout`` runs gets another one they are
+    merged into one run of the next level, so a batch meets few runs however many came before.
+
+    The runs' places stand in a manifest below ``root``: ``LineRuns(spark, root)`` goes on where an earlier object,
+    in this session or another, has stopped. Batches must not be added from two sides at a time.
     """
 
     SCHEMA = "h binary, n_docs long, owner long"
-
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout, self.root, self.levels, self.made = spark, fanout, common.scratch_dir(spark), [[]], 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path, self.made = f"{self.root}/level={level}/run={self.made}", self.made + 1
-        run.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
+    MANIFEST = "level int, place int, run string, buckets int"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
+        self.spark, self.fanout, self.root, self.version = spark, fanout, root or common.scratch_dir(spark), 0
+        self.levels: list[list[str]] = [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if root is not None:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            told = self.spark.read.schema(self.MANIFEST + ", version int").json(f"{self.root}/manifest").collect()  # a row for each run and version
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        self.version = max((r["version"] for r in told), default=0)
+        for r in sorted((r for r in told if r["version"] == self.version), key=lambda r: (r["level"], r["place"])):
+            while len(self.levels) <= r["level"]:
+                self.levels.append([])
+            self.levels[r["level"]].append(r["run"])
+            self.buckets = r["buckets"]
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {r['run']} (h BINARY, n_docs BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{r['run']}'")
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows.write.option("path", f"{self.root}/{name}").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _note(self) -> None:
+        rows = [(level, place, run, self.buckets) for level, runs in enumerate(self.levels) for place, run in enumerate(runs)]
+        self.version += 1
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.json(f"{self.root}/manifest/version={self.version}")
+
+    def _in_order(self) -> list[str]:
+        """All runs, the oldest first: higher levels are older."""
+        return [run for level in reversed(self.levels) for run in level]
 
     def entries(self) -> DataFrame:
-        """All runs merged: one row for each hash."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
+        """All runs merged: one row for each hash.
+
+        A hash has its owner in the run that brought it; later runs add their counts to that row.
+        """
+        runs, merged = self._in_order(), self.spark.createDataFrame([], self.SCHEMA)
+        for i, run in enumerate(runs):
+            own, count = self._run(run).where("owner is not null"), F.col("n_docs")
+            for j, later in enumerate(runs[i + 1 :]):
+                own = own.join(self._run(later).select("h", F.col("n_docs").alias(f"_n{j}")).hint("merge"), "h", "left")
+                count = count + F.coalesce(f"_n{j}", F.lit(0))
+            merged = merged.unionByName(own.select("h", count.alias("n_docs"), "owner"))
+        return merged
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (h, doc_id), once for each document and hash, of documents whose ids are below all earlier ones."""
-        own = batch.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
-        if any(self.levels):
-            seen = self.spark.read.schema(self.SCHEMA).parquet(*[p for level in self.levels for p in level]).select("h").distinct()
-            fresh = own.join(seen, "h", "left_anti")
-            late = own.join(seen, "h", "left_semi").withColumn("owner", F.lit(None).cast("long"))
-            own = fresh.unionByName(late)
-        self._write(own, 0)
-        self._compact()
+        """``batch``: (h, doc_id), once for each document and hash; what is new gets the batch's largest doc_id as owner."""
+        with _sorted_buckets(self.spark):
+            self._compact()
+            own = batch.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
+            if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                own = own.repartition(self.buckets, "h")
+            seen = F.lit(False)
+            for i, run in enumerate(self._in_order()):
+                own = own.join(self._run(run).select("h", F.lit(True).alias(f"_seen{i}")).hint("merge"), "h", "left")
+                seen = seen | F.col(f"_seen{i}").isNotNull()
+            self._write(own.select("h", "n_docs", F.when(~seen, F.col("owner")).alias("owner")), 0)
+        self._note()
 
     def _compact(self) -> None:
         for level in range(len(self.levels)):
-            if len(paths := self.levels[level]) >= self.fanout:
-                merged = self.spark.read.schema(self.SCHEMA).parquet(*paths).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
-                self.levels[level] = []
-                self._write(merged, level + 1)
+            runs = self.levels[level]
+            while len(runs) >= self.fanout and len(runs) > 1:
+                one, two = (self._run(r).select("h", F.col("n_docs").alias(f"_n{i}"), F.col("owner").alias(f"_o{i}")) for i, r in enumerate(runs[:2]))
+                both = one.join(two.hint("merge"), "h", "full")
+                both = both.select("h", (F.coalesce("_n0", F.lit(0)) + F.coalesce("_n1", F.lit(0))).alias("n_docs"), F.coalesce("_o0", "_o1").alias("owner"))
+                if len(runs) == 2:
+                    self.levels[level] = []
+                    self._write(both, level + 1)
+                    break
+                self._write(both, level)
+                runs[:] = [runs[-1], *runs[2:-1]]
+
+    def close(self) -> None:
+        """Take the runs' names out of the session's catalog; their files stay."""
+        for run in self._in_order():
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
@@ -98,8 +174,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark)
     for b in range(len(set(cuts)) + 1):
         runs.add(lines.where(F.col("batch") == b).select("h", "doc_id").distinct())
-    common_lines = runs.entries().where(F.col("n_docs") >= min_docs)
-    lost = lines.select("h", "doc_id").join(common_lines, "h").where(F.col("doc_id") != F.col("owner"))
+    with _sorted_buckets(spark):
+        shared = common.materialise(runs.entries().where(F.col("n_docs") >= min_docs))
+    runs.close()
+    held = lines.select("h", "doc_id")
+    # keys that hold more than 1 / HEAVY of all lines are fewer than HEAVY, so they can go to all tasks
+    least = held.count() // HEAVY
+    heavy = F.broadcast(shared.where(F.col("n_docs") > least))
+    light = held.join(heavy.select("h"), "h", "left_anti").join(shared.where(F.col("n_docs") <= least), "h") if least >= min_docs else None
+    lost = held.join(heavy, "h") if light is None else held.join(heavy, "h").unionByName(light)
+    lost = lost.where(F.col("doc_id") != F.col("owner"))
     id_, lost_ = common.free_name(docs, "_id"), common.free_name(docs, "_lost")
     lost = lost.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("h").alias(lost_))
     joined = docs.join(lost, F.col("doc_id") == F.col(id_), "left").drop(id_)

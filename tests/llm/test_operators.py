@@ -410,3 +410,38 @@ def test_polyphase_equals_plain_resampling(up, down):
 def test_hysteresis():
     db = np.array([0, 0, 0, 2, 0.5, 0.5, 2, -3, 0, 0, 0, 3, -3, 0.0])
     assert audio.active_segments(db).tolist() == [[3, 7], [11, 12]]
+
+
+def test_line_runs_take_a_later_batch_in_stored_runs(spark):
+    batches = [[(b"a", 9), (b"a", 8), (b"b", 9)], [(b"a", 7), (b"c", 7)], [(b"c", 5), (b"d", 5)], [(b"a", 20), (b"d", 20), (b"e", 20)]]
+    runs = linededup.LineRuns(spark)
+    for b in batches[:3]:
+        runs.add(spark.createDataFrame(b, "h binary, doc_id long"))
+    runs.close()
+    later = linededup.LineRuns(spark, runs.root)
+    assert later.levels == runs.levels and later.buckets == runs.buckets
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        later.add(spark.createDataFrame(batches[3], "h binary, doc_id long"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    got = {bytes(r.h): (r.n_docs, r.owner) for r in linededup.LineRuns(spark, runs.root).entries().collect()}
+    assert got == {b"a": (4, 9), b"b": (1, 9), b"c": (2, 7), b"d": (2, 5), b"e": (1, 20)}
+
+
+def test_line_runs_are_merged_without_a_shuffle(spark):
+    runs = linededup.LineRuns(spark, fanout=4)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(bytes([h]), b) for h in range(b, b + 9)], "h binary, doc_id long"))
+    with linededup._sorted_buckets(spark):
+        plan = runs.entries()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_frequent_lines_meet_apart(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HEAVY", 4)
+    line = "a line of twenty characters or more, number"
+    rows = [(i, "\n".join([f"{line} {i % 7}", f"{line} hot", f"{line} own {i}"])) for i in range(40)]
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i < 33) + (i < 39) for i in range(40)}
