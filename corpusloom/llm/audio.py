@@ -136,8 +136,7 @@ def store_text_media(docs: DataFrame, unit: int = 576, pad: int = 255) -> DataFr
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in common.slices([batch]):
                 raw = [(t or "").encode() for t in part.column("text").to_pylist()]
                 media = [to_wav(x + bytes([pad]) * (max(unit, -(-len(x) // unit) * unit) - len(x))) for x in raw]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*names, "media"])
@@ -162,8 +161,7 @@ def audio_features(media: DataFrame) -> DataFrame:
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = RATE * UP / DOWN
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
+            for part in common.slices([batch], "media"):
                 rows = []
                 for wav in part.column("media").to_pylist():
                     if wav is None:

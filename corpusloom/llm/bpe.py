@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import common
 
-#: A match can depend on so many characters behind its end ("'re" needs two); boundaries nearer to a chunk's end don't count.
+#: Characters behind its end that a match may depend on; boundaries nearer to a chunk's end don't count. The given pattern
+#: looks one character ahead of a run of white space, and takes "'re" as a whole; a pattern that looks further ahead (such
+#: as ``\\s*[\\r\\n]+``, which gives back a whole run of blanks if no line end follows) needs a margin above its longest run.
 MARGIN = 16
 #: Entries of a worker's memo of encoded pre-tokens, and the longest one kept. It never changes a result.
 MEMO, MEMO_CHARS = 150_000, 40
@@ -142,8 +144,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, size: int = 32_768
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in common.slices([batch]):
                 ids = [b"".join(code.encode(code.find(t))) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), id_lists(ids)], names=[*names, "ids"])
         code.memo.clear()  # workers are used again, for other things too
@@ -202,8 +203,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, column: str = "
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in common.slices([batch], column):
                 lists = part.column(column)
                 offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
                 null = lists.is_null().to_pylist()
@@ -223,8 +223,7 @@ def digests(encoded: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] =
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in common.slices([batch], "ids"):
                 lists = part.column("ids")
                 offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
                 spans = list(zip(offsets, offsets[1:]))  # noqa: B905

@@ -22,12 +22,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a folder of its own; on a cluster, where executors would not share it,
+    that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+_FOLDERS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all folders of ``scratch_dir``; call it when results that were read from them have been written or collected."""
+    jvm = spark.sparkContext._jvm
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -97,11 +115,16 @@ def word_count(text: str = "text") -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of about ``target`` bytes of ``column`` so that temporary arrays stay small."""
+    """Cut Arrow batches into slices of about ``target`` bytes of ``column`` (texts, bytes or lists of 32-bit numbers).
+
+    Temporary arrays, and batches made from a slice, then stay small whatever stands together in a batch.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        values = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = np.asarray(pc.fill_null(sizes, 0), dtype=np.int64)
         group = np.cumsum(sizes) // target
         starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):

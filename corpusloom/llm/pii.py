@@ -3,12 +3,15 @@
 Regex, gazetteer and context labelers vote for, against, or not at all on every candidate span of the whole corpus.
 A span's votes and features are one small pattern, so the corpus is summarised by how often each pattern occurs, a
 table of bounded size; expectation-maximisation estimates each labeler's reliability from it (no labels needed), and
-its posteriors train a logistic classifier of spans by votes and features, which decides the candidates.
+its posteriors train a logistic classifier of spans, which decides the candidates. Beside the votes the classifier has
+features that no labeler looks at (length, make-up, place in the line), so it can tell spans apart that got like votes.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,18 +32,28 @@ DIGITS = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(
 NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 SPELLED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}(?![A-Za-z])")
 ASSIGNED = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+/-]{16,})")
-# Gazetteers and context words.
-TOP_DOMAINS = frozenset("com org net edu gov int info biz io co de fr es uk us eu it nl ch at be ca au jp".split())
-SECRET_NAMES = re.compile(r"(?i)(token|secret|passw(?:or)?d|api[_ -]?key|key|credential)\W{0,3}$")
+SIX = re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:.])")
+# Gazetteers. Country domains are all names of two letters.
+GENERIC_DOMAINS = frozenset("com org net edu gov int mil info biz name pro app dev cloud online site mail email".split())
+#: Issuers of cards: lowest and highest start, and lengths.
+ISSUERS = (("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14,)), ("36", "36", (14, 19)), ("38", "39", (14, 16)))
+#: Calling codes of one and two digits, and the first two digits of those of three.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+CALLING_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 80 85 87 88 96 97 99".split())
+#: First numbers of addresses that name no host of a person: this network, loopback, multicast and reserved.
+NO_HOST = frozenset([0, 127, *range(224, 256)])
+SECRET_STARTS = ("ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "eyJ")
+SECRET_NAMES = re.compile(r"(?i)(token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|credential|auth|bearer)\W{0,3}$")
+# Context words, before a span.
 FOR = {
-    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write to|reach)\b"),
-    "ip": re.compile(r"(?i)\b(ip|host|server|address|from|login|connect)\b"),
-    "card": re.compile(r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay)\b"),
-    "phone": re.compile(r"(?i)\b(phone|tel|call|mobile|fax|cell|sms)\b"),
-    "secret": re.compile(r"(?i)(token|secret|passw|api|credential)"),
+    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write to|reach|reply)\b"),
+    "ip": re.compile(r"(?i)\b(ip|ipv[46]|host|server|address|from|login|connect|client)\b"),
+    "card": re.compile(r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay|paid|payment)\b"),
+    "phone": re.compile(r"(?i)\b(phone|tel|telephone|call|mobile|fax|cell|sms|dial|ring)\b"),
+    "secret": re.compile(r"(?i)(token|secret|passw|pwd|api|credential|auth|login)"),
 }
-AGAINST = re.compile(r"(?i)\b(version|release|isbn|issn|order|invoice|section|figure|table|sha|md5|commit|uuid|page)\b")
-LABELERS, EXTRA = 5, 4
+AGAINST = re.compile(r"(?i)\b(version|release|isbn|issn|doi|order|invoice|item|part|serial|section|figure|table|sha|md5|commit|uuid|page|path|file|url|href|src)\b")
+LABELERS, EXTRA = 5, 10
 
 
 def luhn(digits: str) -> bool:
@@ -101,6 +114,7 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     if "at" in text and "dot" in text:
         wide += [(0, *m.span()) for m in SPELLED.finditer(text)]
     wide += [(4, *m.span(1)) for m in ASSIGNED.finditer(text)]
+    wide += [(1, *m.span()) for m in SIX.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     ends = [b for _, b in taken]
     for kind, a, b in sorted(wide, key=lambda x: (x[1], x[0])):
@@ -110,27 +124,57 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     return spans
 
 
+def _shape(kind: int, span: str, digits: str) -> int:
+    """The shape labeler: whether a span is made as its kind is."""
+    if kind == 0:
+        name = re.split(r"@|\(at\)|\[at\]|\x20at\x20", span)[0]
+        return -1 if ".." in name or name[:1] in (".", "-") else 1
+    if kind == 1:
+        return 1 if ":" in span else -1 if max(map(len, span.split("."))) < 2 else 1
+    if kind == 2:
+        return 1 if len(set(digits)) > 3 else -1
+    if kind == 3:
+        return 1 if len(set(digits)) > 2 and digits.lstrip("1")[:1] not in ("", "0") else -1
+    return 1 if any(c.isdigit() for c in span) and any(c.isalpha() for c in span) else -1
+
+
+def _listed(kind: int, span: str, digits: str, before: str) -> int:
+    """The gazetteer labeler: top-level domains, special networks, card issuers, calling codes, and what secrets are called."""
+    if kind == 0:
+        last = re.split(r"[^A-Za-z]", span.rstrip(" )]"))[-1].lower()
+        return 1 if len(last) == 2 or last in GENERIC_DOMAINS else -1
+    if kind == 1:
+        return 0 if ":" in span else -1 if int(span.split(".")[0][-3:]) in NO_HOST else 1
+    if kind == 2:
+        return 1 if any(low <= digits[: len(low)] <= high and len(digits) in sizes for low, high, sizes in ISSUERS) else -1
+    if kind == 3:
+        if not span.startswith("+"):  # area and exchange codes begin with 2 to 9
+            return 1 if digits[:1] > "1" and digits[3:4] > "1" else -1
+        return 1 if digits[:1] in CALLING or digits[:2] in CALLING or digits[:2] in CALLING_3 else -1
+    return 1 if span.startswith(SECRET_STARTS) or SECRET_NAMES.search(before) else -1
+
+
 def votes_of(text: str, kind: int, a: int, b: int, base: bool) -> tuple[list[int], list[int]]:
     """Each labeler's vote (1 for, -1 against, 0 none) and the span's further features (0 or 1)."""
     span, before = text[a:b], text[max(0, a - 40) : a]
     digits = "".join(c for c in span if c in "0123456789")
-    name = KINDS[kind]
-    regex_vote = 1 if base else 0 if kind in (0, 4) else -1 if kind == 2 and not luhn(digits) else 1 if kind == 2 else 0
-    if kind == 0:
-        shape = 1 if span.rsplit(".", 1)[-1].strip(" )]").rsplit(" ", 1)[-1].lower() in TOP_DOMAINS else 0
-    elif kind == 1:
-        shape = -1 if span.split(".")[0] in ("0", "00", "000") else 1
-    elif kind == 2:
-        shape = 1 if digits[:1] in "3456" and len(set(digits)) > 3 else -1
-    elif kind == 3:
-        shape = 1 if len(set(digits)) > 2 and digits.lstrip("1")[:1] not in ("", "0") else -1
-    else:
-        shape = 1 if any(c.isdigit() for c in span) and any(c.isalpha() for c in span) else -1
-    gazetteer = (1 if SECRET_NAMES.search(before) else -1) if kind == 4 else 0
-    context = -1 if AGAINST.search(before) else 1 if FOR[name].search(before) else 0
+    regex_vote = 1 if base else 0 if kind in (0, 3, 4) else 1 if kind == 1 or luhn(digits) else -1
+    context = -1 if AGAINST.search(before) else 1 if FOR[KINDS[kind]].search(before) else 0
     edge = -1 if before[-1:].isalnum() or text[b : b + 1].isalnum() else 1
-    extra = [len(span) > 20, any(c in " -.()" for c in span), text[max(0, a - 12) : a].count(" ") > 4, bool(re.search("[0-9]", text[b : b + 12]))]
-    return [regex_vote, shape, gazetteer, context, edge], [int(x) for x in extra]
+    kinds = Counter(span)
+    extra = [
+        len(span) > 20,
+        any(c in " -.()" for c in span),
+        text[max(0, a - 12) : a].count(" ") > 4,
+        bool(re.search("[0-9]", text[b : b + 12])),
+        -sum(n / len(span) * math.log2(n / len(span)) for n in kinds.values()) > 3.5,
+        2 * len(digits) > len(span),
+        any(c.isupper() for c in span) and any(c.islower() for c in span),
+        "/" in span,
+        before[-1:] in ("", "\n"),
+        before[-1:] in ("'", '"', "=", ":"),
+    ]
+    return [regex_vote, _shape(kind, span, digits), _listed(kind, span, digits, before), context, edge], [int(x) for x in extra]
 
 
 def pattern_of(kind: int, votes: list[int], extra: list[int]) -> int:
@@ -192,7 +236,7 @@ def features_of(votes: np.ndarray, extra: np.ndarray) -> np.ndarray:
 def accepted_patterns(patterns: DataFrame, threshold: float = 0.5) -> dict[int, float]:
     """Probability by the final classifier of each pattern that reaches ``threshold``.
 
-    ``patterns``: (pattern, n) of all candidates of the corpus; at most 5 x 3^5 x 2^4 rows, so it goes to the driver.
+    ``patterns``: (pattern, n) of all candidates of the corpus; at most 5 x 3^5 x 2^10 rows, so it goes to the driver.
     """
     rows = patterns.collect()
     accepted = {}
@@ -223,7 +267,7 @@ def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("base", pa.bool_())])
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
@@ -234,11 +278,20 @@ def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     schema = "doc_id long, found array<struct<kind: int, start: int, end: int, pattern: int, base: boolean>>"
     found = common.materialise(docs.select("doc_id", "text").mapInArrow(find, schema))
     patterns = found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
-    accepted = F.array(*map(F.lit, sorted(accepted_patterns(patterns, threshold)))).cast("array<int>")
-    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    base = F.transform(F.filter("found", lambda x: x["base"]), plain)
-    every = F.transform(F.filter("found", lambda x: x["base"] | F.array_contains(accepted, x["pattern"])), plain)
-    return found.select("doc_id", base.alias("base"), every.alias("spans"))
+    accepted = docs.sparkSession.sparkContext.broadcast(frozenset(accepted_patterns(patterns, threshold)))
+    plain = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, every = [], []
+            for spans in batch.column("found").to_pylist():
+                told = [({"kind": x["kind"], "start": x["start"], "end": x["end"]}, x["base"], x["pattern"]) for x in spans]
+                base.append([x for x, is_base, _ in told if is_base])
+                every.append([x for x, is_base, pattern in told if is_base or pattern in accepted.value])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, plain), pa.array(every, plain)], names=["doc_id", "base", "spans"])
+
+    out = "array<struct<kind: int, start: int, end: int>>"
+    return found.mapInArrow(decide, f"doc_id long, base {out}, spans {out}")
 
 
 def span_text(column: str) -> Column:

@@ -58,10 +58,7 @@ def op7_pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_dir(spark)
     index = warc.write_warc(_table(spark, sf_dir, "pages"), folder)
-    records = warc.read_warc(index, folder)
-    named = index.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).distinct()
-    kept = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_record")
-    return kept.join(named, "refers_to_record", "left").drop("refers_to_record")
+    return warc.read_warc(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

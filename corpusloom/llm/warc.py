@@ -22,6 +22,7 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
 
 INDEX = "archive string, record_id string, page_id long, frame int, frame_offset long, record_offset long, record_length long"
+RECORDS = "page_id long, record_id string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to_record string, refers_to long"
 
 
 def digest32(payload: bytes) -> str:
@@ -99,22 +100,60 @@ def seek_table(source, size: int) -> list[tuple[int, int]]:
     return list(zip(offsets, sizes))  # noqa: B905
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Add payload (binary), payload_digest (hex), record_type and refers_to (page_id of the response).
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the folder's path in it, for the names that Spark's file systems go by.
+
+    s3a and s3n are s3, dbfs is its mount; local folders, s3, gs, abfs(s) and hdfs are known as they are.
+    """
+    scheme, _, rest = folder.partition(":")
+    if scheme in ("s3a", "s3n"):
+        folder = f"s3:{rest}"
+    elif scheme == "dbfs":
+        folder = "/dbfs/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(folder)
+
+
+def mark_revisits(pages: DataFrame, min_bytes: int = 0, max_broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """(page_id, url, payload, record_type, refers_to): payload is binary, refers_to the page_id of the response.
 
     Of equal payloads of at least ``min_bytes`` bytes the smallest page_id is the response; rows that tie with it are
-    responses too. Where no equal payload has an id, all are responses.
+    responses too. Where no equal payload has an id, all are responses. Other columns are left out, whatever their names.
+
+    Payloads meet only the digests that stand twice or more. These go to all tasks if they are few (counted), so that
+    payloads don't move; else each stands in ``salts`` parts, so that a page that very many rows have is spread.
     """
-    named = pages.drop("payload", "record_type", "refers_to", "_sha").withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    named = named.withColumn("_sha", F.sha1("payload"))
-    first = named.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("_sha").alias("_k")).agg(F.min("page_id").alias("_first"))
-    joined = named.join(first, F.col("_sha") == F.col("_k"), "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    named = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    named = named.withColumn("_sha", F.unhex(F.sha1("payload")))
+    first = named.where(F.octet_length("payload") >= min_bytes).groupBy(F.col("_sha").alias("_k")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    again = common.materialise(first.where("_n > 1").select("_k", "_first"))
+    if again.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        joined = named.join(F.broadcast(again), F.col("_sha") == F.col("_k"), "left")
+    else:
+        spread = again.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = named.withColumn("_t", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, (F.col("_sha") == F.col("_k")) & (F.col("_t") == F.col("_s")), "left")
+    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
+
+
+#: The first 64 bits of record ids: a custom UUID (version 8) whose last bits hold a page_id, or none.
+NAMED, NAMELESS = 0x70616765_0000_8000, 0x70616765_0001_8000
 
 
 def record_name(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+    """The record id of a page; all pages without an id share one."""
+    high = NAMELESS if page_id is None else NAMED
+    low = (page_id or 0) & (1 << 64) - 1
+    # the two variant bits of a UUID go between the page_id's first two bits and the rest
+    return f"<urn:uuid:{uuid.UUID(int=(high | low >> 62) << 64 | 2 << 62 | low & (1 << 62) - 1)}>"
+
+
+def page_of(record_id: str) -> int | None:
+    """The page_id in a record id of ``record_name``."""
+    number = uuid.UUID(record_id[len("<urn:uuid:") : -1]).int
+    if number >> 66 << 2 == NAMELESS:
+        return None
+    low = (number >> 64 & 3) << 62 | number & (1 << 62) - 1
+    return low - (1 << 64) if low >> 63 else low
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, frame_bytes: int = 256 << 10, archive_bytes: int = 256 << 20) -> DataFrame:
@@ -131,11 +170,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     folder = folder or common.scratch_dir(spark)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_folder(folder)
         bundle, name, room, rows = None, "", 0, []
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                for page, url, payload, kind, refers in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
+            for part in common.slices([batch], "payload"):
+                for page, url, payload, kind, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if bundle is None:
                         name, room = f"part-{uuid.uuid4().hex}.warc.zst", archive_bytes
                         fs.create_dir(root, recursive=True)
@@ -163,8 +202,14 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])  # noqa: B905
 
 
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records that ``index`` names: page_id, record_id, record_type, payload_digest, payload_bytes, payload, refers_to_record.
+    """Read the records that ``index`` names: columns of RECORDS; refers_to is the page_id in the record id referred to.
 
     An archive's footer gives its frames; only frames that hold wanted records are read and decompressed. Payloads of
     responses are checked against their digests; a revisit's payload is null, as its response has it. Index rows
@@ -172,12 +217,12 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_folder(folder)
         archive, frame, source, table, raw = None, -1, None, [], b""
         decompressor = zstandard.ZstdDecompressor()
         for batch in batches:
+            rows, held = [], 0
             for a in range(0, batch.num_rows, 256):
-                rows = []
                 for x in batch.slice(a, 256).to_pylist():
                     if x["archive"] != archive:
                         if source is not None:
@@ -196,13 +241,16 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                     digest, kind = got["warc-payload-digest"].removeprefix("sha1:"), got["warc-type"]
                     if got["warc-record-id"] != x["record_id"] or kind == "response" and (digest32(got["payload"]) != digest or len(got["payload"]) != got["payload_bytes"]):
                         raise ValueError("damaged record")
-                    rows.append((x["page_id"], x["record_id"], kind, digest, got["payload_bytes"], got["payload"] if kind == "response" else None, got.get("warc-refers-to")))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-                names = ["page_id", "record_id", "record_type", "payload_digest", "payload_bytes", "payload", "refers_to_record"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)  # noqa: B905
+                    refers = got.get("warc-refers-to")
+                    payload = got["payload"] if kind == "response" else None
+                    rows.append((x["page_id"], x["record_id"], kind, digest, got["payload_bytes"], payload, refers, refers and page_of(refers)))
+                    held += len(payload or b"")
+                    if held >= 1 << 22:
+                        yield _record_batch(rows)
+                        rows, held = [], 0
+            yield _record_batch(rows)
         if source is not None:
             source.close()
 
-    schema = "page_id long, record_id string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to_record string"
     dealt = index.repartition("archive", F.floor(F.col("frame") / 64)).sortWithinPartitions("archive", "frame", "record_offset")
-    return dealt.mapInArrow(read, schema)
+    return dealt.mapInArrow(read, RECORDS)

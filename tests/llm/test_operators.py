@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -445,3 +446,78 @@ def test_frequent_lines_meet_apart(spark, monkeypatch):
     rows = [(i, "\n".join([f"{line} {i % 7}", f"{line} hot", f"{line} own {i}"])) for i in range(40)]
     got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (i < 33) + (i < 39) for i in range(40)}
+
+
+@pytest.mark.parametrize("page", [0, 1, -1, 2**62 - 1, 2**62, -(2**62) - 1, 2**63 - 1, -(2**63), None])
+def test_record_ids_hold_page_ids(page):
+    name = warc.record_name(page)
+    assert warc.page_of(name) == page
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", name)
+
+
+def test_revisits_without_a_broadcast_and_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(p, u, h, 1, "x", b"y", 2) for p, u, h in PAGES], "page_id long, url string, html string, _sha int, record_type string, payload binary, refers_to int")
+    few, many = (Counter((r.page_id, bytes(r.payload), r.record_type, r.refers_to) for r in warc.mark_revisits(pages, max_broadcast_rows=n).collect()) for n in (100, 0))
+    assert few == many and sum(few.values()) == len(PAGES)
+
+
+@pytest.mark.parametrize("uri,path", [("file:///tmp/x", "/tmp/x"), ("dbfs:/a/b", "/dbfs/a/b")])
+def test_folders_by_spark_names(uri, path):
+    assert warc.open_folder(uri)[1] == path
+
+
+def test_slices_follow_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 100, None, "b" * 1000, "c"]), pa.array([[1] * 400, None, [2] * 100, [2]], pa.list_(pa.int32()))], names=["text", "ids"])
+    for column in ("text", "ids"):
+        parts = list(warc.common.slices([batch], column, 200))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 1
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    import os
+
+    folder = warc.common.scratch_dir(spark)
+    spark.range(3).write.parquet(folder)
+    assert os.path.isdir(folder.removeprefix("file://"))
+    before, warc.common._FOLDERS[:] = warc.common._FOLDERS[:-1], [folder]
+    warc.common.clear_scratch(spark)
+    warc.common._FOLDERS[:] = before
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def _luhn_number(rng, start, size):
+    body = start + "".join(rng.choice("0123456789") for _ in range(size - len(start) - 1))
+    return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+
+def _planted(rng, i):
+    """(text, spans that are private, spans that look so)."""
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    not_luhn = lambda n: next(x for x in iter(lambda: number(n), None) if not pii.luhn(x))
+    key = "".join(rng.choice("ABCDEFabcdef0123456789xyzXYZ") for _ in range(32))
+    good = [
+        ("contact me by mail: ", f"{word()} at {word()} dot org"), ("please call my phone ", f"({rng.randrange(201, 989)}) {rng.randrange(201, 989)}-{number(4)}"),
+        ("paid by credit card ", _luhn_number(rng, rng.choice(["34", "37"]), 15)), ("my api token = ", key), ("password: ", "hunter" + number(12) + "Ab"),
+        ("login from host ", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8))),
+    ]
+    bad = [("see order ", not_luhn(14)), ("isbn ", not_luhn(13)), ("the path: ", "/".join(["usr", word(), word(), word(), word()])), ("item serial ", not_luhn(15)), ("file=", "_".join([word(), word(), word(), word()]))]
+    lead, span = rng.choice(good) if i % 2 else rng.choice(bad)
+    text = filler(20) + " " + lead
+    return text + span + " " + filler(10), (len(text), len(text) + len(span)), i % 2
+
+
+def test_planted_spans_are_found_and_look_alikes_left(spark):
+    rng = random.Random(12)
+    made = [_planted(rng, i) for i in range(1200)]
+    found = {r.doc_id: {(x.start, x.end) for x in r.spans} for r in pii.find_private(spark.createDataFrame([(i, m[0]) for i, m in enumerate(made)], "doc_id long, text string")).collect()}
+    hits = sum(at in found[i] for i, (_, at, good) in enumerate(made) if good)
+    wrong = sum(bool(found[i]) for i, (_, _, good) in enumerate(made) if not good)
+    assert hits >= 0.9 * 600 and hits / (hits + wrong) >= 0.9, (hits, wrong)
+
+
+def test_private_spans_of_rows_without_an_id(spark):
+    rows = [(None, "mail a@b.cd"), (None, None), (None, "mail a@b.cd"), (1, "")]
+    got = Counter((r.doc_id, tuple(tuple(x) for x in r.base)) for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, ((0, 5, 11),)): 2, (None, ()): 1, (1, ()): 1}
