@@ -96,8 +96,14 @@ def conviction(text: Column | str, hedges: tuple[str, ...] = HEDGES, assertions:
     """(assertions - hedges) / words; words are runs of a-z and apostrophes; no words give 0."""
     low = F.lower(_c(text))
     total = F.regexp_count(low, F.lit(r"[a-z']+"))
-    count = lambda terms: sum((F.regexp_count(low, F.lit(rf"\b{t}\b")) for t in terms), F.lit(0))
-    return F.when(total > 0, (count(assertions) - count(hedges)) / total).otherwise(F.lit(0.0))
+    sign = lambda x: F.when(x.isin(*assertions), 1).otherwise(0) - F.when(x.isin(*hedges), 1).otherwise(0)
+    balance = F.aggregate(terms_in(low, (*hedges, *assertions)), F.lit(0), lambda s, x: s + sign(x))
+    return F.when(total > 0, balance / total).otherwise(F.lit(0.0))
+
+
+def terms_in(low: Column, terms: tuple[str, ...]) -> Column:
+    """All of the ``terms`` that stand in a lower-cased text as whole words, in one pass, repeats included."""
+    return F.regexp_extract_all(low, F.lit(rf"(?<!\w)({'|'.join(sorted(set(terms)))})(?!\w)"), F.lit(1))
 
 
 def slug(title: Column) -> Column:

@@ -63,7 +63,7 @@ QUERIES = {
     "mutual_links": lambda s, d: L.mutual_links(_links(s, d), t.notes(s, d)),
     "link_completions": lambda s, d: L.completions(t.notes(s, d), "12"),
     "link_graph": lambda s, d: L.link_graph(_links(s, d), t.notes(s, d), "src10/10.md"),
-    "unlinked_mentions": lambda s, d: L.unlinked_mentions(t.notes(s, d), _titles(s, d)),
+    "unlinked_mentions": lambda s, d: L.unlinked_mentions(t.notes(s, d), _titles(s, d), keep_code=True),
     "communities": lambda s, d: L.communities(_links(s, d), t.notes(s, d)),
     "trace": _trace,
     "extract_citations": lambda s, d: G.extract_citations(_answers(s, d)),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.jobs import corpus_queries, link_queries, note_queries, retrieval_queries, time_queries
+from corpusloom.jobs import corpus_queries, edit_queries, link_queries, note_queries, retrieval_queries, time_queries
 
-MODULES = (corpus_queries, note_queries, link_queries, retrieval_queries, time_queries)
+MODULES = (corpus_queries, note_queries, link_queries, retrieval_queries, time_queries, edit_queries)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:

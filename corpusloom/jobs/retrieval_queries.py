@@ -16,9 +16,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 CHUNKS = "c AS (SELECT vec_id AS chunk_id, 'n' || (vec_id // 3) AS note_path, embedding, label FROM embeddings)"
 PAIRS = f"""WITH {CHUNKS}, p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, a.note_path AS na, b.note_path AS nb, a.label AS la, b.label AS lb, {COS} AS score FROM c a JOIN c b ON a.chunk_id < b.chunk_id AND a.note_path <> b.note_path),
 f AS (SELECT a, b, round(score, 6) AS score, la IS DISTINCT FROM lb AS cross_community, (CAST(substr(na, 2) AS INT) // 2 = CAST(substr(nb, 2) AS INT) // 2) AS linked, score AS s FROM p WHERE score >= 0.3)"""
-FOLD = f"translate(text, '{V.ACCENTED}', '{V.FOLDED}')"
-BM25 = f"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower({FOLD}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), st AS (SELECT count(*) AS total, avg(len(w)) AS a FROM tok),
-q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower({FOLD}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) GROUP BY item_id, term),
+BM25 = f"""WITH tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), st AS (SELECT count(*) AS total, avg(len(w)) AS a FROM tok),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) GROUP BY item_id, term),
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id, dl),
 df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
 s AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(times * CASE WHEN ln((total - n + 0.5) / (n + 0.5)) > 0 THEN ln((total - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score
@@ -63,7 +62,7 @@ def _benchmark_queries(s, d):
 
 def _bm25(s, d):
     chunks = t.text_chunks(s, d)
-    return V.bm25(V.postings(chunks), V.index_sizes(chunks), _benchmark_queries(s, d), 10)
+    return V.bm25(*V.index_terms(chunks), _benchmark_queries(s, d), 10)
 
 
 def _gold(s, d):

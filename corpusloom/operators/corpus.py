@@ -207,14 +207,62 @@ def stats(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     return whole.crossJoin(parts)  # one row each
 
 
-def running_bundle(notes: DataFrame, cap_bytes: int, per_note: int = 500_000) -> DataFrame:
+def running_bundle(notes: DataFrame, cap_bytes: int, per_note: int | None = None) -> DataFrame:
     """(note_path, bytes, upto): notes in path order while the bundle stays within ``cap_bytes``.
 
-    Sums by first path part come first, so each window holds one folder.
+    A note counts with all its bytes, or with ``per_note`` at most, if set. Sums by first path part come first, so each
+    window holds one folder.
     """
-    sized = notes.select("note_path", F.split_part("note_path", F.lit("/"), F.lit(1)).alias("folder"), F.least(F.octet_length("text"), F.lit(per_note)).cast("long").alias("bytes"))
+    sized = notes.select("note_path", F.split_part("note_path", F.lit("/"), F.lit(1)).alias("folder"), (F.octet_length("text") if per_note is None else F.least(F.octet_length("text"), F.lit(per_note))).cast("long").alias("bytes"))
     folders = sized.groupBy("folder").agg(F.sum("bytes").alias("b"))
     offsets = folders.select(F.col("folder").alias("_f"), F.coalesce(F.sum("b").over(Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.sum("bytes").over(Window.partitionBy("folder").orderBy("note_path"))
     summed = sized.withColumn("within", within).join(offsets, F.col("folder") == F.col("_f"))
     return summed.select("note_path", "bytes", (F.col("before") + F.col("within")).alias("upto")).where(F.col("upto") <= cap_bytes)
+
+
+def bundle_parts(notes: DataFrame, cap_bytes: int, separator: str = "\n\n---\n\n") -> DataFrame:
+    """(note_path, part): the text of a bundle by notes, in path order while the whole stays within ``cap_bytes``.
+
+    A part is the note under a heading of its path; parts joined by ``separator`` are the bundle. Sorted by path it can
+    be written as one file or many without going through the driver. Null texts are left out.
+    """
+    parts = notes.where("text is not null").select("note_path", F.concat(F.lit("# "), "note_path", F.lit("\n\n"), "text").alias("part"))
+    sized = running_bundle(parts.select("note_path", F.concat("part", F.lit(separator)).alias("text")), cap_bytes + len(separator.encode()))
+    return parts.join(sized.select("note_path"), "note_path", "left_semi")
+
+
+def list_folder(files: DataFrame, folder: str = "") -> DataFrame:
+    """(kind, name): folders and Markdown notes directly below ``folder``, each once; hidden ones are left out."""
+    start = folder.rstrip("/") + "/" if folder else ""
+    below = files.where(F.startswith("path", F.lit(start))).select(F.substring("path", len(start) + 1, 1 << 20).alias("rest"))
+    named = below.select(F.when(F.contains("rest", F.lit("/")), "folder").when(F.lower("rest").endswith(".md"), "note").alias("kind"), F.split_part("rest", F.lit("/"), F.lit(1)).alias("name"))
+    return named.where(F.col("kind").isNotNull() & ~F.startswith("name", F.lit("."))).distinct()
+
+
+def extension(path: str = "path") -> Column:
+    """Lower-cased extension of a path's last part, without the dot; empty where there is none."""
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]*)\z", 1))
+
+
+def find_by_extension(files: DataFrame, extensions: list[str], folder: str = "") -> DataFrame:
+    """(path, bytes, ext) of files below ``folder`` with one of ``extensions``, dots and case aside."""
+    wanted = [e.lower().removeprefix(".") for e in extensions]
+    return files.where(F.startswith("path", F.lit(folder))).select("path", "bytes", extension().alias("ext")).where(F.col("ext").isin(wanted))
+
+
+def list_attachments(files: DataFrame, folder: str = "") -> DataFrame:
+    """(path, bytes, ext) of files below ``folder`` that are no Markdown."""
+    return files.where(F.startswith("path", F.lit(folder))).select("path", "bytes", extension().alias("ext")).where("ext <> 'md'")
+
+
+def find_by_size(files: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
+    """(path, bytes) of files of ``low`` to ``high`` bytes, both included."""
+    found = files.where(F.col("bytes") >= low)
+    return (found if high is None else found.where(F.col("bytes") <= high)).select("path", "bytes")
+
+
+def frontmatter_date(text: str = "text") -> Column:
+    """The frontmatter's ``date`` as it stands, null where it is missing or no date."""
+    raw = T.frontmatter(text)["date"]
+    return F.when(F.try_to_timestamp(raw).isNotNull(), raw)

@@ -95,23 +95,26 @@ def index_export(notes: DataFrame) -> DataFrame:
     return notes.select("note_path", T.wikilinks("text").alias("targets"), F.array_sort(F.array_distinct(T.tags("text"))).alias("tags"))
 
 
-def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4) -> DataFrame:
+def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, keep_code: bool = False) -> DataFrame:
     """(src, line, mention): titles that stand as whole words in a line without being linked, each once a line.
 
     ``titles`` (title) may have any number of words. Lines meet the first two words of titles, or the only one, which
     tell the lengths that are worth a try at that place; word n-grams of these lengths meet whole titles by equality, so
     there is no test of every line against every title. Titles are compared without case, as words divided by single
-    spaces; links and inline code are taken out first.
+    spaces; wiki links, Markdown links and code between triple backticks are taken out first, and inline code
+    unless ``keep_code``.
+    Null texts have no lines; titles of more than 256 characters are titles as well.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.col("content"), r"!?\[\[[^\]]*\]\]", " "), r"`[^`]*`", " ")
+    bare = F.regexp_replace(F.col("content"), r"```.*?```|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", "")
+    bare = bare if keep_code else F.regexp_replace(bare, r"`[^`]*`", " ")
     lines = notes.select("note_path", F.posexplode(T.lines("text")).alias("pos", "content"))
     tokens = lines.select(F.col("note_path").alias("src"), (F.col("pos") + 1).cast("long").alias("line"), T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0).alias("w"))
     # notes of the same path are told apart by their words
     tokens = tokens.where(F.size("w") > 0).withColumn("joined", F.array_join("w", " ")).withColumn("h", F.xxhash64("joined"))
     words = T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0)
-    asked = titles.where((F.char_length("title") >= min_chars) & (F.char_length("title") <= 256)).select(words.alias("t")).where(F.size("t") > 0)
+    asked = titles.where(F.char_length("title") >= min_chars).select(words.alias("t")).where(F.size("t") > 0)
     asked = asked.select(F.array_join("t", " ").alias("mention"), F.array_join(F.slice("t", 1, 2), " ").alias("start"), F.size("t").alias("n")).distinct()
-    # hashes of starts only suggest a try; at most 128 lengths of up to 256 characters each
+    # hashes of starts only suggest a try
     starts = asked.groupBy(F.xxhash64("start").alias("start")).agg(F.collect_set("n").alias("ns"))
     starts = F.broadcast(starts) if starts.limit(MAX_STARTS + 1).count() <= MAX_STARTS else starts
     pairs = F.transform("w", lambda x, i: F.struct(i.alias("i"), F.array(F.xxhash64(x), F.xxhash64(F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("starts")))
@@ -149,3 +152,42 @@ def communities(links: DataFrame, notes: DataFrame, rounds: int = 10) -> DataFra
     named = labels.select("n", "label").join(labels.groupBy("label").agg(F.min("n").alias("community")), "label")
     return notes.select("note_path").join(named.select(F.col("n").alias("note_path"), "community"), "note_path", "left").select("note_path", F.coalesce("community", "note_path").alias("community"))
 
+
+
+def note_meta(notes: DataFrame) -> DataFrame:
+    """One row a note: words, chars, n_lines, bytes, headings, tags (distinct), frontmatter, outbound, inbound.
+
+    Everything about the note itself is one projection; only the inbound count is joined. A null text has null counts.
+    """
+    links = outbound(notes)
+    hit = inbound_ranking(links, notes)
+    every = T.lines("text")
+    own = notes.select(
+        "note_path",
+        T.n_words("text").cast("long").alias("words"),
+        F.char_length("text").cast("long").alias("chars"),
+        F.size(every).cast("long").alias("n_lines"),
+        F.octet_length("text").cast("long").alias("bytes"),
+        F.size(F.filter(every, T.is_heading)).cast("long").alias("headings"),
+        F.array_distinct(T.tags("text")).alias("tags"),
+        T.frontmatter("text").alias("frontmatter"),
+        F.size(T.wikilinks("text")).cast("long").alias("outbound"),
+    )
+    return own.join(hit, "note_path")
+
+
+def doctor(notes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row on the state of all notes: notes, chunks, orphans, broken_links, top_tag (ties by name), avg_words (rounded half up)."""
+    links = outbound(notes)
+    tags = notes.select(F.explode(T.tags("text")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    parts = [
+        notes.agg(F.count("*").alias("notes"), F.floor(F.avg(T.n_words("text")) + 0.5).cast("long").alias("avg_words")),
+        chunks.agg(F.count("*").alias("chunks")),
+        orphans(links, notes).agg(F.count("*").alias("orphans")),
+        broken_links(links, notes).agg(F.count("*").alias("broken_links")),
+        tags.agg(F.min(F.struct((-F.col("n")).alias("n"), "tag"))["tag"].alias("top_tag")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.crossJoin(part)  # one row each
+    return whole

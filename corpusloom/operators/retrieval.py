@@ -5,6 +5,7 @@ Queries are a table; every operator answers all of them at once. Chunks are (chu
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.sources.scratch import materialise
 
 
 def top_k(scored: DataFrame, k: int, by: str, *order: str, score: str = "score") -> DataFrame:
@@ -29,6 +31,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 #: Queries that go to all tasks at once; more are met in blocks.
 MAX_QUERIES = 10_000
+#: Scores that a task works out at a time.
+SCORES = 1 << 21
 
 
 def _best(scores: np.ndarray, chunk: np.ndarray, keep: int) -> np.ndarray:
@@ -53,16 +57,32 @@ def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        floor, held = np.full(len(ids), -np.inf), []  # a query's keep-th best so far, and (query, score, chunk) above it
+        rows = max(1, SCORES // max(1, len(ids)))
+
+        def best():
+            q, s, c = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # noqa: B905
+            order = np.lexsort((c, -s, q))
+            q, s, c = q[order], s[order], c[order]
+            some = np.arange(len(q)) - np.searchsorted(q, q) < keep
+            q, s, c = q[some], s[some], c[some]
+            full = np.flatnonzero(np.bincount(q, minlength=len(ids)) == keep)
+            floor[full] = s[np.searchsorted(q, full, side="right") - 1]
+            return q, s, c
+
+        size = 0
         for batch in batches:
-            chunk, scores = batch.column("chunk_id").to_numpy(), matrix @ _matrix(batch.column("vec")).T
-            for q in range(len(ids)):
-                s, c = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], chunk))
-                order = _best(s, c, keep)
-                best[q] = (s[order], c[order])
-        sizes = [len(c) for _, c in best]
-        columns = [np.repeat(ids, sizes), np.concatenate([c for _, c in best] or [np.zeros(0, np.int64)]), np.concatenate([s for s, _ in best] or [np.zeros(0)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "chunk_id", "score"])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                scores, chunk = matrix @ _matrix(part.column("vec")).T, part.column("chunk_id").to_numpy()
+                q, c = np.nonzero(scores >= floor[:, None])
+                held.append((q, scores[q, c], chunk[c]))
+                size += len(q)
+                if size > SCORES:
+                    held = [best()]
+                    size = len(held[0][0])
+        q, s, c = best()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
 
     return chunks.select("chunk_id", "vec").mapInArrow(run, "query_id long, chunk_id long, score double")
 
@@ -183,18 +203,25 @@ def bridges(chunks: DataFrame, communities: DataFrame, linked: DataFrame, top_n:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl): accents folded, lower case, runs of letters and digits."""
-    folded = F.lower(fold_accents(F.col("text")))
-    terms = chunks.select("chunk_id", T.all_groups(folded, r"[\p{L}\p{N}]+", 0).alias("t"))
+    terms = chunks.select("chunk_id", terms_of(F.col("text")).alias("t"))
     return terms.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-# Letters that carry an accent, and the plain letters they are folded to.
-ACCENTED = "àáâãäåāăąçćčďèéêëēĕėęěìíîïĩīĭįñńňòóôõöōŏőŕřśšşťţùúûüũūŭůűýÿźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-FOLDED = "aaaaaaaaacccdeeeeeeeeeiiiiiiiinnnoooooooorrsssttuuuuuuuuuyyzzzAAAAAACEEEEIIIINOOOOOUUUUY"
+def _accented() -> tuple[str, str]:
+    """Lower-case letters made of a-z and one mark, the plain letters, and marks that stand by themselves (which go)."""
+    made = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    made = [(x, d[0]) for x, d in made if len(d) == 2 and "a" <= d[0] <= "z"]
+    return "".join(x for x, _ in made) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in made)
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, FOLDED)
+    """Lower case without accents."""
+    return F.translate(F.lower(text), *_accented())
+
+
+def terms_of(text: Column) -> Column:
+    """Runs of letters and digits, folded."""
+    return T.all_groups(fold_accents(text), r"[\p{L}\p{N}]+", 0)
 
 
 def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -203,7 +230,7 @@ def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10) ->
     Terms of a query are joined by or and count as often as they stand in it; k1 is 1.2, b is 0.75; a term's weight
     log((N - n + 0.5) / (n + 0.5)) is 1e-6 where it is not positive. The postings meet only terms that are asked for.
     """
-    asked = queries.select("query_id", F.explode(T.all_groups(F.lower(fold_accents(F.col("query"))), r"[\p{L}\p{N}]+", 0)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode(terms_of(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     spread = hits.groupBy("term").agg(F.count("*").alias("n"))
     scored = hits.join(spread, "term").join(asked, "term").crossJoin(F.broadcast(sizes))  # sizes is one row
@@ -215,8 +242,18 @@ def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10) ->
 
 def index_sizes(chunks: DataFrame) -> DataFrame:
     """(chunks, avg_dl) over all chunks, those without terms included."""
-    terms = T.all_groups(F.lower(fold_accents(F.col("text"))), r"[\p{L}\p{N}]+", 0)
-    return chunks.agg(F.count("*").alias("chunks"), F.avg(F.size(terms)).alias("avg_dl"))
+    return chunks.agg(F.count("*").alias("chunks"), F.avg(F.size(terms_of(F.col("text")))).alias("avg_dl"))
+
+
+def index_terms(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, sizes) from one pass over the texts: each chunk's terms are counted once and stored.
+
+    What is stored is (chunk_id, dl, terms with counts); null texts have no terms.
+    """
+    told = chunks.select("chunk_id", F.coalesce(terms_of(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    stored = materialise(told.select("chunk_id", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t")))
+    each = stored.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    return each, stored.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avg_dl"))
 
 
 # --- fusion, routing, diversity
@@ -281,7 +318,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, router: bool = Fa
     dense = dense_topk(chunks, queries, want).select("query_id", F.lit(0).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
     # lists of weight 0 are out, so their queries are not put
     put = queries.where(intent_weights(intent(F.col("query")))[1] != 0) if router else queries
-    words = bm25(postings(chunks), index_sizes(chunks), put, want).select("query_id", F.lit(1).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
+    words = bm25(*index_terms(chunks), put, want).select("query_id", F.lit(1).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
     lists, weights = dense.unionByName(words), None
     if router:
         vector, lexical = intent_weights(intent(F.col("query")))

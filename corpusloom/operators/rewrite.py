@@ -180,7 +180,12 @@ def trash(notes: DataFrame, paths: DataFrame, stamp: str) -> tuple[DataFrame, Da
     return notes.join(paths, "note_path", "left_anti"), notes.join(paths, "note_path", "left_semi").withColumn("stamp", F.lit(stamp))
 
 
-def archive(notes: DataFrame, paths: list[str], day: str) -> DataFrame:
+def archive(notes: DataFrame, paths: DataFrame | list[str], day: str) -> DataFrame:
+    """The table with ``paths`` (a table (note_path) of any size, or a short list) marked and moved below Archive/."""
+    if not isinstance(paths, list):
+        name = F.concat(F.lit("Archive/"), F.element_at(F.split("note_path", "/"), -1))
+        moved = set_property(notes.join(paths, "note_path", "left_semi"), "archived", day).withColumn("note_path", name)
+        return notes.join(paths, "note_path", "left_anti").unionByName(moved)
     marked = set_property(notes, "archived", day, paths)
     return marked.withColumn("note_path", F.when(F.col("note_path").isin(paths), F.concat(F.lit("Archive/"), F.element_at(F.split("note_path", "/"), -1))).otherwise(F.col("note_path")))
 

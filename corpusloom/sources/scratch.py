@@ -9,12 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a local session gets a folder and a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root.rstrip('/')}/corpusloom-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+_FOLDERS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all folders of ``scratch_dir``; call it when results that were read from them have been written or collected."""
+    jvm = spark.sparkContext._jvm
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

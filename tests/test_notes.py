@@ -175,3 +175,24 @@ def test_files_and_snapshot(spark, tmp_path):
     snapshot.write_buckets(fresh, str(tmp_path / "idx"))
     assert snapshot.read_buckets(spark, str(tmp_path / "idx"), "a.md").count() == 2
     assert snapshot.remove_notes(fresh, _df(spark, ("a.md", "")).select("note_path")).where("note_path = 'a.md'").count() == 0
+
+
+def test_mentions_leave_out_links_but_not_code_if_asked(spark):
+    titles = spark.createDataFrame([("alpha beta",)], "title string")
+    text = _df(spark, ("x.md", "[alpha beta](b.md)\n`alpha beta`\n```alpha beta```\n[[alpha beta]]\nAlpha, beta"), ("y.md", None))
+    assert [(r.line, r.mention) for r in L.unlinked_mentions(text, titles, keep_code=True).orderBy("line").collect()] == [(2, "alpha beta"), (5, "alpha beta")]
+    assert [r.line for r in L.unlinked_mentions(text, titles).collect()] == [5]
+    long = "word " * 100 + "end"
+    assert L.unlinked_mentions(_df(spark, ("z.md", "see " + long)), spark.createDataFrame([(long,)], "title string")).count() == 1
+
+
+def test_folders_attachments_and_bundles(spark):
+    files = spark.createDataFrame([("a/b.md", 5), ("a/c/d.PNG", 9), ("a/.x/e.md", 1), ("f.MD", 2), ("g", 3), (None, 4)], "path string, bytes long")
+    assert {tuple(r) for r in C.list_folder(files).collect()} == {("folder", "a"), ("note", "f.MD")}
+    assert {tuple(r) for r in C.list_folder(files, "a").collect()} == {("note", "b.md"), ("folder", "c")}
+    assert {r.path for r in C.list_attachments(files).collect()} == {"a/c/d.PNG", "g"}
+    assert {r.path for r in C.find_by_extension(files, [".png"], "a/").collect()} == {"a/c/d.PNG"}
+    assert {r.path for r in C.find_by_size(files, 3, 5).collect()} == {"a/b.md", "g", None}
+    notes = _df(spark, ("a/1", "x" * 30), ("a/2", "y" * 30), ("b/1", "z"), ("c", None))
+    parts = {r.note_path: r.part for r in C.bundle_parts(notes, 81).collect()}
+    assert set(parts) == {"a/1", "a/2"} and len("\n\n---\n\n".join(parts.values())) == 81 and parts["a/1"].startswith("# a/1\n\nxxx")

@@ -137,3 +137,27 @@ def test_metrics(spark):
     assert {r.query_id: r.recall for r in E.metrics(ranked, gold, 10, any_of=True).collect()}[1] == 1
     s = E.summary(E.metrics(ranked, gold))
     assert tuple(E.check_router(s, s, s).first()) == (True, True)
+
+
+def test_folding_covers_upper_case(spark):
+    rows = spark.createDataFrame([(1, "Čech ŠKODA Žižka"), (2, "čech škoda"), (3, "cech"), (4, None), (5, "été ÉTÉ")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "čech"), (2, "SKODA"), (3, "Žižka"), (4, "été")], "query_id long, query string")
+    found = {(r.query_id, r.chunk_id) for r in V.bm25(*V.index_terms(rows), asked).collect()}
+    assert found == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (4, 5)}
+
+
+def test_scores_in_small_batches_are_the_same(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vecs = np.round(rng.normal(size=(300, 4)), 1)  # many ties
+    chunks = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "chunk_id long, vec array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs[:7])], "query_id long, vec array<float>")
+    v32 = vecs.astype(np.float32).astype(np.float64)
+    expected = set()
+    for q in range(7):
+        s = v32 @ v32[q]
+        expected |= {(q, int(c), k + 1) for k, c in enumerate(np.lexsort((np.arange(300), -s))[:5])}
+    for size in (1, 40, 1 << 21):
+        monkeypatch.setattr(V, "SCORES", size)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in V.dense_topk(chunks, asked, 5).collect()} == expected
