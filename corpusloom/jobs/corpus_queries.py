@@ -56,7 +56,7 @@ ORACLES = {
     "prefix_list": f"{PLAIN} SELECT note_path FROM plain WHERE starts_with(note_path, 'src1/') ORDER BY note_path LIMIT 200",
     "word_count": rf"{WITH} SELECT note_path, len(regexp_extract_all(text, '\S+')) AS words, length(text) AS chars, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS n_lines, CAST(strlen(text) AS BIGINT) AS bytes FROM notes",
     "long_notes": rf"{PLAIN} SELECT note_path, len(regexp_extract_all(text, '\S+')) AS words FROM plain WHERE len(regexp_extract_all(text, '\S+')) >= 1000 ORDER BY words DESC, note_path LIMIT 50",
-    "top_terms": f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM documents WHERE strlen(text) <= 1000000)
+    "top_terms": f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM documents)
 WHERE term NOT IN (SELECT unnest(string_split('{" ".join(C.T.STOPWORDS)}', ' '))) GROUP BY term ORDER BY n DESC, term LIMIT 50""",
     "long_lines": f"""{PLAIN}, l AS (SELECT note_path, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS s FROM plain)
 SELECT note_path, list_max(s) AS chars, CAST(list_position(s, list_max(s)) AS BIGINT) AS line FROM l WHERE list_max(s) >= 300 ORDER BY chars DESC, note_path LIMIT 50""",
@@ -74,10 +74,10 @@ SELECT note_path, body_words FROM b WHERE body_words <= 20""",
 SELECT DISTINCT 'assets/fig' || (doc_id % 8) || '.png' AS path FROM documents WHERE 'fig' || (doc_id % 8) || '.png' NOT IN (SELECT name FROM named)""",
     "find_tasks": rf"{LINES} SELECT note_path, line, 'open' AS status, substr(regexp_extract(content, '^\s*-\s+\[(.)\]\s+(.+?)\s*$', 2), 1, 200) AS task FROM l WHERE regexp_matches(content, '^\s*-\s+\[[^xX]\]\s+(.+?)\s*$')",
     "find_todos": rf"{LINES} SELECT note_path, line, regexp_extract(content, '\b(TODO|FIXME|NOTE|HACK|XXX)\b', 1) AS marker, substr(content, 1, 200) AS content FROM l WHERE regexp_matches(content, '\b(TODO|FIXME|NOTE|HACK|XXX)\b')",
-    "grep_context": f"{LINES} SELECT note_path, line, substr(content, 1, 5000) AS content, coalesce(CASE WHEN line > 1 THEN ls[line - 1] END, '') AS before, coalesce(ls[line + 1], '') AS after FROM l WHERE contains(substr(content, 1, 5000), 'clown')",
-    "grep_regex": rf"{LINES} SELECT note_path, line, substr(content, 1, 5000) AS content, '' AS before, '' AS after FROM l WHERE regexp_matches(substr(content, 1, 5000), '(?i)\bid[a-z]+t\b')",
+    "grep_context": f"{LINES} SELECT note_path, line, content, coalesce(CASE WHEN line > 1 THEN ls[line - 1] END, '') AS before, coalesce(ls[line + 1], '') AS after FROM l WHERE contains(content, 'clown')",
+    "grep_regex": rf"{LINES} SELECT note_path, line, content, '' AS before, '' AS after FROM l WHERE regexp_matches(content, '(?i)\bid[a-z]+t\b')",
     "find_by_size": f"{PLAIN} SELECT note_path, CAST(strlen(text) AS BIGINT) AS bytes FROM plain WHERE strlen(text) BETWEEN 1000 AND 1200",
-    "bundle_cap": f"""{PLAIN}, s AS (SELECT note_path, CAST(least(strlen(text), 500000) AS BIGINT) AS bytes FROM plain), u AS (SELECT note_path, bytes,
+    "bundle_cap": f"""{PLAIN}, s AS (SELECT note_path, CAST(strlen(text) AS BIGINT) AS bytes FROM plain), u AS (SELECT note_path, bytes,
   CAST(sum(bytes) OVER (ORDER BY split_part(note_path, '/', 1), note_path ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM s) SELECT * FROM u WHERE upto <= 1000000""",
     "stats": f"""{PLAIN}, c AS (SELECT unnest(string_split(text, chr(10))) AS x FROM plain)
 SELECT (SELECT count(*) FROM plain) AS notes, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM plain) AS bytes, count(*) AS chunks, CAST(floor(avg(strlen(x)) + 0.5) AS BIGINT) AS avg_chunk_bytes FROM c""",

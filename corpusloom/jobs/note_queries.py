@@ -103,7 +103,7 @@ FROM notes n LEFT JOIN h USING (note_path) GROUP BY n.note_path""",
 SELECT note_path, coalesce(list_filter(b, lambda x: x <> '' AND NOT regexp_matches(x, '^#{{1,6}}\s+'))[1], '') AS paragraph FROM b""",
     "image_refs": rf"{WITH} SELECT note_path, CASE WHEN len(regexp_extract_all(text, '!\[\[fig')) = 0 THEN '' ELSE (SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '(?i)!\[\[([^\]|#]+\.(?:png|jpe?g|gif|webp|svg|bmp))(?:[|#][^\]]*)?\]\]', 1)) AS x, generate_subscripts(regexp_extract_all(text, '(?i)!\[\[([^\]|#]+\.(?:png|jpe?g|gif|webp|svg|bmp))(?:[|#][^\]]*)?\]\]', 1), 1) AS i) GROUP BY x)) END AS embeds FROM notes",
     "external_urls": r"%s SELECT note_path, coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^(\"\[])\b(https?://[^\s)<>\"'']+)', 1)) AS x, generate_subscripts(regexp_extract_all(text, '(?:^|[^(\"\[])\b(https?://[^\s)<>\"'']+)', 1), 1) AS i) GROUP BY x)), '') AS urls FROM notes" % WITH,
-    "inline_fields": rf"{LINES} SELECT note_path, line, regexp_extract(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$', 1) AS key, trim(regexp_extract(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$', 2)) AS value FROM l WHERE length(content) <= 2000 AND regexp_matches(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$')",
+    "inline_fields": rf"{LINES} SELECT note_path, line, regexp_extract(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$', 1) AS key, trim(regexp_extract(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$', 2)) AS value FROM l WHERE regexp_matches(content, '(?:^|[\s\-*])([A-Za-z][\w-]*)::\s*([^\n]+?)\s*$')",
     "all_links": rf"""{LINES}, e AS (SELECT note_path, line, regexp_extract(content, '[^!]\[\[([^\]|#]+)\]\]$', 1) AS w, regexp_extract(content, '!\[\[([^\]|#]+)\]\]$', 1) AS m FROM l),
 w AS (SELECT note_path, string_agg(w, ',' ORDER BY f) AS w FROM (SELECT note_path, w, min(line) AS f FROM e WHERE w <> '' GROUP BY note_path, w) GROUP BY note_path), m AS (SELECT note_path, string_agg(m, ',' ORDER BY f) AS m FROM (SELECT note_path, m, min(line) AS f FROM e WHERE m <> '' GROUP BY note_path, m) GROUP BY note_path)
 SELECT note_path, coalesce(w, '') AS wikilinks, coalesce(m, '') AS embeds FROM notes LEFT JOIN w USING (note_path) LEFT JOIN m USING (note_path)""",
