@@ -71,7 +71,8 @@ def lexicon_stability(revisions: DataFrame, n: int = 10) -> DataFrame:
     terms = sorted({w for _, h, a in variants for w in (*h, *a)})
     low = F.lower("content")
     counted = revisions.select("note_path", "commit_ts", F.size(T.wikilinks("content")).alias("supporting"), F.regexp_count(low, F.lit(r"[a-z']+")).alias("words"), T.terms_in(low, tuple(terms)).alias("found"))
-    counted = counted.withColumn("hits", F.array(*[F.size(F.filter("found", lambda x, w=w: x == w)) for w in terms])).drop("found")
+    times = lambda w: F.size(F.filter("found", lambda x: x == w))
+    counted = counted.withColumn("hits", F.array(*map(times, terms))).drop("found")
     # the sum of hits x (1 for assertions, -1 for hedges) over the terms, for each variant
     signs = F.array(*[F.struct(F.lit(name).alias("id"), F.array(*[F.lit((w in a) - (w in h)) for w in terms]).alias("sign")) for name, h, a in variants])
     spread = counted.withColumn("v", F.explode(signs))
