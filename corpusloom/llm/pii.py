@@ -33,6 +33,8 @@ NATIONAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4
 SPELLED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}(?![A-Za-z])")
 ASSIGNED = re.compile(r"[=:]\x20?[\"']?([A-Za-z0-9_+/-]{16,})")
 SIX = re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:.])")
+#: What every address of SIX has after its first group, quick to look for.
+COLONS = re.compile(r":[0-9A-Fa-f:]")
 # Gazetteers. Country domains are all names of two letters.
 GENERIC_DOMAINS = frozenset("com org net edu gov int mil info biz name pro app dev cloud online site mail email".split())
 #: Issuers of cards: lowest and highest start, and lengths.
@@ -114,7 +116,8 @@ def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
     if "at" in text and "dot" in text:
         wide += [(0, *m.span()) for m in SPELLED.finditer(text)]
     wide += [(4, *m.span(1)) for m in ASSIGNED.finditer(text)]
-    wide += [(1, *m.span()) for m in SIX.finditer(text)]
+    if COLONS.search(text):
+        wide += [(1, *m.span()) for m in SIX.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     ends = [b for _, b in taken]
     for kind, a, b in sorted(wide, key=lambda x: (x[1], x[0])):

@@ -88,3 +88,12 @@ def test_empty_tables(spark, tables, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta"))
+    rows = [(1, one), (1, two), (1, two), (2, one + " more"), (None, two), (None, "gamma " * 3), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        kept = corpus_pipeline.jaccard_join(spark, docs.repartition(parts), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, one), (1, two), (None, "gamma " * 3), (3, ""), (3, None)], key=str)
