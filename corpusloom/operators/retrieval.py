@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,39 @@ MAX_QUERIES = 10_000
 SCORES = 1 << 21
 
 
+class _Best:
+    """The ``keep`` best (score, chunk) of each of n queries, ties to the lower chunk, from scores given in any order."""
+
+    def __init__(self, n: int, keep: int):
+        self.n, self.keep, self.size = n, keep, 0
+        self.floor, self.held = np.full(n, -np.inf), []  # a query's keep-th best so far, and (query, score, chunk) above it
+
+    def add(self, q: np.ndarray, s: np.ndarray, c: np.ndarray) -> None:
+        self.held.append((q, s, c))
+        self.size += len(q)
+        if self.size > SCORES:
+            self.held = [self.rows()]
+            self.size = len(self.held[0][0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, s, c = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # noqa: B905
+        order = np.lexsort((c, -s, q))
+        q, s, c = q[order], s[order], c[order]
+        some = np.arange(len(q)) - np.searchsorted(q, q) < self.keep
+        q, s, c = q[some], s[some], c[some]
+        full = np.flatnonzero(np.bincount(q, minlength=self.n) == self.keep)
+        self.floor[full] = s[np.searchsorted(q, full, side="right") - 1]
+        return q, s, c
+
+
+SCORED = "query_id long, chunk_id long, score double"
+
+
+def _scored(ids: np.ndarray, best: _Best) -> pa.RecordBatch:
+    q, s, c = best.rows()
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
+
+
 def _best(scores: np.ndarray, chunk: np.ndarray, keep: int) -> np.ndarray:
     """Places of the ``keep`` best scores, ties to the lower chunk."""
     if len(scores) > 4 * keep:
@@ -57,34 +91,16 @@ def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        floor, held = np.full(len(ids), -np.inf), []  # a query's keep-th best so far, and (query, score, chunk) above it
-        rows = max(1, SCORES // max(1, len(ids)))
-
-        def best():
-            q, s, c = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # noqa: B905
-            order = np.lexsort((c, -s, q))
-            q, s, c = q[order], s[order], c[order]
-            some = np.arange(len(q)) - np.searchsorted(q, q) < keep
-            q, s, c = q[some], s[some], c[some]
-            full = np.flatnonzero(np.bincount(q, minlength=len(ids)) == keep)
-            floor[full] = s[np.searchsorted(q, full, side="right") - 1]
-            return q, s, c
-
-        size = 0
+        best, rows = _Best(len(ids), keep), max(1, SCORES // max(1, len(ids)))
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 scores, chunk = matrix @ _matrix(part.column("vec")).T, part.column("chunk_id").to_numpy()
-                q, c = np.nonzero(scores >= floor[:, None])
-                held.append((q, scores[q, c], chunk[c]))
-                size += len(q)
-                if size > SCORES:
-                    held = [best()]
-                    size = len(held[0][0])
-        q, s, c = best()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
+                q, c = np.nonzero(scores >= best.floor[:, None])
+                best.add(q, scores[q, c], chunk[c])
+        yield _scored(ids, best)
 
-    return chunks.select("chunk_id", "vec").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return chunks.select("chunk_id", "vec").mapInArrow(run, SCORED)
 
 
 def _score_blocks(chunks: DataFrame, queries: DataFrame, keep: int, block: int) -> DataFrame:
@@ -106,7 +122,7 @@ def _score_blocks(chunks: DataFrame, queries: DataFrame, keep: int, block: int)
         q, c, s = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])  # noqa: B905
         return pa.table({"query_id": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return met.groupBy("c", "q").applyInArrow(run, "query_id long, chunk_id long, score double")
+    return met.groupBy("c", "q").applyInArrow(run, SCORED)
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -202,9 +218,9 @@ def bridges(chunks: DataFrame, communities: DataFrame, linked: DataFrame, top_n:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl): accents folded, lower case, runs of letters and digits."""
-    terms = chunks.select("chunk_id", terms_of(F.col("text")).alias("t"))
-    return terms.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    """(chunk_id, dl, terms): each chunk's terms, repeats kept and counted in ``dl``; null texts have none."""
+    terms = chunks.select("chunk_id", F.coalesce(terms_of(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    return terms.select("chunk_id", F.size("t").cast("long").alias("dl"), F.col("t").alias("terms"))
 
 
 def _accented() -> tuple[str, str]:
@@ -224,20 +240,108 @@ def terms_of(text: Column) -> Column:
     return T.all_groups(fold_accents(text), r"[\p{L}\p{N}]+", 0)
 
 
-def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+#: (query, term) entries that go to all tasks at once, and terms of chunks in a part; more are met in blocks.
+MAX_TERMS = 1 << 22
+
+
+def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, max_terms: int = MAX_TERMS) -> DataFrame:
     """(query_id, chunk_id, score, rank) from postings, sizes (chunks, avg_dl) and queries (query_id, query).
 
     Terms of a query are joined by or and count as often as they stand in it; k1 is 1.2, b is 0.75; a term's weight
-    log((N - n + 0.5) / (n + 0.5)) is 1e-6 where it is not positive. The postings meet only terms that are asked for.
+    log((N - n + 0.5) / (n + 0.5)) is 1e-6 where it is not positive. Scores have 9 decimals, ties go to the lower chunk.
+
+    Weighted queries are stored and their entries counted: up to
+    ``max_terms`` go to all tasks, each of which sends its k best chunks a query, so that a term which stands in most
+    chunks makes no rows of its own; more entries are dealt to blocks that meet parts of the chunks.
     """
     asked = queries.select("query_id", F.explode(terms_of(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    spread = hits.groupBy("term").agg(F.count("*").alias("n"))
-    scored = hits.join(spread, "term").join(asked, "term").crossJoin(F.broadcast(sizes))  # sizes is one row
+    spread = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))  # combines before the shuffle
     idf = F.ln((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    part = F.col("times") * idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avg_dl")))
-    return top_k(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score")), k, "query_id", "chunk_id")
+    weighed = asked.join(spread, "term").crossJoin(F.broadcast(sizes)).select("query_id", F.struct("term", (F.col("times") * idf * 2.2).alias("w")).alias("t"))  # sizes is one row
+    weighed = materialise(weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("w")))
+    placed = index.crossJoin(F.broadcast(sizes)).select("chunk_id", (F.col("dl") / F.col("avg_dl")).alias("length"), "terms")
+    entries = weighed.agg(F.sum(F.size("terms"))).first()[0] or 0
+    if entries > max_terms:
+        return top_k(_bm25_blocks(placed, weighed, k, entries, max_terms), k, "query_id", "chunk_id")
+    table = weighed.toArrow()
+    shared = index.sparkSession.sparkContext.broadcast((table["query_id"].to_numpy(), *_asked_terms(table)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, *terms = shared.value
+        best = _Best(len(ids), k)
+        for batch in batches:
+            _weigh(best, terms, batch.column("chunk_id").to_numpy(), batch.column("length").to_numpy(), batch.column("terms"))
+        yield _scored(ids, best)
+
+    return top_k(placed.mapInArrow(run, SCORED), k, "query_id", "chunk_id")
+
+
+def _asked_terms(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of weighted queries, and for term i the queries and weights from start[i] to start[i + 1]."""
+    lists = table["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    code, query = coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    order = np.argsort(code, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))))
+    return coded.dictionary, start, query[order], table["w"].combine_chunks().flatten().to_numpy()[order]
+
+
+def _weigh(best: _Best, asked: list, chunk: np.ndarray, length: np.ndarray, lists: pa.Array) -> None:
+    """Score chunks against all asked terms: terms of many queries by a matrix product, the others entry by entry."""
+    vocabulary, start, query, weight = asked
+    n, terms, counts = best.n, len(vocabulary), np.diff(start)
+    if not n or not len(chunk):
+        return
+    common = np.argsort(-counts, kind="stable")[: 4 * SCORES // n]
+    common = common[counts[common] * 8 >= n]
+    column, matrix = np.full(terms, -1), np.zeros((len(common), n))
+    column[common] = np.arange(len(common))
+    entry = np.flatnonzero(column[np.repeat(np.arange(terms), counts)] >= 0)
+    matrix[column[np.repeat(np.arange(terms), counts)[entry]], query[entry]] = weight[entry]
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    codes = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
+    rows = max(1, SCORES // max(n, len(common)))
+    for at in range(0, len(chunk), rows):
+        many = min(rows, len(chunk) - at)
+        first = ends[at - 1] if at else 0
+        code, row = codes[first : ends[at + many - 1]], np.repeat(np.arange(many), np.diff(ends[at : at + many], prepend=first))
+        pair, tf = np.unique(row[code >= 0] * terms + code[code >= 0], return_counts=True)
+        row, code = np.divmod(pair, terms)
+        part = tf / (tf + 1.2 * (0.25 + 0.75 * length[at : at + many][row]))
+        thick, found = column[code] >= 0, np.zeros((many, len(common)))
+        found[row[thick], column[code[thick]]] = part[thick]
+        scores = (found @ matrix).ravel()
+        row, code, part = row[~thick], code[~thick], part[~thick]
+        size = counts[code]
+        steps = np.searchsorted(np.cumsum(size), np.arange(SCORES, size.sum() + SCORES, SCORES))
+        for a, b in zip((0, *steps), (*steps, len(row))):  # noqa: B905
+            r, c, p, m = row[a:b], code[a:b], part[a:b], size[a:b]
+            here = np.arange(m.sum()) + np.repeat(start[c] - np.cumsum(m) + m, m)
+            np.add.at(scores, np.repeat(r * n, m) + query[here], np.repeat(p, m) * weight[here])
+        hit = scores > 0
+        scores = np.round(scores, 9).reshape(many, n)
+        r, q = np.nonzero(hit.reshape(many, n) & (scores >= best.floor))
+        best.add(q, scores[r, q], chunk[at : at + many][r])
+
+
+def _bm25_blocks(placed: DataFrame, weighed: DataFrame, keep: int, entries: int, most: int) -> DataFrame:
+    blocks = -(-entries // most)
+    parts = max(1, -(-(placed.agg(F.sum(F.size("terms"))).first()[0] or 0) // most))
+    none = F.lit(None).cast("array<double>")
+    asked = weighed.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"), F.col("query_id").alias("id"), F.lit(0.0).alias("length"), "terms", "w")
+    rows = placed.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("c"), F.col("chunk_id").alias("id"), "length", "terms", none.alias("w"))
+    met = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = table["w"].is_valid()
+        asked, rows = table.filter(mine), table.filter(pc.invert(mine)).combine_chunks()
+        ids, best = asked["id"].to_numpy(), _Best(asked.num_rows, keep)
+        if asked.num_rows and rows.num_rows:
+            _weigh(best, list(_asked_terms(asked)), rows["id"].to_numpy(), rows["length"].to_numpy(), rows["terms"].combine_chunks())
+        return pa.Table.from_batches([_scored(ids, best)])
+
+    return met.groupBy("c", "q").applyInArrow(run, SCORED)
 
 
 def index_sizes(chunks: DataFrame) -> DataFrame:
@@ -246,14 +350,9 @@ def index_sizes(chunks: DataFrame) -> DataFrame:
 
 
 def index_terms(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, sizes) from one pass over the texts: each chunk's terms are counted once and stored.
-
-    What is stored is (chunk_id, dl, terms with counts); null texts have no terms.
-    """
-    told = chunks.select("chunk_id", F.coalesce(terms_of(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    stored = materialise(told.select("chunk_id", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t")))
-    each = stored.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    return each, stored.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avg_dl"))
+    """(postings, sizes) from one pass over the texts: postings are stored, and sizes taken from them."""
+    stored = materialise(postings(chunks))
+    return stored, stored.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avg_dl"))
 
 
 # --- fusion, routing, diversity
@@ -312,9 +411,9 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, router: bool = Fa
     """(query_id, chunk_id, score, rank): dense and lexical lists of 8k fused; ``score`` is the cosine, order the fused rank.
 
     ``router`` sets the weights by each query's intent and wins over ``lexical_only``; ``diversity`` (0 to 1) picks the k
-    from the first 4k.
+    from the first 4k. Queries are stored first, as five joins and scans use them.
     """
-    want = 8 * k
+    want, queries = 8 * k, materialise(queries)
     dense = dense_topk(chunks, queries, want).select("query_id", F.lit(0).alias("list_idx"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
     # lists of weight 0 are out, so their queries are not put
     put = queries.where(intent_weights(intent(F.col("query")))[1] != 0) if router else queries

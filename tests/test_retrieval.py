@@ -161,3 +161,58 @@ def test_scores_in_small_batches_are_the_same(spark, monkeypatch):
     for size in (1, 40, 1 << 21):
         monkeypatch.setattr(V, "SCORES", size)
         assert {(r.query_id, r.chunk_id, r["rank"]) for r in V.dense_topk(chunks, asked, 5).collect()} == expected
+
+
+def test_bm25_in_blocks_is_the_same(spark):
+    import collections
+    import math
+    import random
+
+    rng = random.Random(11)
+    words = [f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(4000)]  # a few words stand nearly everywhere
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(150)] + [None, "w0 " * 3000]
+    texts += texts[:30]  # equal texts: ties
+    asked = [" ".join(rng.choices(words, k=rng.randint(0, 15))) for _ in range(25)] + [None, "absent"]
+    docs = [(x or "").split() for x in texts]
+    avg, n = sum(map(len, docs)) / len(docs), collections.Counter(t for d in docs for t in set(d))
+    expected = set()
+    for q, text in enumerate(asked):
+        found = []
+        for c, d in enumerate(docs):
+            tf, s = collections.Counter(d), 0.0
+            for t in (text or "").split():
+                if tf[t]:
+                    idf = math.log((len(docs) - n[t] + 0.5) / (n[t] + 0.5))
+                    s += (idf if idf > 0 else 1e-6) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / avg))
+            if s:
+                found.append((-round(s, 9), c))
+        expected |= {(q, c, i + 1) for i, (_, c) in enumerate(sorted(found)[:5])}
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = V.index_terms(chunks)
+    for most in (V.MAX_TERMS, 40):
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in V.bm25(*index, queries, 5, most).collect()} == expected
+    none = chunks.where("false")
+    assert V.bm25(*V.index_terms(none), queries).count() == 0 and V.bm25(*index, queries.where("false")).count() == 0
+
+
+def test_scores_of_a_task_in_slices_of_any_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lists = [[f"t{x}" for x in np.minimum(rng.geometric(0.15, rng.integers(0, 30)), 40)] for _ in range(120)]
+    queries = [sorted({f"t{x}" for x in rng.geometric(0.15, 9)}) for _ in range(30)]
+    weights = [[float(len(t) + i % 3) for i, t in enumerate(q)] for q in queries]
+    table = pa.table({"query_id": pa.array(range(30)), "terms": pa.array(queries), "w": pa.array(weights)})
+    length = np.array([len(x) / 12 for x in lists])
+    expected = []
+    for q, ws in zip(queries, weights, strict=True):
+        s = [round(sum(w * x.count(t) / (x.count(t) + 1.2 * (0.25 + 0.75 * n)) for t, w in zip(q, ws, strict=True) if t in x), 9) for x, n in zip(lists, length, strict=True)]
+        expected.append([c for c in sorted(range(120), key=lambda c: (-s[c], c)) if s[c] > 0][:4])
+    for size in (1, 8, 100, 1 << 21):
+        monkeypatch.setattr(V, "SCORES", size)
+        best = V._Best(30, 4)
+        V._weigh(best, list(V._asked_terms(table)), np.arange(120), length, pa.array(lists, pa.list_(pa.string())))
+        q, _, c = best.rows()
+        assert [list(c[q == i]) for i in range(30)] == expected
