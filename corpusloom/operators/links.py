@@ -107,10 +107,11 @@ def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, k
     """
     bare = F.regexp_replace(F.col("content"), r"```.*?```|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", "")
     bare = bare if keep_code else F.regexp_replace(bare, r"`[^`]*`", " ")
-    lines = notes.select("note_path", F.posexplode(T.lines("text")).alias("pos", "content"))
-    tokens = lines.select(F.col("note_path").alias("src"), (F.col("pos") + 1).cast("long").alias("line"), T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0).alias("w"))
-    # notes of the same path are told apart by their words
-    tokens = tokens.where(F.size("w") > 0).withColumn("joined", F.array_join("w", " ")).withColumn("h", F.xxhash64("joined"))
+    own = T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0)
+    lines = notes.select(F.col("note_path").alias("src"), F.posexplode(T.lines("text")).alias("pos", "content"))
+    # notes of the same path are told apart by their lines
+    lines = lines.select("src", (F.col("pos") + 1).cast("long").alias("line"), F.xxhash64("content").alias("h"), "content")
+    tokens = lines.select("src", "line", "h", own.alias("w"))
     words = T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0)
     asked = titles.where(F.char_length("title") >= min_chars).select(words.alias("t")).where(F.size("t") > 0)
     asked = asked.select(F.array_join("t", " ").alias("mention"), F.array_join(F.slice("t", 1, 2), " ").alias("start"), F.size("t").alias("n")).distinct()
@@ -121,7 +122,7 @@ def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, k
     places = tokens.select("src", "line", "h", F.explode(pairs).alias("p")).select("src", "line", "h", F.col("p.i").alias("i"), F.explode("p.starts").alias("start"))
     tries = places.join(starts, "start").groupBy("src", "line", "h").agg(F.collect_set(F.struct("i", "ns")).alias("tries"))
     fit = F.transform("tries", lambda x: F.transform(F.filter(x["ns"], lambda n: x["i"] + n <= F.size("w")), lambda n: F.array_join(F.slice("w", x["i"] + 1, n), " ")))
-    lines = tokens.select("src", "line", "h", "joined").join(tries, ["src", "line", "h"]).withColumn("w", F.split("joined", " "))
+    lines = lines.join(tries, ["src", "line", "h"]).withColumn("w", own)  # words once more, of these lines alone
     grams = lines.select("src", "line", F.explode(F.array_distinct(F.flatten(fit))).alias("mention"))
     return grams.join(asked.select("mention"), "mention").select("src", "line", "mention")
 
