@@ -49,6 +49,13 @@ def _bridges(s, d, cross, top_n=50):
     return _round(flagged.orderBy(F.desc("score"), "a", "b").limit(top_n))
 
 
+def _by_community(s, d):
+    """Every fifth note is of the same community."""
+    chunks, linked = _flags(s, d)
+    groups = chunks.select("note_path").distinct().withColumn("community", F.substring("note_path", 2, 20).cast("int") % 5)
+    return _round(V.bridges(chunks, groups, linked, 50, 0.3))
+
+
 def _lists(s, d):
     """Two ranked lists a query: nearest vectors, and the same vectors by label and id."""
     top = V.dense_topk(t.chunks(s, d), t.asked(s, d), 20)
@@ -117,6 +124,7 @@ QUERIES = {
     "similar_pairs": lambda s, d: _round(V.similar_pairs(t.chunks(s, d), 0.3)),
     "bridges": lambda s, d: _bridges(s, d, False),
     "bridges_cross_only": lambda s, d: _bridges(s, d, True),
+    "bridges_by_community": _by_community,
     "dedupe_candidates": lambda s, d: _round(V.similar_pairs(t.chunks(s, d), 0.92)),
     "l2_normalize": lambda s, d: t.table(s, d, "embeddings").select("vec_id", F.round(U.dot(U.l2_normalize(F.transform("embedding", lambda x: x * 3)), U.l2_normalize(F.col("embedding"))), 5).alias("cosine")),
     "diversity_rerank": _diverse,
@@ -152,6 +160,7 @@ SELECT note_path, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITI
     "similar_pairs": f"{PAIRS} SELECT a, b, score FROM f",
     "bridges": f"{PAIRS} SELECT a, b, score, cross_community, linked FROM f ORDER BY s DESC, a, b LIMIT 50",
     "bridges_cross_only": f"{PAIRS} SELECT a, b, score, cross_community, linked FROM f WHERE cross_community ORDER BY s DESC, a, b LIMIT 50",
+    "bridges_by_community": f"{PAIRS} SELECT a, b, round(score, 6) AS score, (CAST(substr(na, 2) AS INT) % 5 <> CAST(substr(nb, 2) AS INT) % 5) AS cross_community, (CAST(substr(na, 2) AS INT) // 2 = CAST(substr(nb, 2) AS INT) // 2) AS linked FROM p WHERE score >= 0.3 ORDER BY p.score DESC, a, b LIMIT 50",
     "dedupe_candidates": f"{PAIRS} SELECT a, b, score FROM f WHERE s >= 0.92",
     "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS cosine FROM embeddings",
     "bm25_topk": f"{BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10",
