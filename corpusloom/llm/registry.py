@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, common, linededup, mixing, neardup, pii, ppm, quality, sharding, warc
+from corpusloom.llm import audio, bpe, common, linededup, mixing, neardup, pii, ppm, quality, runs, sharding, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,38 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_ppm_score, op2_jaccard_join, op3_byte_bpe, op4_private_spans, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features]
+def repeating_words(doc_id: Column, words: Column) -> Column:
+    """Words of the documents that op11 makes periodic: from word a on, the first p words from there again and again."""
+    g, n = F.floor(F.crc32(doc_id) / 10), F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, words = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))
+    made = F.crc32(number) % 10 == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(made, F.array_join(repeating_words(number, words), " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.find_runs(docs).withColumn("best", runs.longest())
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(runs.run_lines(), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", common.text_bytes().cast("long").alias("n_bytes"))
+    counted = tokencount.count_tokens(docs, tokencount.Rules.load(public_tokenizers.path("byte_bpe_50k.json")), keep=("doc_id", "n_bytes"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+QUERIES = [op1_ppm_score, op2_jaccard_join, op3_byte_bpe, op4_private_spans, op5_mix_sources, op6_quality_llr, op7_pack_shards, op8_warc_bundles, op9_line_dedup, op10_audio_features, op11_word_runs, op12_token_counts]
 
 #: DuckDB can read these as they stand; others have tests against brute force.
 ORACLES = {

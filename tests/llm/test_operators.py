@@ -13,9 +13,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, graphs, linededup, mixing, neardup, pii, ppm, quality, sharding, warc
+from corpusloom.llm import audio, bpe, graphs, linededup, mixing, neardup, pii, ppm, quality, runs, sharding, tokencount, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -521,3 +522,50 @@ def test_private_spans_of_rows_without_an_id(spark):
     rows = [(None, "mail a@b.cd"), (None, None), (None, "mail a@b.cd"), (1, "")]
     got = Counter((r.doc_id, tuple(tuple(x) for x in r.base)) for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {(None, ((0, 5, 11),)): 2, (None, ()): 1, (1, ()): 1}
+
+
+@pytest.mark.parametrize("least", [2, 7, 12])
+def test_runs_equal_brute_force(least):
+    rng = random.Random(least)
+    for _ in range(400):
+        n, k = rng.randrange(80), rng.choice([1, 2, 3, 5])
+        w = [rng.randrange(k) for _ in range(n)]
+        p = rng.randrange(1, n) if n > 1 and rng.random() < 0.5 else n
+        w = [w[i % p] if i >= n // 5 else w[i] for i in range(n)]
+        found = {}
+        for q in range(1, n // 2 + 1):
+            i = 0
+            while i + q < n:
+                j = i
+                while j + q < n and w[j] == w[j + q]:
+                    j += 1
+                if j > i and j - i + q >= max(least, 2 * q):
+                    found.setdefault((i, j - i + q), q)
+                i = j + 1
+        assert runs.periodic_runs(np.array(w, np.int64), least) == sorted(((a, m, q) for (a, m), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_keep_columns(spark, docs, empty):
+    got = runs.find_runs(docs, keep=("source", "doc_id", "_row"))
+    assert got.columns == ["source", "doc_id", "_row", "runs", "collapsed"] and got.count() == docs.count()
+    assert runs.find_runs(empty).count() == 0
+    repeated = runs.find_runs(spark.createDataFrame([("one two three " * 6 + "end",)], "body string"), "body", keep=()).first()
+    assert [tuple(x) for x in repeated.runs] == [(0, 18, 3)] and repeated.collapsed == "one two three end"
+
+
+def test_token_counts_equal_the_library(empty):
+    rules = tokencount.Rules.load(public_tokenizers.path("byte_bpe_50k.json"))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, counter = random.Random(3), tokencount.Counter(rules, max_states=400)  # forgets again and again
+    parts = ["a", "b", " ", "  ", "\n", "\t", "1", "23", "'re", "'", "'s", "'ll", "'l", "'v", "!", "é", "z" * 9, "日本", "\u3000", "<|endoftext|>", "ing", "tion", "😀", "\x85", "²", "r", "e", "\r\n", "'e", "\U00031350", "\u0558"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    assert counter.counts(texts).tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.count_tokens(empty, rules).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 64])
+def test_chunk_maps_compose(chunk):
+    rng = np.random.default_rng(chunk)
+    classes = rng.integers(0, 12, 5000).astype(np.uint8)
+    assert (tokencount.borders(classes, chunk) == tokencount.borders(classes, 10_000)).all()

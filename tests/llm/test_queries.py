@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 from corpusloom.llm import audio, bpe, registry
@@ -123,6 +124,56 @@ def test_op10(spark, tables):
     assert all(len(f) == 1 for f in feature.values()) and len({next(iter(f)) for f in feature.values()}) == len(feature)
 
 
+def _plain_runs(w):
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(12, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted(((i, n, q) for (i, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_op11(spark, tables, tmp_path):
+    rows = [(i, x if len(x) < 5000 else x[:4000]) for i, x in tables[1]] + [(400 + i, f"a b c d e f g\tx y {i} " * 9 + "tail word \xa0 end") for i in range(60)]
+    rows += [(500, "z " * 300), (501, "a b a c " * 40 + "q " + "b a c a " * 40), (502, " ".join(f"w{i}" for i in range(900))), (None, "x y " * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    expected, periodic = Counter(), 0
+    for i, x in rows:
+        w, h = _words(x), zlib.crc32(("" if i is None else str(i)).encode())
+        n, g = len(w), h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[j] if j < a else w[a + (j - a) % p] for j in range(n)]
+        found = _plain_runs(w)
+        periodic += bool(found)
+        gone = {j for s, m, q in found for j in range(s + q, s + m)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        told = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        kept = " ".join(y for j, y in enumerate(w) if j not in gone)
+        expected[(i, len(found), *told, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    got = registry.queries()["op11_word_runs"](spark, str(tmp_path)).collect()
+    assert periodic > 60
+    assert Counter((r.doc_id, r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) for r in got) == expected
+
+
+def test_op12(spark, tables, tmp_path):
+    odd = ["<|endoftext|>", "a<|endoftext|> <|endoftext|>'s", "don't we'll 're 'tis  'v x", " \u3000 \x85\t\n", "ab" * 700 + " x" * 900]
+    rows = [*tables[1], *((600 + i, x) for i, x in enumerate(odd))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = [len(x.ids) for x in library.encode_batch([x for _, x in rows], add_special_tokens=False)]
+    expected = Counter((i, len(x.encode()), n, n > 1024) for (i, x), n in zip(rows, counts, strict=True))
+    got = registry.queries()["op12_token_counts"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == expected
+
+
 def test_whole_groups_above_a_fair_share(spark, tmp_path):
     rows = [(i, "the same long text " * 20) for i in range(60)] + [(100 + i, f"text {i} " * (10 + i % 7)) for i in range(200)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
