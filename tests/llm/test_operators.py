@@ -16,7 +16,7 @@ import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
 
-from corpusloom.llm import audio, bpe, graphs, linededup, mixing, neardup, pii, ppm, quality, runs, sharding, tokencount, warc
+from corpusloom.llm import audio, bpe, divergence, graphs, linededup, mixing, neardup, pii, ppm, quality, runs, sharding, tokencount, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -569,3 +569,40 @@ def test_chunk_maps_compose(chunk):
     rng = np.random.default_rng(chunk)
     classes = rng.integers(0, 12, 5000).astype(np.uint8)
     assert (tokencount.borders(classes, chunk) == tokencount.borders(classes, 10_000)).all()
+
+
+def _audit(rows, least, top):
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        terms = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+        groups[lang or ""].add(source or "")
+        counts[lang or "", source or ""].update(terms)
+        docs[lang or ""].update(set(terms))
+    out = Counter()
+    for lang, sources in groups.items():
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        whole = Counter()
+        for s in sources:
+            whole.update({t: counts[lang, s][t] for t in kept})
+        part = lambda c: {t: 1 + 10**9 * (c[t] + 1) // (sum(c[x] for x in kept) + len(kept)) for t in kept}
+        parts, q = {s: part(counts[lang, s]) for s in sources}, part(whole)
+        for s, p in parts.items():
+            pairs = [(-sum((p[t] - o[t]) ** 2 // o[t] for t in kept), x.encode()) for x, o in parts.items() if x != s]
+            terms = [(-((p[t] - q[t]) ** 2 // q[t]), t.encode()) for t in kept if counts[lang, s][t] and p[t] > q[t]]
+            for name, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out.update((lang, s, name, item.decode(), -value, i) for i, (value, item) in enumerate(found, 1))
+    return out
+
+
+@pytest.mark.parametrize("least,how", [(3, {}), (2, {"block_bytes": 2000, "fan_in": 4, "shards": 3}), (1000, {})])
+def test_audit_equals_brute_force(spark, docs, empty, monkeypatch, least, how):
+    rows = [(r.text, r.lang, r.source) for r in docs.collect()]
+    rows += [("Aé a-a zz top ZZ", "xx", s) for s in ("a", "b", "b", None, "é", "\U0001f600")] + [("1 2 3", "none", "a"), ("", "none", "b"), ("only here", "one", "a")] * 2
+    given = spark.createDataFrame([(*r, "x", 1) for r in rows], "text string, lang string, source string, item string, rank int").repartition(5)
+    expected = _audit(rows, least, 5)
+    assert Counter(map(tuple, divergence.audit_sources(given, least, 5, **how).collect())) == expected
+    assert divergence.audit_sources(empty).count() == 0
+    if how:  # many groups: totals are joined, and sums are handed on in pieces
+        monkeypatch.setattr(divergence, "MAX_GROUPS", 2)
+        monkeypatch.setattr(divergence, "MAX_PAIRS", 3)
+        assert Counter(map(tuple, divergence.audit_sources(given, least, 5, **how).collect())) == expected
