@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import audio, bpe, common, divergence, linededup, mixing, neardup, pii, ppm, quality, runs, sharding, tokencount, warc
@@ -81,18 +81,22 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def repeating_words(doc_id: Column, words: Column) -> Column:
-    """Words of the documents that op11 makes periodic: from word a on, the first p words from there again and again."""
-    g, n = F.floor(F.crc32(doc_id) / 10), F.size(words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+def repeating_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the documents that op11 makes periodic the first p words from word a on come again and again.
+
+    Words, a and p are columns of their own, as a lambda would work them out again for every word.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)))
+    cut = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g"))
+    cut = cut.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    made = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number, words = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))
-    made = F.crc32(number) % 10 == 0
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(made, F.array_join(repeating_words(number, words), " ")).otherwise(F.col("text")).alias("text"))
+    docs = repeating_texts(_table(spark, sf_dir, "documents"))
     found = runs.find_runs(docs).withColumn("best", runs.longest())
     return found.select(
         "doc_id",
