@@ -75,7 +75,7 @@ QUERIES = {
     "add_tag": lambda s, d: _changed(s, d, R.add_tag(t.notes(s, d), "t3")),
     "remove_tag": lambda s, d: _changed(s, d, R.remove_tag(t.notes(s, d), "t3")),
     "wiki_to_md": lambda s, d: _changed(s, d, R.wiki_to_md(t.notes(s, d))),
-    "split_notes": lambda s, d: R.split_notes(t.notes(s, d), 2, "split/").select("note_path", F.char_length("text").cast("long").alias("chars")),
+    "split_notes": lambda s, d: R.split_notes(t.notes(s, d), 2, "split/").select("note_path", F.sha2("text", 256).alias("sha256")),
     "merge_notes": lambda s, d: R.merge_notes(t.notes(s, d), _merge_sources(s, d)).select("note_path", F.sha2("text", 256).alias("sha256")),
     "append_periodic": lambda s, d: R.append_periodic(t.notes(s, d).select("note_path", "text").limit(0), _entries(s, d), "weekly").select("note_path", F.sha2("text", 256).alias("sha256")),
     "append_periodic_notes": lambda s, d: _periodic(s, d).select("note_path", F.sha2("text", 256).alias("sha256")),
@@ -86,6 +86,11 @@ QUERIES = {
 OLD = "SELECT note_path, sha256(new) AS sha256 FROM c WHERE new <> text"
 ORACLES = {
     "line_offsets": f"""{LINES} SELECT note_path, line, CAST(coalesce(sum(strlen(content) + 1) OVER (PARTITION BY note_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l""",
+    "split_notes": rf"""{LINES}, h AS (SELECT *, regexp_matches(content, '^#{{2}}\s+(.+?)\s*$') AS head FROM l), g AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY note_path ORDER BY line) AS section FROM h),
+s AS (SELECT note_path, section, min(line) AS line, min(content) FILTER (WHERE head) AS first, string_agg(content, chr(10) ORDER BY line) AS body FROM g WHERE section > 0 GROUP BY note_path, section),
+n AS (SELECT *, coalesce(nullif(regexp_replace(left(regexp_replace(trim(regexp_replace(trim(regexp_extract(first, '^#{{2}}\s+(.+?)\s*$', 1)), '[^A-Za-z0-9_\s.-]', '', 'g')), '\s+', '-', 'g'), 80), '^\.+|\.+$', '', 'g'), ''), 'untitled') AS name FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY note_path, name ORDER BY line) AS nth FROM n)
+SELECT 'split/' || regexp_replace(note_path, '\.md$', '') || '-split/' || name || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END || '.md' AS note_path, sha256(body) AS sha256 FROM k""",
     "outline": rf"""{LINES}, o AS (SELECT note_path, line, content, CAST(coalesce(sum(strlen(content) + 1) OVER (PARTITION BY note_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l)
 SELECT note_path, line, length(regexp_extract(content, '{HEAD}', 1)) AS depth, trim(regexp_extract(content, '{HEAD}', 2)) AS title, byte_start FROM o WHERE regexp_matches(content, '{HEAD}')""",
     "sections": rf"""{LINES}, h AS (SELECT note_path, line, content, regexp_matches(content, '{HEAD}') AS h FROM l),

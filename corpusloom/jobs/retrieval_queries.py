@@ -9,6 +9,8 @@ from corpusloom.jobs import tables as t
 from corpusloom.operators import embed
 from corpusloom.operators import evaluate as E
 from corpusloom.operators import retrieval as V
+from corpusloom.operators import vector_index as X
+from corpusloom.sources.scratch import scratch_dir
 
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 TOP = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
@@ -106,6 +108,35 @@ def _recall(s, d):
     return E.truth_recall(V.coarse_rescore(t.chunks(s, d), t.asked(s, d)), V.dense_topk(t.chunks(s, d), t.asked(s, d)))
 
 
+def _index(s, d):
+    """The vectors, stored by cell; so many cells are probed as a bounded sample of them says."""
+    folder = scratch_dir(s)
+    X.write_index(t.chunks(s, d), folder)
+    return X.VectorIndex(s, folder)
+
+
+def _index_topk(s, d):
+    index = _index(s, d)
+    return _round(index.search(t.asked(s, d), 10, index.calibrate(10, 0.95)))
+
+
+def _with_copies(s, d):
+    """All vectors, and for every fifth one a copy that is moved a little."""
+    chunks = t.chunks(s, d).select((F.col("chunk_id") * 2).alias("chunk_id"), "note_path", "vec")
+    moved = F.transform("vec", lambda x, i: F.when(i == 0, x + F.lit(0.05).cast("float")).otherwise(x))
+    copies = chunks.where("chunk_id % 10 = 0").select((F.col("chunk_id") + 1).alias("chunk_id"), F.concat(F.lit("m"), (F.col("chunk_id") % 30).cast("string")).alias("note_path"), moved.alias("vec"))
+    return chunks.unionByName(copies)
+
+
+def _near_bridges(s, d):
+    """Notes of one first letter are one community; even and odd ones are linked."""
+    chunks = _with_copies(s, d)
+    groups = chunks.select("note_path").distinct().withColumn("community", F.substring("note_path", 2, 20).cast("long") % 3)
+    linked = chunks.where("chunk_id % 20 = 1").select(F.col("note_path").alias("x"), F.concat(F.lit("n"), F.expr("(chunk_id div 2) div 3").cast("string")).alias("y"))
+    linked = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _round(V.bridges(chunks, groups, linked, 50, 0.92, pairs=X.near_pairs(chunks, 0.92)))
+
+
 def _misses(s, d):
     """The cache holds the texts of even ids."""
     docs = t.table(s, d, "documents")
@@ -126,6 +157,11 @@ QUERIES = {
     "bridges_cross_only": lambda s, d: _bridges(s, d, True),
     "bridges_by_community": _by_community,
     "dedupe_candidates": lambda s, d: _round(V.similar_pairs(t.chunks(s, d), 0.92)),
+    "near_pairs": lambda s, d: _round(X.near_pairs(_with_copies(s, d), 0.92)),
+    "bridges_near": _near_bridges,
+    "vector_classes": lambda s, d: X.vector_classes(t.chunks(s, d)),
+    "index_topk": _index_topk,
+    "index_topk_exact": lambda s, d: _round(_index(s, d).search_exact(t.asked(s, d))),
     "l2_normalize": lambda s, d: t.table(s, d, "embeddings").select("vec_id", F.round(U.dot(U.l2_normalize(F.transform("embedding", lambda x: x * 3)), U.l2_normalize(F.col("embedding"))), 5).alias("cosine")),
     "diversity_rerank": _diverse,
     "bm25_topk": lambda s, d: _round(_bm25(s, d)),
@@ -137,6 +173,10 @@ QUERIES = {
     "cache_misses": _misses,
 }
 
+COPIES = f"""WITH c AS (SELECT 2 * vec_id AS chunk_id, 'n' || (vec_id // 3) AS note_path, embedding FROM embeddings
+  UNION ALL SELECT 2 * vec_id + 1, 'm' || (2 * vec_id % 30), list_concat([embedding[1] + CAST(0.05 AS FLOAT)], embedding[2:]) FROM embeddings WHERE vec_id % 5 = 0),
+k AS (SELECT embedding, min(chunk_id) AS chunk_id, min(note_path) AS lo, max(note_path) AS hi FROM c GROUP BY embedding),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, {COS} AS score FROM k a JOIN k b ON a.chunk_id < b.chunk_id AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo))"""
 RRF = """t AS (SELECT query_id, chunk_id AS id, rank - 1 AS rank FROM r WHERE rank <= 20), l AS (SELECT query_id, 0 AS li, rank, id, 1.0 AS w FROM t UNION ALL SELECT query_id, 1, 19 - rank, id, {w} FROM t WHERE 19 - rank < 12),
 f AS (SELECT query_id, id, round(sum(w / (60 + rank + 1)), 12) AS score, min(rank * 10 + li) AS best FROM l GROUP BY query_id, id)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, id) AS rank FROM f"""
@@ -162,6 +202,13 @@ SELECT note_path, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITI
     "bridges_cross_only": f"{PAIRS} SELECT a, b, score, cross_community, linked FROM f WHERE cross_community ORDER BY s DESC, a, b LIMIT 50",
     "bridges_by_community": f"{PAIRS} SELECT a, b, round(score, 6) AS score, (CAST(substr(na, 2) AS INT) % 5 <> CAST(substr(nb, 2) AS INT) % 5) AS cross_community, (CAST(substr(na, 2) AS INT) // 2 = CAST(substr(nb, 2) AS INT) // 2) AS linked FROM p WHERE score >= 0.3 ORDER BY p.score DESC, a, b LIMIT 50",
     "dedupe_candidates": f"{PAIRS} SELECT a, b, score FROM f WHERE s >= 0.92",
+    "near_pairs": f"{COPIES} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.92",
+    "bridges_near": f"""{COPIES}, l AS (SELECT DISTINCT least('m' || (2 * vec_id % 30), 'n' || (vec_id // 3)) AS lo, greatest('m' || (2 * vec_id % 30), 'n' || (vec_id // 3)) AS hi FROM embeddings WHERE vec_id % 10 = 0)
+SELECT p.a, p.b, round(score, 6) AS score, CAST(substr(x.note_path, 2) AS BIGINT) % 3 <> CAST(substr(y.note_path, 2) AS BIGINT) % 3 AS cross_community, l.lo IS NOT NULL AS linked
+FROM p JOIN c x ON x.chunk_id = p.a JOIN c y ON y.chunk_id = p.b LEFT JOIN l ON l.lo = least(x.note_path, y.note_path) AND l.hi = greatest(x.note_path, y.note_path)
+WHERE score >= 0.92 ORDER BY p.score DESC, p.a, p.b LIMIT 50""",
+    "vector_classes": f"WITH {CHUNKS} SELECT c.chunk_id, k.class_id FROM c JOIN (SELECT embedding, min(chunk_id) AS class_id FROM c GROUP BY embedding) k USING (embedding)",
+    "index_topk_exact": f"{TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS cosine FROM embeddings",
     "bm25_topk": f"{BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10",
     "rrf_fusion": f"{TOP}, {RRF.format(w='1.0')}",

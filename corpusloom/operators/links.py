@@ -156,12 +156,11 @@ def communities(links: DataFrame, notes: DataFrame, rounds: int = 10) -> DataFra
 
 
 def note_meta(notes: DataFrame) -> DataFrame:
-    """One row a note: words, chars, n_lines, bytes, headings, tags (distinct), frontmatter, outbound, inbound.
+    """One row for each row: words, chars, n_lines, bytes, headings, tags (distinct), frontmatter, outbound, inbound.
 
     Everything about the note itself is one projection; only the inbound count is joined. A null text has null counts.
+    Rows of one path each count their own text and have the path's inbound links; rows without a path have none.
     """
-    links = outbound(notes)
-    hit = inbound_ranking(links, notes)
     every = T.lines("text")
     own = notes.select(
         "note_path",
@@ -172,9 +171,12 @@ def note_meta(notes: DataFrame) -> DataFrame:
         F.size(F.filter(every, T.is_heading)).cast("long").alias("headings"),
         F.array_distinct(T.tags("text")).alias("tags"),
         T.frontmatter("text").alias("frontmatter"),
-        F.size(T.wikilinks("text")).cast("long").alias("outbound"),
+        T.wikilinks("text").alias("targets"),
     )
-    return own.join(hit, "note_path")
+    own = materialise(own)  # texts are read once
+    hit = resolve(own, own, paths=True).where(F.col("dst").isNotNull()).groupBy(F.col("dst").alias("note_path")).agg(F.count("*").alias("inbound"))
+    whole = own.join(hit, "note_path", "left")
+    return whole.select(*own.columns[:-1], F.size("targets").cast("long").alias("outbound"), F.coalesce("inbound", F.lit(0)).cast("long").alias("inbound"))
 
 
 def doctor(notes: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -138,12 +138,10 @@ def quantize_scale(chunks: DataFrame) -> DataFrame:
 
 def coarse_rescore(chunks: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 8) -> DataFrame:
     """(query_id, chunk_id, score, rank): k * oversample by 8-bit dot product, then the k best of these by cosine."""
-    scale = F.broadcast(quantize_scale(chunks))  # one row
-    coded = lambda t, name: t.crossJoin(scale).select(name, F.transform(V.quantize(F.col("vec"), F.col("scale")), lambda x: x.cast("float")).alias("vec"))
-    dots = score_queries(coded(chunks.select("chunk_id", "vec"), "chunk_id"), coded(queries.select("query_id", "vec"), "query_id"), k * oversample)
-    coarse = top_k(dots, k * oversample, "query_id", "chunk_id").select("query_id", "chunk_id", F.col("score").alias("dot"))
-    both = coarse.join(chunks.select("chunk_id", "vec"), "chunk_id").join(queries.select("query_id", F.col("vec").alias("qvec")), "query_id")
-    return top_k(both.select("query_id", "chunk_id", "dot", V.dot(F.col("vec"), F.col("qvec")).alias("score")), k, "query_id", F.desc("dot"), "chunk_id").drop("dot")
+    from corpusloom.operators import vector_index as X  # which is built on this module
+
+    scale = X.code_scale(chunks)
+    return X.coarse_topk(X.encode(chunks, scale), chunks, queries, scale, k, oversample)
 
 
 def neighbors(chunks: DataFrame, note_paths: DataFrame | list[str], k: int = 10) -> DataFrame:
@@ -198,12 +196,13 @@ def similar_pairs(chunks: DataFrame, min_score: float = 0.5, block: int = 1024)
     return spread.groupBy("i", "j").applyInArrow(pair, "a long, b long, score double")
 
 
-def bridges(chunks: DataFrame, communities: DataFrame, linked: DataFrame, top_n: int | None = 20, min_score: float = 0.5, cross_only: bool = False) -> DataFrame:
+def bridges(chunks: DataFrame, communities: DataFrame, linked: DataFrame, top_n: int | None = 20, min_score: float = 0.5, cross_only: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, score, cross_community, linked): similar chunks of different notes, the best first.
 
+    ``pairs`` (a, b, score) can come from an index (``vector_index.near_pairs``); all pairs are compared if not given.
     ``communities`` (note_path, community) and ``linked`` (a, b: note paths with a < b) only flag, unless ``cross_only``.
     """
-    pairs = similar_pairs(chunks, min_score)
+    pairs = similar_pairs(chunks, min_score) if pairs is None else pairs
     of = chunks.select("chunk_id", "note_path").join(communities, "note_path", "left")
     named = pairs.join(of.select(F.col("chunk_id").alias("a"), F.col("note_path").alias("na"), F.col("community").alias("ca")), "a")
     named = named.join(of.select(F.col("chunk_id").alias("b"), F.col("note_path").alias("nb"), F.col("community").alias("cb")), "b")

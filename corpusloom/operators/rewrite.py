@@ -136,16 +136,32 @@ def remove_tag(notes: DataFrame, tag: str, paths: list[str] | None = None) -> Da
     return notes.withColumn("text", _when(paths, F.regexp_replace("text", rf"(?m)(^|\s)#{re.escape(tag)}(?=\s|$)", "$1")))
 
 
-def split_notes(notes: DataFrame, depth: int, folder: str = "") -> DataFrame:
-    """(note_path, text): one note for each heading of that depth, named by its slug; text before the first is left out.
+def split_notes(notes: DataFrame, depth: int = 2, folder: str = "") -> DataFrame:
+    """(note_path, text): a note for each heading of that depth, up to the next one; text before the first is left out.
 
-    Of equal names within the table the last section stays.
+    Notes go below ``folder`` into a folder of the note that they come from (its path without .md, and ``-split``), named
+    by the title: ASCII letters, digits, ``_``, ``.`` and ``-``, white space as ``-``, 80 characters at most, or ``untitled``.
+    No section is lost: the second of a name within its note gets `` (2)``, which no title leaves in a name, and so on.
+    Null texts and notes without such headings give none; repeated rows are split alike. Everything stays in its row.
     """
-    parts = F.split(F.regexp_replace("text", "\r\n", "\n"), rf"(?m)^(?=#{{{depth}}}[ \t]+\S)")
-    each = notes.select("note_path", F.posexplode(parts).alias("pos", "text")).where(F.col("text").rlike(rf"\A#{{{depth}}}[ \t]+\S"))
-    title = T.heading_text(F.split_part("text", F.lit("\n"), F.lit(1)))
-    named = each.select(F.col("note_path").alias("_from"), "pos", F.concat(F.lit(folder), F.substring(T.slug(title), 1, 80), F.lit(".md")).alias("note_path"), "text")
-    return named.groupBy("note_path").agg(F.max_by("text", F.struct("_from", "pos")).alias("text"))
+    heading = rf"^#{{{depth}}}\s+(.+?)\s*$"
+    lines = notes.select("note_path", F.split("text", "\r?\n").alias("lines"))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(heading))
+    found = lines.withColumn("at", at).where(F.size("at") > 0)
+    # the end of each section is the next heading, or the end of the note
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("lines") + 1))
+    found = found.withColumn("ends", ends)
+    bodies = F.zip_with("at", "ends", lambda i, j: F.array_join(F.slice("lines", i, j - i), "\n"))
+    title = lambda i: F.trim(F.regexp_extract(F.element_at("lines", i), heading, 1))
+    bare = lambda i: F.trim(F.regexp_replace(title(i), r"[^A-Za-z0-9_\s.-]", ""))
+    name = lambda i: F.regexp_replace(F.substring(F.regexp_replace(bare(i), r"\s+", "-"), 1, 80), r"\A\.+|\.+\z", "")
+    found = found.select("note_path", bodies.alias("texts"), F.transform("at", lambda i: F.coalesce(F.nullif(name(i), F.lit("")), F.lit("untitled"))).alias("names"))
+    before = F.transform("names", lambda x, i: F.size(F.filter(F.slice("names", F.lit(1), i + 1), lambda y: y == x)))
+    found = found.withColumn("nth", before)
+    each = found.select("note_path", F.inline(F.arrays_zip("texts", "names", "nth")))
+    number = F.when(F.col("nth") > 1, F.concat(F.lit(" ("), F.col("nth").cast("string"), F.lit(")"))).otherwise("")
+    path = F.concat(F.lit(folder), F.regexp_replace("note_path", r"(?i)\.md\z", ""), F.lit("-split/"), "names", number, F.lit(".md"))
+    return each.select(path.alias("note_path"), F.col("texts").alias("text"))
 
 
 def merge_notes(notes: DataFrame, sources: DataFrame, separator: str = "\n\n") -> DataFrame:
