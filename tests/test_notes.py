@@ -95,7 +95,7 @@ def test_rewrites(spark, one):
     assert _text(R.patch_section(one, None, "Sub", "BODY")).endswith("## Sub\nBODY")
     assert "## Sub\n\nIN\n\n- [ ]" in _text(R.insert_after_heading(one, None, "Sub", "IN"))
     assert _text(R.replace_lines(_df(spark, ("a", "1\n2\n3\n4")), None, 2, 3, "x")) == "1\nx\n4"
-    assert [r.note_path for r in R.split_notes(one, 2).collect()] == ["sub.md"]
+    assert [r.note_path.split("/")[-1] for r in R.split_notes(one, 2).collect()] == ["Sub.md"]
     two = _df(spark, ("f/a.md", "A"), ("f/b.md", "B"), ("g/c.md", "C"))
     pairs = spark.createDataFrame([("m.md", 1, "f/b.md"), ("m.md", 0, "f/a.md"), ("m.md", 2, "no.md")], "target string, pos int, note_path string")
     assert _text(R.merge_notes(two, pairs)) == "A\n\nB"
@@ -196,3 +196,23 @@ def test_folders_attachments_and_bundles(spark):
     notes = _df(spark, ("a/1", "x" * 30), ("a/2", "y" * 30), ("b/1", "z"), ("c", None))
     parts = {r.note_path: r.part for r in C.bundle_parts(notes, 81).collect()}
     assert set(parts) == {"a/1", "a/2"} and len("\n\n---\n\n".join(parts.values())) == 81 and parts["a/1"].startswith("# a/1\n\nxxx")
+
+
+def test_split_loses_no_section(spark):
+    text = "intro\n## A b\none\r\n### in A\ntwo\n##  \n## A b\nthree\n## A b (2)\n##nothead\n## ../..\n## é!\n## .dots.\nlast"
+    rows = [("x.md", text), ("f/x.MD", "## A b\nother"), ("f/x.MD", "## A b\nother"), ("n.md", None), ("e.md", "# only"), (None, "## lost"), ("long.md", "## " + "w " * 60)]
+    got = R.split_notes(spark.createDataFrame(rows, "note_path string, text string"), 2).collect()
+    of = {r.note_path: r.text for r in got if (r.note_path or "").startswith("x-split")}
+    assert of == {"x-split/A-b.md": "## A b\none\n### in A\ntwo", "x-split/untitled.md": "##  ", "x-split/A-b (2).md": "## A b\nthree", "x-split/A-b-2.md": "## A b (2)\n##nothead", "x-split/untitled (2).md": "## ../..", "x-split/untitled (3).md": "## é!", "x-split/dots.md": "## .dots.\nlast"}
+    assert sum(r.note_path == "f/x-split/A-b.md" for r in got) == 2 and len(got) == len(of) + 4
+    assert max(len((r.note_path or "").split("/")[-1]) for r in got) == 83
+    assert R.split_notes(spark.createDataFrame([], "note_path string, text string")).count() == 0
+
+
+def test_note_meta_keeps_rows(spark):
+    from corpusloom.operators import links as L
+
+    rows = [("a.md", "# A\n[[b]] [[b]] and [[c]]"), ("b.md", "one two"), ("b.md", "[[a]] #tag"), (None, "[[b]] no path"), ("d.md", None)]
+    got = L.note_meta(spark.createDataFrame(rows, "note_path string, text string")).collect()
+    told = sorted(((r.note_path or "", r.words, r.outbound, r.inbound) for r in got), key=str)
+    assert told == sorted([("a.md", 6, 2, 1), ("b.md", 2, 0, 2), ("b.md", 2, 1, 2), ("", 3, 1, 0), ("d.md", None, None, 0)], key=str)
