@@ -9,18 +9,23 @@ A tree over the whole corpus would not fit one task, and its corners would not t
 apart, so documents first meet by rare shingles: under one global order (rarest first, by a table of counters of fixed
 size) two sets that are similar enough must share one of their first n - ceil(t n) + 1 shingles. That deals the points
 to trees: sharers of a shingle are the points of one tree, whose bound decides which of them make a family, and each
-family, or each tile of a large one, is a tree of its own that gives the pairs to verify.
+family, or each tile of a large one, is a tree of its own that gives the pairs to verify. Of two sets the smaller one
+shares even one of its first n - ceil(2t / (1 + t) n) + 1, so sharers that have the shingle further on only meet those.
+
+Texts made of a few popular building blocks have no rare shingles: all their first ones have very many sharers, who
+are not alike. Such sets meet by parts instead. Sets similar enough differ in at most D shingles, D given by their size
+class, so of more than D parts that shingles are dealt to by hash one at least is the same in both; a key is the whole
+content of a part. A part that very many have in common makes them a family without any comparison.
 
 Two things keep a large family from costing all pairs of its tiles. Tiles are linked within themselves first, together
 with some visitors from other tiles; what is connected by then is dealt to tiles again by component, and two tiles of
 one component don't meet. And within a task whoever is connected already is left out before any bound is worked out.
-A shingle that very many share joins them by size class to one member each, without comparing any.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,10 @@ COUNTER_BITS = 22
 PARTS = 64
 #: Points below one node of the R-tree; as few make a tree of one leaf.
 FANOUT = 16
-#: Sharers of a shingle up to which they are compared by the bound at once; more are joined by size class.
-SHARERS = 4096
+#: Sharers of a shingle up to which they are compared by the bound; where there are more they meet by parts.
+SHARERS = 512
+#: Sharers of a part up to which they are compared by the bound; more are one family.
+PART_SHARERS = 2048
 #: Shingles of one tile: a tile of very long texts has fewer of them.
 TILE_SHINGLES = 1 << 21
 #: Rows of equal sets are dealt to so many parts before they are named.
@@ -81,6 +88,34 @@ def point_of(shingles: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
 
 
+def size_step(num: int, den: int) -> float:
+    """Logarithm of the width of a size class; similar sets are of the same class or of neighbouring ones."""
+    return max(1e-6, math.log(den / num) * 1.001)
+
+
+def part_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set's parts, for its size class and the next one: sets that are similar enough have one in common.
+
+    In a class sets differ in D shingles at most. There are some more than D + 1 parts, so that one part with a member
+    is the same in both; only a set with members in D parts or fewer also gets keys for its empty parts.
+    """
+    n, step, keys = len(shingles), size_step(num, den), []
+    own = math.floor(math.log(n) / step)
+    for c in (own, own + 1):
+        most = math.ceil(math.exp((c + 1) * step))
+        differ = 2 * most * (den - num) // (den + num)
+        parts = differ + 3 + differ // 16
+        part = (common.mix64(shingles ^ np.uint64(c + 1)) % np.uint64(parts)).astype(np.int64)
+        # content of a part: sums of two hashes of its members
+        one, two = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
+        np.add.at(one, part, shingles)
+        np.add.at(two, part, common.mix64(shingles))
+        named = common.mix64(one ^ common.mix64(two + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
+        held = np.bincount(part, minlength=parts) > 0
+        keys.append(named[held] if held.sum() > differ else named)
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
 def read_points(packed: list[bytes]) -> np.ndarray:
     points = np.empty((len(packed), GROUPS), np.int32)
     for i, x in enumerate(packed):
@@ -201,27 +236,29 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, row = counters.value, 0
         for batch in common.slices(batches):
-            names, counts, keys, points = [], [], [], []
+            names, counts, keys, shorts, points = [], [], [], [], []
             for s in shingle_sets(common.texts_of(batch), k):
                 n = len(s)
+                shorts.append(n - -(-2 * num * n // (num + den)) + 1)
                 names.append(set_name(s) if n else None)
                 counts.append(n)
                 first = np.argsort(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")[: n - -(-num * n // den) + 1]
                 keys.append(s[first].view(np.int64))
                 points.append(point_of(s) if n else None)
             salt, row = np.arange(row, row + batch.num_rows, dtype=np.int32) % SALTS, row + batch.num_rows
-            columns = [batch.column("doc_id"), batch.column("th"), pa.array(salt), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["doc_id", "th", "salt", "node", "n", "keys", "point", *kept])
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(salt), pa.array(names, pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["doc_id", "th", "salt", "node", "n", "keys", "short", "point", *kept])
 
-    schema = T.StructType([*T.StructType.fromDDL("doc_id long, th long, salt int, node long, n long, keys array<long>, point binary").fields, *(given.schema[c] for c in kept)])
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, th long, salt int, node long, n long, keys array<long>, short int, point binary").fields, *(given.schema[c] for c in kept)])
     described = common.materialise(given.mapInArrow(describe, schema))
     rows = described.select("doc_id", "salt", "node", "n", *kept)
     # equal sets meet in two steps, so that a text that a third of all rows have is spread over SALTS tasks
     where = F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th")
     parts = common.materialise(described.where("node is not null").groupBy("node", "salt").agg(F.min("doc_id").alias("low"), where))
     lowest = common.materialise(parts.groupBy("node").agg(F.min("low").alias("low"), F.coalesce(F.min_by("th", "low"), F.min("th")).alias("th")))
-    nodes = common.materialise(described.where("n > 0").select("node", "n", "keys", "point").dropDuplicates(["node"]))
-    family = common.materialise(connected_components(_family_edges(nodes, num, den)))
+    nodes = common.materialise(described.where("n > 0").select("node", "n", "keys", "short", "point").dropDuplicates(["node"]))
+    by_parts = lambda hot: _parts_of(docs, hot.join(lowest, "node"), k, num, den, max_broadcast_ids)
+    family = common.materialise(connected_components(_family_edges(nodes, num, den, by_parts)))
     wanted = common.materialise(family.join(lowest, "node").select("node", "component", "low", "th"))
     sets = _sets_of(docs, wanted, k, max_broadcast_ids)
     groups = common.materialise(connected_components(_family_links(sets, num, den, tile)))
@@ -234,26 +271,34 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *extra)
 
 
-def _family_edges(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that put into one family whoever may be similar; nodes: (node, n, keys, point), once each."""
-    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    counts = common.materialise(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+def _family_edges(nodes: DataFrame, num: int, den: int, by_parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that put into one family whoever may be similar; nodes: (node, n, keys, short, point), once each.
+
+    ``by_parts`` gives (node, key) of the parts of some nodes' sets.
+    """
+    keys = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"), "short").withColumn("short", F.col("pos") < F.col("short"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("short").cast("int")).alias("s"))
+    counts = common.materialise(counts.where("m > 1 and s > 0").select("key", "m"))
     # fewer than (all keys) / SHARERS rows
     hot = common.broadcast_if_small(counts.where(F.col("m") > SHARERS).select("key"), 1_000_000)
-    few = keys.join(hot, "key", "left_anti").join(counts.where(F.col("m") <= SHARERS).select("key"), "key")
-    near = _bounded_edges(few.join(nodes.select("node", "point"), "node"), num, den)
-    # similar sets are of the same size class or of neighbouring ones
-    step = max(1e-6, math.log(den / num) * 1.001)
-    many = keys.join(hot, "key").withColumn("c", F.floor(F.ln("n") / step))
-    heads = common.materialise(many.groupBy("key", "c").agg(F.min("node").alias("head")))
-    small = common.broadcast_if_small(heads, 1_000_000)
-    stars = many.join(small, ["key", "c"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    steps = heads.select("key", (F.col("c") + 1).alias("c"), F.col("head").alias("a")).join(heads.withColumnRenamed("head", "b"), ["key", "c"]).select("a", "b")
-    return near.unionByName(stars.unionByName(steps).where("a <> b").distinct())
+    points = nodes.select("node", "n", "point")
+    few = keys.drop("n", "pos").join(counts.where(F.col("m") <= SHARERS).select("key"), "key")
+    near = _bounded_edges(few.join(points, "node"), num, den)
+    many = common.materialise(keys.join(hot, "key").select("node").distinct())
+    if many.isEmpty():
+        return near
+    parts = common.materialise(by_parts(many))
+    sizes = common.materialise(parts.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).where("m > 1"))
+    stars = parts.join(common.broadcast_if_small(sizes.where(F.col("m") > PART_SHARERS), 1_000_000), "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    some = parts.join(sizes.where(F.col("m") <= PART_SHARERS).select("key"), "key").withColumn("short", F.lit(True))
+    found = _bounded_edges(some.join(points, "node"), num, den)
+    return near.unionByName(found).unionByName(stars.where("a <> b").distinct())
 
 
 def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect whom the bound can't tell apart among sharers of a key; rows: (key, node, n, point).
+    """Edges (a, b) that connect whom the bound can't tell apart among sharers of a key; rows: (key, node, n, short, point).
+
+    Of a pair the smaller set has to be ``short``.
 
     A task goes through its keys one after another and keeps, beside the points of one key, whom it has connected;
     who is connected already is not compared again.
@@ -264,7 +309,7 @@ def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def settle() -> list[tuple[int, int]]:
             found = []
-            if len(held) < 2:
+            if len(held) < 2 or not any(x[3] for x in held[:-1]):
                 return found
             nodes = [x[0] for x in held]
             label = np.array([sets.find(x) for x in nodes])
@@ -273,6 +318,8 @@ def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             sizes, points = np.array([x[1] for x in held]), read_points([x[2] for x in held])
             tree = CountTree(points, sizes) if len(held) > FANOUT else None
             for i in range(len(held) - 1):
+                if not held[i][3]:
+                    continue
                 apart = label != label[i]
                 if not apart[i + 1 :].any():
                     continue
@@ -292,21 +339,43 @@ def _bounded_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            for k, node, n, point in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "point")), strict=True):
+            for k, node, n, point, short in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "point", "short")), strict=True):
                 if k != key:
                     found += settle()
                     key, held = k, []
-                held.append((node, n, point))
+                held.append((node, n, point, short))
             yield _edge_batch(found)
         yield _edge_batch(settle())
 
-    return rows.select("key", "node", "n", "point").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(compare, "a long, b long")
+    return rows.select("key", "node", "n", "point", "short").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(compare, "a long, b long")
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast_ids: int, *more: str) -> DataFrame:
+    """(node, text, ...) for ``wanted`` (node, low, th, ...): a node's text is found by its hash and its least id."""
+    asked = common.broadcast_if_small(wanted.select("node", F.col("low").alias("_low"), F.col("th").alias("_th"), *more), max_broadcast_ids)
+    found = (F.xxhash64("text") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_low"))
+    return docs.select("doc_id", "text").join(asked, found).select("node", "text", *more)
+
+
+def _parts_of(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, max_broadcast_ids: int) -> DataFrame:
+    """(node, key) for all parts of the nodes' sets."""
+
+    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, target=1 << 17):
+            names, keys = [], []
+            for s, node in zip(shingle_sets(common.texts_of(batch), k), batch.column("node").to_pylist(), strict=True):
+                if len(s) and set_name(s) == node:
+                    keys.append(part_keys(s, num, den))
+                    names.append(np.full(len(keys[-1]), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (names, keys)], names=["node", "key"])
+
+    return _texts_of(docs, wanted, max_broadcast_ids).mapInArrow(collect, "node long, key long").distinct()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int) -> DataFrame:
     """(component, node, n, members, point) of the nodes in families: only these sets are ever moved.
 
@@ -326,9 +395,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, max_broadcast_ids: int)
             columns = [batch.column("component").take(pa.array(keep, pa.int32())), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["component", "node", "n", "members", "point"])
 
-    asked = common.broadcast_if_small(wanted.select("component", "node", F.col("low").alias("_low"), F.col("th").alias("_th")), max_broadcast_ids)
-    found = (F.xxhash64("text") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_low"))
-    texts = docs.select("doc_id", "text").join(asked, found).select("component", "node", "text")
+    texts = _texts_of(docs, wanted, max_broadcast_ids, "component")
     sets = texts.mapInArrow(collect, "component long, node long, n long, members binary, point binary")
     return common.materialise(sets.dropDuplicates(["node"]))
 

@@ -142,6 +142,52 @@ def test_near_duplicates_equal_brute_force(docs, empty, k, num, tile):
         assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("num", [85, 60])
+def test_parts_of_similar_sets_meet(num):
+    rng, tried = np.random.default_rng(num), 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 300))
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        lost, new = (int(rng.integers(0, n * (100 - num) // 100 + 2)) for _ in range(2))
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[lost:n], pool[n : n + new])))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= num * (len(a) + len(b) - both):
+            tried += 1
+            assert len(np.intersect1d(neardup.part_keys(a, num, 100), neardup.part_keys(b, num, 100)))
+    assert tried > 500
+
+
+def test_popular_blocks_and_boilerplate_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARERS", 6)
+    monkeypatch.setattr(neardup, "PART_SHARERS", 9)
+    rng, texts = random.Random(4), []
+    blocks = [[" ".join(f"b{i}v{v}w{j}" for j in range(5)) for v in (0, 1)] for i in range(30)]
+    for _ in range(70):
+        pick = [rng.randrange(2) for _ in blocks]
+        texts += [" ".join(b[v] for b, v in zip(blocks, pick, strict=True))] * rng.choice([1, 1, 2])
+        if rng.random() < 0.5:  # a partner that is alike
+            pick[rng.randrange(30)] ^= 1
+            texts.append(" ".join(b[v] for b, v in zip(blocks, pick, strict=True)))
+    page = " ".join(f"page{i}" for i in range(150))
+    texts += [f"{page} " + " ".join(f"own{i}x{j}" for j in range(rng.randrange(0, 40))) for i in range(40)]
+    texts += [page.replace("page7 ", f"v{i} ") for i in range(40)] + ["short one here now again"] * 3 + [f"short one here now v{i}" for i in range(9)]
+    sets, parent = [_sets(x, 4) for x in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    expected = {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(given).collect()} == expected
+    assert 20 < len({c for _, c in expected.values()}) < len(texts) - 60
+
+
 def test_count_tree_reaches_all_that_qualify():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 5, (700, neardup.GROUPS)).astype(np.int32)
