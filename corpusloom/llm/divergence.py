@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ BLOCK_BYTES = 96 << 20
 #: Runs of a shard that are merged at a time.
 FAN_IN = 512
 #: Rows of a run that are decoded at a time.
-PIECE = 1024
+PIECE = 4096
 #: Groups (language, source) up to which their totals are sent to all tasks; beyond, they are joined.
 MAX_GROUPS = 200_000
 #: Pairs of sources that a task sums up before it hands them on.
@@ -83,19 +82,42 @@ def _pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(run: bytes) -> Iterator[tuple[str, str, str, int, int]]:
-    """A run's rows in order; only PIECE of them are decoded at a time."""
-    for batch in pa.ipc.open_stream(run):
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+def _merged(runs: list[bytes], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted runs as tables in order, each with whole terms; what runs have of a (language, term, source) is summed.
 
-
-def _merged(runs: list[bytes]) -> Iterator[tuple[str, str, str, int, int]]:
-    """The rows of sorted runs as one sorted run."""
-    for key, rows in groupby(heapq.merge(*map(_unpack, runs)), key=lambda r: r[:3]):
-        n = docs = 0
-        for row in rows:
-            n, docs = n + row[3], docs + row[4]
-        yield *key, n, docs
+    A heap holds the next piece of every run by its first term. Pieces are taken from it in order, and as soon as about
+    ``rows`` rows are at hand all terms before the heap's least one, which no run can have more of, go out.
+    """
+    streams, heap = [iter(pa.ipc.open_stream(run)) for run in runs], []
+
+    def push(i: int) -> None:
+        batch = next(streams[i], None)
+        if batch is not None:
+            heapq.heappush(heap, ((batch["lang"][0].as_py(), batch["term"][0].as_py()), i, batch))
+
+    for i in range(len(streams)):
+        push(i)
+    held, n, full = [], 0, rows
+    while heap:
+        _, i, batch = heapq.heappop(heap)
+        held.append(pa.Table.from_batches([batch]))
+        n += batch.num_rows
+        push(i)
+        if n >= full and heap:
+            (lang, term), *_ = heap[0]
+            whole = _together(held)
+            over = pc.and_(pc.equal(whole["lang"], lang), pc.greater_equal(whole["term"], term))
+            over = pc.or_(over, pc.greater(whole["lang"], lang))
+            yield _in_order(whole.filter(pc.invert(over)))
+            held = [whole.filter(over)]
+            n = held[0].num_rows
+            full = n + rows
+    if held:
+        yield _in_order(_together(held))
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.sort_by([(c, "ascending") for c in ("lang", "term", "source")])
 
 
 def _cut(run: int, table: pa.Table, shards: int) -> pa.RecordBatch:
@@ -133,8 +155,7 @@ def merge_runs(runs: DataFrame, shards: int, fan_in: int = FAN_IN) -> DataFrame:
     """Merge runs in rounds until no shard has more than ``fan_in``."""
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = list(zip(*_merged(table["postings"].to_pylist()), strict=True))
-        merged = pa.table([pa.array(c, t) for c, t in zip(rows, POSTINGS.types, strict=True)], schema=POSTINGS)
+        merged = pa.concat_tables(_merged(table["postings"].to_pylist()))
         return pa.table({"shard": table["shard"].slice(0, 1), "run": table["lot"].slice(0, 1), "postings": pa.array([_pack(merged)], pa.binary())})
 
     while (most := runs.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) > fan_in:
@@ -152,27 +173,30 @@ def term_frequencies(docs: DataFrame, least_docs: int = 3, shards: int | None =
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = merge_runs(common.materialise(index_runs(docs, shards, block_bytes)), shards, fan_in)
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))]
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = [x for batch in batches for x in batch.column("postings").to_pylist()]
-        made = []
-        for (lang, term), rows in groupby(_merged(packed), key=lambda r: r[:2]):
-            rows = list(rows)  # one for each source
-            if sum(r[4] for r in rows) >= least_docs:
-                made.append((lang, term, sum(r[3] for r in rows), [{"source": r[2], "n": r[3]} for r in rows]))
-            if len(made) == 4096:
-                yield _frequency_batch(made, kinds)
-                made = []
-        yield _frequency_batch(made, kinds)
+        for table in _merged(packed):
+            yield from _by_term(table.combine_chunks(), least_docs).to_batches(max_chunksize=8192)
 
     shuffled = runs.repartitionById(shards, F.col("shard"))
     return shuffled.mapInArrow(merge, "lang string, term string, n long, groups array<struct<source: string, n: long>>")
 
 
-def _frequency_batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "term", "n", "groups"])
+def _by_term(table: pa.Table, least_docs: int) -> pa.Table:
+    """A row for each term in enough documents, with its sources, from sorted rows (language, term, source)."""
+    codes = [np.asarray(table[c].combine_chunks().dictionary_encode().indices) for c in ("lang", "term")]
+    new = np.concatenate((np.ones(min(1, table.num_rows), bool), (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])))
+    starts = np.flatnonzero(new)
+    n, docs = (np.asarray(table[c]) for c in ("n", "docs"))
+    kept = np.add.reduceat(docs, starts) >= least_docs if len(starts) else np.zeros(0, bool)
+    sizes = np.diff(np.append(starts, table.num_rows))
+    rows = table.filter(pa.array(np.repeat(kept, sizes)))
+    groups = pa.StructArray.from_arrays([rows["source"].combine_chunks(), rows["n"].combine_chunks()], names=["source", "n"])
+    cuts = np.concatenate(([0], np.cumsum(sizes[kept])))
+    heads = table.take(pa.array(starts[kept]))
+    total = np.add.reduceat(n, starts)[kept] if len(starts) else np.zeros(0, np.int64)
+    return pa.table({"lang": heads["lang"], "term": heads["term"], "n": pa.array(total), "groups": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), groups)})
 
 
 def _part_of(count: str, whole: str) -> str:

@@ -652,3 +652,17 @@ def test_audit_equals_brute_force(spark, docs, empty, monkeypatch, least, how):
         monkeypatch.setattr(divergence, "MAX_GROUPS", 2)
         monkeypatch.setattr(divergence, "MAX_PAIRS", 3)
         assert Counter(map(tuple, divergence.audit_sources(given, least, 5, **how).collect())) == expected
+
+
+def test_runs_merge_through_the_heap(monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE", 3)
+    rng, runs_, expected = random.Random(9), [], Counter()
+    for _ in range(7):
+        rows = sorted({(rng.choice("ab"), f"t{rng.randrange(30)}é"[: rng.randrange(2, 5)], rng.choice("xyz")) for _ in range(rng.randrange(0, 60))})
+        runs_.append(divergence._pack(pa.table([*map(list, zip(*rows)), [1] * len(rows), [2] * len(rows)] if rows else [[]] * 5, schema=divergence.POSTINGS)))  # noqa: B905
+        expected.update(rows)
+    tables = list(divergence._merged(runs_, rows=10))
+    got = [tuple(r.values()) for t in tables for r in t.to_pylist()]
+    assert [r[:3] for r in got] == sorted(expected) and all(r[3:] == (expected[r[:3]], 2 * expected[r[:3]]) for r in got) and len(tables) > 3
+    ends = [(t["lang"][-1].as_py(), t["term"][-1].as_py()) for t in tables if t.num_rows]
+    assert len(set(ends)) == len(ends)
