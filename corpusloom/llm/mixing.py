@@ -36,8 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def shuffle_key(epoch: Column) -> Column:
-    """The order of a source's documents in one epoch: pseudo-random, the same in each run."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch.cast("string"))))
+    """The order of a source's documents in one epoch: pseudo-random, the same in each run; by ``name`` where there is no id."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.col("_name")), epoch.cast("string"))))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct: int = 150, max_epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,16 +50,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_pct
 
     Returns doc_id, source, size, source_size (long), target (double), taken (long), queue_pos (long, from 0: the
     place of the first copy that is taken, null if none is) and the columns of ``keep``, a row for each row of ``docs``.
-    Null text has size 0; null source is a source of its own; null ids and repeated rows are documents as any other
-    (rows alike in doc_id, source and size are interchangeable; the rest does not depend on how rows are dealt to
+    Null text has size 0; null source is a source of its own; null ids (shuffled by a hash of their text) and repeated
+    rows are documents as any other (rows alike in doc_id, source and size are interchangeable; the rest does not depend on how rows are dealt to
     files). An empty table gives an empty result.
     """
-    base = common.materialise(docs.select("doc_id", "source", common.word_count().alias("size"), F.monotonically_increasing_id().alias("_row"), *keep))
+    name = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.hex(F.xxhash64("text"))))
+    base = common.materialise(docs.select("doc_id", "source", common.word_count().alias("size"), F.monotonically_increasing_id().alias("_row"), name.alias("_name"), *keep))
     targets = common.materialise(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_pct, max_epochs))
     same = F.col("source").eqNullSafe(F.col("_t"))
     few = common.broadcast_if_small(targets.withColumnRenamed("source", "_t"), MAX_SOURCES)
-    copies = base.where("size > 0").select("_row", "source", "doc_id", "size", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("epoch"))
-    copies = copies.withColumn("key", shuffle_key(F.col("epoch")))
+    copies = base.where("size > 0").select("_row", "source", "doc_id", "size", "_name", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("epoch"))
+    copies = copies.withColumn("key", shuffle_key(F.col("epoch"))).drop("_name")
     lined = common.running_sums(copies, ["source", "epoch", "key", "doc_id", "size", "_row"], {"upto": "size"})
     start = lined.groupBy(F.col("source").alias("_t")).agg(F.min(F.col("upto") - F.col("size")).alias("start"))
     few_starts = common.broadcast_if_small(targets.join(start, F.col("source").eqNullSafe(F.col("_t"))).select("_t", "start", "target"), MAX_SOURCES)

@@ -666,3 +666,12 @@ def test_runs_merge_through_the_heap(monkeypatch):
     assert [r[:3] for r in got] == sorted(expected) and all(r[3:] == (expected[r[:3]], 2 * expected[r[:3]]) for r in got) and len(tables) > 3
     ends = [(t["lang"][-1].as_py(), t["term"][-1].as_py()) for t in tables if t.num_rows]
     assert len(set(ends)) == len(ends)
+
+
+def test_mix_shuffles_rows_without_ids(spark):
+    rows = [(None, "big", " ".join(f"w{i}" for _ in range(3 if i % 2 else 40))) for i in range(1000)] + [(i, "small", "a b c") for i in range(50)]
+    given = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = Counter((r.size, r.taken > 0) for r in mixing.mix_sources(given.repartition(3), share_pct=50).collect() if r.source == "big")
+    shares = [taken[(n, True)] / 500 for n in (3, 40)]
+    assert 0.3 < min(shares) and abs(shares[0] - shares[1]) < 0.12
+    assert sorted(map(tuple, mixing.mix_sources(given, share_pct=50).drop("queue_pos").collect()), key=str) == sorted(map(tuple, mixing.mix_sources(given.repartition(7), share_pct=50).drop("queue_pos").collect()), key=str)
