@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.sources.scratch import materialise
 
-
+#: Characters of titles that go to all tasks as an automaton, of less than 100 bytes a character.
+MAX_TITLE_CHARS = 4_000_000
 #: Starts of titles that go to all tasks; more meet the places in lines by a shuffle.
 MAX_STARTS = 500_000
 
@@ -98,23 +106,71 @@ def index_export(notes: DataFrame) -> DataFrame:
 def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, keep_code: bool = False) -> DataFrame:
     """(src, line, mention): titles that stand as whole words in a line without being linked, each once a line.
 
-    ``titles`` (title) may have any number of words. Lines meet the first two words of titles, or the only one, which
-    tell the lengths that are worth a try at that place; word n-grams of these lengths meet whole titles by equality, so
-    there is no test of every line against every title. Titles are compared without case, as words divided by single
-    spaces; wiki links, Markdown links and code between triple backticks are taken out first, and inline code
-    unless ``keep_code``.
-    Null texts have no lines; titles of more than 256 characters are titles as well.
+    ``titles`` (title) may have any number of words. They are counted first: up to MAX_TITLE_CHARS characters go to all
+    tasks as an automaton that finds all of them in one pass over a note, in its row and without a shuffle; more meet the
+    lines by their first words. Titles are compared without case, as words divided by single spaces; wiki links, Markdown
+    links and code between triple backticks are taken out first, and inline code unless ``keep_code``.
+    Null texts have no lines; titles of more than 256 characters are titles as well; rows of one path are told apart.
     """
-    bare = F.regexp_replace(F.col("content"), r"```.*?```|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", "")
+    words = T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0)
+    asked = titles.where(F.char_length("title") >= min_chars).select(words.alias("t")).where(F.size("t") > 0)
+    asked = materialise(asked.select(F.array_join("t", " ").alias("mention"), F.array_join(F.slice("t", 1, 2), " ").alias("start"), F.size("t").alias("n")).distinct())
+    if (asked.agg(F.sum(F.char_length("mention") + 2)).first()[0] or 0) > MAX_TITLE_CHARS:
+        return _mentions_by_start(notes, asked, keep_code)
+    shared = notes.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r.mention for r in asked.select("mention").collect()]))
+    own = F.transform(T.lines("text"), lambda x: F.array_join(_line_words(x, keep_code), " "))
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(*shared.value)
+        for batch in batches:
+            src, line, mention = [], [], []
+            for at, lines in enumerate(batch.column("lines").to_pylist() if len(automaton) else ()):
+                if not lines:
+                    continue
+                whole = " " + " \n ".join(lines) + " "
+                ends = np.cumsum([len(x) + 3 for x in lines])  # of each line and what divides it from the next
+                hits = {(int(np.searchsorted(ends, end, side="right")), title) for end, title in automaton.iter(whole)}
+                for i, title in sorted(hits):
+                    src.append(at)
+                    line.append(i + 1)
+                    mention.append(title)
+            yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(src, pa.int32())), pa.array(line, pa.int64()), pa.array(mention, pa.string())], names=["src", "line", "mention"])
+
+    return notes.select(F.col("note_path").alias("src"), own.alias("lines")).mapInArrow(find, "src string, line long, mention string")
+
+
+@lru_cache(maxsize=2)
+def _built(key: str, titles: tuple[str, ...]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for title in titles:
+        automaton.add_word(f" {title} ", title)
+    if titles:
+        automaton.make_automaton()
+    return automaton
+
+
+def _automaton(key: str, titles: list[str]) -> ahocorasick.Automaton:
+    """An automaton over titles with a blank on both sides; a worker builds it once."""
+    return _built(key, tuple(titles))
+
+
+def _line_words(line: Column, keep_code: bool) -> Column:
+    """Lower-case words of a line without its links and code."""
+    bare = F.regexp_replace(line, r"```.*?```|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", "")
     bare = bare if keep_code else F.regexp_replace(bare, r"`[^`]*`", " ")
-    own = T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0)
+    return T.all_groups(F.lower(bare), r"[\p{L}\p{N}_]+", 0)
+
+
+def _mentions_by_start(notes: DataFrame, asked: DataFrame, keep_code: bool) -> DataFrame:
+    """Mentions for any number of titles (mention, start, n).
+
+    Lines meet the first two words of titles, or the only one, which tell the lengths that are worth a try at that
+    place; word n-grams of these lengths meet whole titles by equality.
+    """
     lines = notes.select(F.col("note_path").alias("src"), F.posexplode(T.lines("text")).alias("pos", "content"))
     # notes of the same path are told apart by their lines
     lines = lines.select("src", (F.col("pos") + 1).cast("long").alias("line"), F.xxhash64("content").alias("h"), "content")
-    tokens = lines.select("src", "line", "h", own.alias("w"))
-    words = T.all_groups(F.lower("title"), r"[\p{L}\p{N}_]+", 0)
-    asked = titles.where(F.char_length("title") >= min_chars).select(words.alias("t")).where(F.size("t") > 0)
-    asked = asked.select(F.array_join("t", " ").alias("mention"), F.array_join(F.slice("t", 1, 2), " ").alias("start"), F.size("t").alias("n")).distinct()
+    tokens = lines.select("src", "line", "h", _line_words(F.col("content"), keep_code).alias("w"))
     # hashes of starts only suggest a try
     starts = asked.groupBy(F.xxhash64("start").alias("start")).agg(F.collect_set("n").alias("ns"))
     starts = F.broadcast(starts) if starts.limit(MAX_STARTS + 1).count() <= MAX_STARTS else starts
@@ -122,7 +178,8 @@ def unlinked_mentions(notes: DataFrame, titles: DataFrame, min_chars: int = 4, k
     places = tokens.select("src", "line", "h", F.explode(pairs).alias("p")).select("src", "line", "h", F.col("p.i").alias("i"), F.explode("p.starts").alias("start"))
     tries = places.join(starts, "start").groupBy("src", "line", "h").agg(F.collect_set(F.struct("i", "ns")).alias("tries"))
     fit = F.transform("tries", lambda x: F.transform(F.filter(x["ns"], lambda n: x["i"] + n <= F.size("w")), lambda n: F.array_join(F.slice("w", x["i"] + 1, n), " ")))
-    lines = lines.join(tries, ["src", "line", "h"]).withColumn("w", own)  # words once more, of these lines alone
+    tries = tries.select(F.col("src").alias("_src"), F.col("line").alias("_line"), F.col("h").alias("_h"), "tries")
+    lines = lines.join(tries, F.col("src").eqNullSafe(F.col("_src")) & (F.col("line") == F.col("_line")) & (F.col("h") == F.col("_h"))).withColumn("w", _line_words(F.col("content"), keep_code))  # words once more, of these lines alone
     grams = lines.select("src", "line", F.explode(F.array_distinct(F.flatten(fit))).alias("mention"))
     return grams.join(asked.select("mention"), "mention").select("src", "line", "mention")
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +218,23 @@ def test_note_meta_keeps_rows(spark):
     got = L.note_meta(spark.createDataFrame(rows, "note_path string, text string")).collect()
     told = sorted(((r.note_path or "", r.words, r.outbound, r.inbound) for r in got), key=str)
     assert told == sorted([("a.md", 6, 2, 1), ("b.md", 2, 0, 2), ("b.md", 2, 1, 2), ("", 3, 1, 0), ("d.md", None, None, 0)], key=str)
+
+
+def test_mentions_by_automaton_and_by_starts(spark, monkeypatch):
+    from corpusloom.operators import links as L
+
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "été", "x_1", "alpha", "İstanbul"]
+    texts = ["\n".join(" ".join(rng.choice([*words, "[[alpha]]", "`beta gamma`", "!", "(delta)"]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    notes = spark.createDataFrame([(f"n{i % 40}.md", x) for i, x in enumerate(texts)] + [("null.md", None), (None, "alpha beta"), ("e.md", "")], "note_path string, text string")
+    titles = spark.createDataFrame([(x,) for x in ("Alpha", "alpha beta", "beta  gamma", "alpha-beta-gamma", "Delta Delta", "ÉTÉ", "x_1", "abc", None, "", "!!!!!", "alpha alpha alpha", "İstanbul")], "title string")
+    plan = L.unlinked_mentions(notes, titles, 3)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "explode" not in plan.lower()
+    for keep in (False, True):
+        fast = sorted(map(tuple, L.unlinked_mentions(notes, titles, 3, keep).collect()), key=str)
+        monkeypatch.setattr(L, "MAX_TITLE_CHARS", 0)
+        slow = sorted(map(tuple, L.unlinked_mentions(notes, titles, 3, keep).collect()), key=str)
+        monkeypatch.undo()
+        assert fast == slow and len(fast) > 100
+    none = spark.createDataFrame([], "title string")
+    assert L.unlinked_mentions(notes, none).count() == 0 and L.unlinked_mentions(notes.where("false"), titles).count() == 0
