@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -184,32 +185,57 @@ def _mentions_by_start(notes: DataFrame, asked: DataFrame, keep_code: bool) -> D
     return grams.join(asked.select("mention"), "mention").select("src", "line", "mention")
 
 
-def communities(links: DataFrame, notes: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(links: DataFrame, notes: DataFrame) -> DataFrame:
     """(note_path, community): groups of notes with more links inside than between, named by their least note.
 
-    Synchronous label moves: each round a note of the round's half (by hash, so that neighbours do not swap for ever)
-    takes the label with the greatest modularity gain, links to the label minus its expected number, ties to the least
-    label. A round is one join and two aggregations over edges; notes without links stay alone.
+    Levels of label moves by modularity gain: on each level nodes move until none would gain by moving, then every group
+    becomes one node, links between groups are summed, and the groups move in turn, until a level moves nothing. Notes
+    without links stay alone. A round is one join and two aggregations over edges, and its labels are written.
     """
     pairs = edges(links, notes)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both)
-    degree = materialise(both.groupBy("a").agg(F.count("*").alias("d")))
-    total = degree.agg(F.sum("d")).first()[0] or 1
-    labels = degree.select(F.col("a").alias("n"), F.col("a").alias("label"), "d")
-    for r in range(rounds):
-        weight = labels.groupBy("label").agg(F.sum("d").alias("w"))
-        near = both.join(labels.select(F.col("n").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("k"))
-        own = labels.select(F.col("n").alias("a"), F.col("label").alias("own"), "d").withColumn("k", F.lit(0).cast("long")).select("a", F.col("own").alias("label"), "k")
-        choice = near.unionByName(own).groupBy("a", "label").agg(F.sum("k").alias("k")).join(weight, "label").join(labels.select(F.col("n").alias("a"), F.col("label").alias("own"), "d"), "a")
-        inside = F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(F.lit(0))
-        gain = F.col("k") - F.col("d") * (F.col("w") - inside) / total
-        best = choice.groupBy("a", "own", "d").agg(F.min(F.struct((-F.round(gain, 9)).alias("g"), "label")).alias("best"))
-        moving = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
-        labels = materialise(best.select(F.col("a").alias("n"), F.when(moving, F.col("best.label")).otherwise(F.col("own")).alias("label"), "d"))
-    named = labels.select("n", "label").join(labels.groupBy("label").agg(F.min("n").alias("community")), "label")
-    return notes.select("note_path").join(named.select(F.col("n").alias("note_path"), "community"), "note_path", "left").select("note_path", F.coalesce("community", "note_path").alias("community"))
-
+    both = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    named = materialise(both.groupBy(F.col("a").alias("name")).agg(F.count("*").alias("d")).withColumn("n", F.monotonically_increasing_id()))
+    of = lambda side: named.select(F.col("name").alias(side), F.col("n").alias(f"_{side}"))
+    graph = materialise(both.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(1).cast("long").alias("w")))
+    nodes, group = named.select("n", "d"), named.select("name", F.col("n").alias("label"))
+    total = nodes.agg(F.sum("d")).first()[0] or 1
+    while (labels := _settled(graph, nodes, total)) is not None:
+        told = labels.select(F.col("n").alias("_n"), F.col("label").alias("_label"))
+        group = materialise(group.join(told, F.col("label") == F.col("_n")).select("name", F.col("_label").alias("label")))
+        end = lambda side: labels.select(F.col("n").alias(side), F.col("label").alias(f"_{side}"))  # noqa: E731, B023
+        between = graph.join(end("a"), "a").join(end("b"), "b").where("_a <> _b")
+        graph = materialise(between.groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.sum("w").alias("w")))
+        nodes = materialise(labels.groupBy(F.col("label").alias("n")).agg(F.sum("d").alias("d")))
+    least = group.join(group.groupBy("label").agg(F.min("name").alias("community")), "label")
+    return notes.select("note_path").join(least.select(F.col("name").alias("note_path"), "community"), "note_path", "left").select("note_path", F.coalesce("community", "note_path").alias("community"))
+
+
+def _settled(graph: DataFrame, nodes: DataFrame, total: int) -> DataFrame | None:
+    """(n, label, d) when no node of ``graph`` (a, b, w: both ways) would gain by another label; None if none has moved.
+
+    A node's gain is its links to a label's nodes minus what its degree and theirs let expect. All nodes look at the
+    same labels, so only a part of them moves in a round, by hash, and a smaller one the longer it takes; of two nodes
+    that are alone only the one with the greater label goes to the other. A node that moves by itself adds to
+    modularity, so this comes to an end.
+    """
+    labels, moved = nodes.select("n", F.col("n").alias("label"), "d"), 0
+    for r in count():
+        groups = labels.groupBy("label").agg(F.sum("d").alias("whole"), F.count("*").alias("size"))
+        near = graph.join(labels.select(F.col("n").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("k"))
+        own = labels.select(F.col("n").alias("a"), "label", F.lit(0).cast("long").alias("k"))
+        choice = near.unionByName(own).groupBy("a", "label").agg(F.sum("k").alias("k")).join(groups, "label")
+        choice = choice.join(labels.select(F.col("n").alias("a"), F.col("label").alias("own"), "d"), "a")
+        mine = F.col("label") == F.col("own")
+        gain = F.round(F.col("k") - F.col("d") * (F.col("whole") - F.when(mine, F.col("d")).otherwise(0)) / total, 9)
+        best = choice.groupBy("a", "own", "d").agg(F.min(F.struct((-gain).alias("g"), "label", "size")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.max(F.when(mine, F.col("size"))).alias("own_size"))
+        alone = (F.col("own_size") == 1) & (F.col("best.size") == 1) & (F.col("best.label") > F.col("own"))
+        better = (-F.col("best.g") > F.col("stay")) & ~alone
+        moves = better & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2 + r // 8)) == 0)
+        labels = materialise(best.select(F.col("a").alias("n"), F.when(moves, F.col("best.label")).otherwise(F.col("own")).alias("label"), "d", better.alias("better"), moves.alias("moves")))
+        told = labels.agg(F.count_if("better").alias("better"), F.count_if("moves").alias("moves")).first()
+        moved += told["moves"]
+        if not told["better"]:
+            return labels.select("n", "label", "d") if moved else None
 
 
 def note_meta(notes: DataFrame) -> DataFrame:

@@ -239,6 +239,8 @@ def terms_of(text: Column) -> Column:
     return T.all_groups(fold_accents(text), r"[\p{L}\p{N}]+", 0)
 
 
+#: Distinct terms of queries that go to all tasks as a filter.
+MAX_ASKED = 500_000
 #: (query, term) entries that go to all tasks at once, and terms of chunks in a part; more are met in blocks.
 MAX_TERMS = 1 << 22
 
@@ -254,7 +256,10 @@ def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10, ma
     chunks makes no rows of its own; more entries are dealt to blocks that meet parts of the chunks.
     """
     asked = queries.select("query_id", F.explode(terms_of(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    spread = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))  # combines before the shuffle
+    # frequencies of asked terms alone; combines before the shuffle
+    wanted = asked.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(MAX_ASKED + 1).count() <= MAX_ASKED else wanted
+    spread = index.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     idf = F.ln((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     weighed = asked.join(spread, "term").crossJoin(F.broadcast(sizes)).select("query_id", F.struct("term", (F.col("times") * idf * 2.2).alias("w")).alias("t"))  # sizes is one row

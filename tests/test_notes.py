@@ -238,3 +238,72 @@ def test_mentions_by_automaton_and_by_starts(spark, monkeypatch):
         assert fast == slow and len(fast) > 100
     none = spark.createDataFrame([], "title string")
     assert L.unlinked_mentions(notes, none).count() == 0 and L.unlinked_mentions(notes.where("false"), titles).count() == 0
+
+
+def _modularity(pairs, group):
+    inside, degree, m = {}, {}, len(pairs)
+    for a, b in pairs:
+        for x in (a, b):
+            degree[group[x]] = degree.get(group[x], 0) + 1
+        inside[group[a]] = inside.get(group[a], 0) + (group[a] == group[b])
+    return sum(inside.get(g, 0) / m - (d / 2 / m) ** 2 for g, d in degree.items())
+
+
+def _one_after_another(pairs):
+    """Label moves of one node at a time, and groups as nodes, until nothing moves."""
+    member = {x: x for p in pairs for x in p}
+    weights = {}
+    for a, b in pairs:
+        weights[a, b] = weights[b, a] = 1
+    degree = {}
+    for (a, _), w in weights.items():
+        degree[a] = degree.get(a, 0) + w
+    total = sum(degree.values())
+    while True:
+        label, whole, near = {x: x for x in degree}, dict(degree), {}
+        for (a, b), w in weights.items():
+            near.setdefault(a, {})[b] = w
+        changed, again = False, True
+        while again:
+            again = False
+            for x in sorted(degree):
+                links = {label[x]: 0}
+                for y, w in near.get(x, {}).items():
+                    links[label[y]] = links.get(label[y], 0) + w
+                whole[label[x]] -= degree[x]
+                gains = {g: k - degree[x] * whole[g] / total for g, k in links.items()}
+                best = max(gains, key=lambda g: (round(gains[g], 9), g == label[x]))
+                if round(gains[best], 9) > round(gains[label[x]], 9):
+                    label[x], changed, again = best, True, True
+                whole[label[x]] += degree[x]
+        if not changed:
+            return member
+        member = {x: label[g] for x, g in member.items()}
+        joined, new = {}, {}
+        for (a, b), w in weights.items():
+            if label[a] != label[b]:
+                joined[label[a], label[b]] = joined.get((label[a], label[b]), 0) + w
+        for x, d in degree.items():
+            new[label[x]] = new.get(label[x], 0) + d
+        weights, degree = joined, new
+
+
+def test_communities_settle_as_well_as_one_after_another(spark):
+    rng, pairs = random.Random(12), set()
+    for _ in range(1500):
+        a = rng.randrange(240)
+        b = rng.randrange(240) if rng.random() < 0.15 else a // 20 * 20 + rng.randrange(20)
+        pairs.add((min(a, b), max(a, b)))
+    pairs |= {(0, i) for i in range(60, 240)}  # a hub
+    pairs = sorted((f"n{a:03}.md", f"n{b:03}.md") for a, b in pairs if a != b)
+    texts = {f"n{i:03}.md": "" for i in range(245)}
+    for a, b in pairs:
+        texts[a] += f"[[{b[:-3]}]] "
+    notes = spark.createDataFrame(list(texts.items()), "note_path string, text string").repartition(3)
+    got = {r.note_path: r.community for r in L.communities(L.outbound(notes), notes).collect()}
+    assert len(got) == 245 and all(got[f"n{i}.md"] == f"n{i}.md" for i in range(240, 245))
+    members = {}
+    for x, g in got.items():
+        members.setdefault(g, []).append(x)
+    assert all(min(x) == g for g, x in members.items())
+    assert _modularity(pairs, got) >= _modularity(pairs, _one_after_another(pairs)) - 0.01 > 0.3
