@@ -8,6 +8,7 @@ from corpusloom.jobs import tables as t
 from corpusloom.operators import corpus as C
 from corpusloom.sources.notes import NOTES_SQL
 
+# Patterns and word lists inside the SQL below are those of the operators, which results have to match.
 WITH = f"WITH {NOTES_SQL}"
 PLAIN = "WITH plain AS (SELECT source || '/' || doc_id || '.md' AS note_path, doc_id, text FROM documents)"
 LINES = f"""{WITH}, l AS (SELECT note_path, i AS line, ls[i] AS content, ls FROM (SELECT note_path, string_split(text, chr(10)) AS ls FROM notes), unnest(range(1, len(ls) + 1)) u(i))"""

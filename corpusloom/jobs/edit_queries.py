@@ -173,6 +173,12 @@ def _dated(s, d):
     return t.table(s, d, "labels").select(n.cast("string").alias("note_path"), F.concat(F.lit("---\nkind: x\n"), date, F.lit("---\nbody")).alias("text"))
 
 
+def _deleted(s, d):
+    """What stays and what goes when one source's folder is deleted."""
+    stays, goes = R.delete_folder(t.notes(s, d), "src1", "s")
+    return stays.withColumn("stamp", F.lit(None).cast("string")).unionByName(goes).select("note_path", F.sha2("text", 256).alias("sha256"), "stamp")
+
+
 QUERIES = {
     "create_notes": lambda s, d: _sha(R.create(t.plain(s, d).select("note_path", "text"), _new_notes(s, d))),
     "create_notes_over": lambda s, d: _sha(R.create(t.plain(s, d).select("note_path", "text"), _new_notes(s, d), overwrite=True)),
@@ -193,6 +199,8 @@ QUERIES = {
     "empty_folders": lambda s, d: R.empty_folders(_folders(s, d), t.plain(s, d).select(F.col("note_path").alias("path"))),
     "tag_some_notes": lambda s, d: _sha(R.tag_notes(t.notes(s, d).select("note_path", "text"), "t3", t.notes(s, d).where("doc_id % 2 = 0").select("note_path"))),
     "fill_template": lambda s, d: _sha(_template(s, d)),
+    "delete_folder": lambda s, d: _deleted(s, d),
+    "purge_trash": lambda s, d: R.purge(R.trash(t.notes(s, d), t.notes(s, d).select("note_path"), "x")[1].withColumn("stamp", F.concat(F.lit("2024-0"), (F.char_length("text") % 9 + 1).cast("string"))), "2024-05").select("note_path", "stamp"),
     "code_blocks": lambda s, d: X.code_blocks(_filled(s, d, ["start", "```py", "{text}", "```", "end", "```", "open {doc_id}"])).select("note_path", "line", "lang", F.sha2("code", 256).alias("sha256")),
     "dataview_blocks": lambda s, d: X.dataview_blocks(_filled(s, d, ["```Dataview", "list {lang}", "```", "text", "```dataview", "table {doc_id}", "```"])),
     "pipe_tables": lambda s, d: X.tables(_filled(s, d, ["before", "| a |b|", "|---|:-:|", "| {doc_id}", "|{lang}", "after"]).withColumn("text", F.regexp_replace("text", r"\n\|(?=[a-z][a-z]\n)", " | ")).withColumn("text", F.regexp_replace("text", r"\nafter", " |\nafter"))).select("note_path", "line", F.array_join(F.transform("cells", lambda r: F.array_join(r, ",")), ";").alias("cells")),
@@ -252,6 +260,8 @@ ORACLES = {
     "trash_summary": "SELECT count(*) AS notes, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents",
     "empty_folders": "SELECT DISTINCT 'none/' || source AS path FROM documents",
     "tag_some_notes": rf"{WITH} SELECT note_path, sha256(text || chr(10) || chr(10) || '#t3' || chr(10)) AS sha256 FROM notes WHERE doc_id % 2 = 0 AND NOT regexp_matches(text, '(?m)(?:^|\s)#t3(?:\s|$)')",
+    "delete_folder": f"{WITH} SELECT note_path, sha256(text) AS sha256, CASE WHEN starts_with(note_path, 'src1/') THEN 's' END AS stamp FROM notes",
+    "purge_trash": f"{WITH} SELECT note_path, '2024-0' || (length(text) % 9 + 1) AS stamp FROM notes WHERE length(text) % 9 + 1 >= 5",
     "fill_template": f"{WITH} SELECT note_path, sha256('# ' || note_path || chr(10) || lang || ' of ' || source || ', {{{{unknown}}}}') AS sha256 FROM notes",
     "code_blocks": f"SELECT {PATH} AS note_path, CAST(2 AS BIGINT) AS line, 'py' AS lang, sha256(text) AS sha256 FROM documents UNION ALL SELECT {PATH}, 5 + len(string_split(text, chr(10))), '', sha256('open ' || doc_id) FROM documents",
     "dataview_blocks": f"SELECT {PATH} AS note_path, CAST(1 AS BIGINT) AS line, 'list ' || lang AS query FROM documents UNION ALL SELECT {PATH}, 5, 'table ' || doc_id FROM documents",

@@ -9,6 +9,7 @@ from corpusloom.jobs.corpus_queries import LINES, PLAIN, WITH
 from corpusloom.operators import chunking, extract as X, rewrite as R
 from corpusloom.operators import corpus as C
 
+# This and the patterns inside the SQL below are those of the operators, which results have to match.
 HEAD = r"^(#{1,6})\s+(.+?)\s*$"
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
+# The patterns of headings, tasks, links, images, fields, tables and fences in this module, which results have to match.
+
+
 def line_offsets(notes: DataFrame) -> DataFrame:
     """(note_path, line, byte_start, content): byte offset of each line; the width of line ends is taken once for a note."""
     width = F.when(F.contains("text", F.lit("\r\n")), 2).otherwise(1)

@@ -18,6 +18,8 @@ from corpusloom.sources.scratch import materialise
 
 #: Characters of titles that go to all tasks as an automaton, of less than 100 bytes a character.
 MAX_TITLE_CHARS = 4_000_000
+#: Rounds that have to add this much to modularity, or a level of communities ends.
+SETTLED, SETTLED_GAIN = 4, 0.003
 #: Starts of titles that go to all tasks; more meet the places in lines by a shuffle.
 MAX_STARTS = 500_000
 
@@ -188,7 +190,7 @@ def _mentions_by_start(notes: DataFrame, asked: DataFrame, keep_code: bool) -> D
 def communities(links: DataFrame, notes: DataFrame) -> DataFrame:
     """(note_path, community): groups of notes with more links inside than between, named by their least note.
 
-    Levels of label moves by modularity gain: on each level nodes move until none would gain by moving, then every group
+    Levels of label moves by modularity gain: on each level nodes move until they have settled, then every group
     becomes one node, links between groups are summed, and the groups move in turn, until a level moves nothing. Notes
     without links stay alone. A round is one join and two aggregations over edges, and its labels are written.
     """
@@ -211,14 +213,15 @@ def communities(links: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def _settled(graph: DataFrame, nodes: DataFrame, total: int) -> DataFrame | None:
-    """(n, label, d) when no node of ``graph`` (a, b, w: both ways) would gain by another label; None if none has moved.
+    """(n, label, d) when nodes of ``graph`` (a, b, w: both ways) have settled; None if none has moved.
 
     A node's gain is its links to a label's nodes minus what its degree and theirs let expect. All nodes look at the
-    same labels, so only a part of them moves in a round, by hash, and a smaller one the longer it takes; of two nodes
-    that are alone only the one with the greater label goes to the other. A node that moves by itself adds to
-    modularity, so this comes to an end.
+    same labels, so in a round only half of them may move, and after two rounds half of the labels, by hash, give nodes
+    and the others take some; of two nodes that are alone only the one with the greater label goes to the other. It
+    ends when no node would gain by another label, or when SETTLED rounds together have added less than SETTLED_GAIN to
+    modularity, as the last few nodes can be in each other's way for long; the next level moves them with their groups.
     """
-    labels, moved = nodes.select("n", F.col("n").alias("label"), "d"), 0
+    labels, moved, known = nodes.select("n", F.col("n").alias("label"), "d"), 0, []
     for r in count():
         groups = labels.groupBy("label").agg(F.sum("d").alias("whole"), F.count("*").alias("size"))
         near = graph.join(labels.select(F.col("n").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("k"))
@@ -227,14 +230,17 @@ def _settled(graph: DataFrame, nodes: DataFrame, total: int) -> DataFrame | None
         choice = choice.join(labels.select(F.col("n").alias("a"), F.col("label").alias("own"), "d"), "a")
         mine = F.col("label") == F.col("own")
         gain = F.round(F.col("k") - F.col("d") * (F.col("whole") - F.when(mine, F.col("d")).otherwise(0)) / total, 9)
-        best = choice.groupBy("a", "own", "d").agg(F.min(F.struct((-gain).alias("g"), "label", "size")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.max(F.when(mine, F.col("size"))).alias("own_size"))
+        best = choice.groupBy("a", "own", "d").agg(F.min(F.struct((-gain).alias("g"), "label", "size")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.max(F.when(mine, F.col("size"))).alias("own_size"), F.max(F.when(mine, F.col("k"))).alias("own_k"))
         alone = (F.col("own_size") == 1) & (F.col("best.size") == 1) & (F.col("best.label") > F.col("own"))
         better = (-F.col("best.g") > F.col("stay")) & ~alone
-        moves = better & (F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2 + r // 8)) == 0)
-        labels = materialise(best.select(F.col("a").alias("n"), F.when(moves, F.col("best.label")).otherwise(F.col("own")).alias("label"), "d", better.alias("better"), moves.alias("moves")))
-        told = labels.agg(F.count_if("better").alias("better"), F.count_if("moves").alias("moves")).first()
-        moved += told["moves"]
-        if not told["better"]:
+        half = lambda x: F.pmod(F.xxhash64(x, F.lit(r)), F.lit(2))  # noqa: E731, B023
+        moves = better & (half(F.col("a")) == 0 if r < 2 else (half(F.col("own")) == 0) & (half(F.col("best.label")) == 1))
+        labels = materialise(best.select(F.col("a").alias("n"), F.when(moves, F.col("best.label")).otherwise(F.col("own")).alias("label"), "d", better.alias("better"), moves.alias("moves"), "own", "own_k"))
+        told = labels.groupBy("own").agg(F.count_if("better").alias("better"), F.count_if("moves").alias("moves"), F.sum("own_k").alias("inside"), (F.sum("d") / total).alias("x"))
+        told = told.agg(F.sum("better").alias("better"), F.sum("moves").alias("moves"), (F.sum("inside") / total - F.sum(F.col("x") * F.col("x"))).alias("q")).first()
+        known.append(told["q"] or 0)
+        moved += told["moves"] or 0
+        if not told["better"] or (r > SETTLED and known[-1] - known[-1 - SETTLED] < SETTLED_GAIN):
             return labels.select("n", "label", "d") if moved else None
 
 

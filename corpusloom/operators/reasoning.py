@@ -14,6 +14,7 @@ from corpusloom.operators import links as L
 from corpusloom.operators.retrieval import _matrix
 from corpusloom.sources.scratch import materialise
 
+# Citation patterns and prompt wording, which results have to match.
 CITATION = r"\[ref:([^:\]\n]+):(\d+)-(\d+)\]"
 SHA_CITATION = r"\[sha:([a-f0-9]{7,40})\s*@\s*([0-9T:\-Z.]+)\]"
 #: Rows of a frontier and chunks that one task holds; more are met in blocks.

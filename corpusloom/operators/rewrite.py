@@ -240,12 +240,30 @@ def append_periodic(notes: DataFrame, entries: DataFrame, period: str, folder: s
 
 
 def fill_template(template: Column, variables: dict[str, Column]) -> Column:
-    """{{name}} becomes its value, spaces inside the braces allowed; unknown names stay."""
-    text = template
-    for name, value in variables.items():
-        text = F.array_join(F.split(text, r"\{\{\s*" + re.escape(name) + r"\s*\}\}"), "\u0000")
-        text = F.replace(text, F.lit("\u0000"), value)
-    return text
+    """{{name}} becomes its value, spaces inside the braces allowed; unknown names stay.
+
+    All names are filled in one pass, so braces inside a value are text. A null value makes the text null.
+    """
+    if not variables:
+        return template
+    known = "|".join(map(re.escape, sorted(variables, key=len, reverse=True)))
+    mark = rf"\{{\{{\s*({known})\s*\}}\}}"
+    value = lambda name: F.coalesce(*[F.when(name == k, v) for k, v in variables.items()])
+    texts = F.split(template, mark, -1)
+    values = F.transform(F.regexp_extract_all(template, F.lit(mark), F.lit(1)), value)
+    filled = F.flatten(F.zip_with(texts, values, lambda t, v: F.array(t, F.coalesce(v, F.lit("")))))
+    return F.when(F.forall(values, lambda v: v.isNotNull()), F.array_join(filled, ""))
+
+
+def delete_folder(notes: DataFrame, folder: str, stamp: str) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes to trash with ``stamp``): all below ``folder``, at any depth; notes without a path stay."""
+    below = F.coalesce(F.startswith("note_path", F.lit(folder.strip("/") + "/")), F.lit(False))
+    return notes.where(~below), notes.where(below).withColumn("stamp", F.lit(stamp))
+
+
+def purge(trashed: DataFrame, before: str) -> DataFrame:
+    """What is left of the trash when all with an older stamp than ``before`` is deleted for good; stamps sort by time, null ones stay."""
+    return trashed.where(F.col("stamp").isNull() | (F.col("stamp") >= before))
 
 
 def tag_notes(notes: DataFrame, tag: str, paths: DataFrame) -> DataFrame:

@@ -307,3 +307,13 @@ def test_communities_settle_as_well_as_one_after_another(spark):
         members.setdefault(g, []).append(x)
     assert all(min(x) == g for g, x in members.items())
     assert _modularity(pairs, got) >= _modularity(pairs, _one_after_another(pairs)) - 0.01 > 0.3
+
+
+def test_templates_fill_once_and_folders_go(spark):
+    fill = lambda x, **v: spark.range(1).select(R.fill_template(F.lit(x), {k: F.lit(y) for k, y in v.items()}).alias("t")).first().t
+    assert fill("{{a}} {{ b }}{{c}} {{a}}", a="{{b}}", b="{{a}}\x00$1") == "{{b}} {{a}}\x00$1{{c}} {{b}}"
+    assert fill("{{ab}}{{a}}", a="1", ab="2") == "21" and fill("no names", a="1") == "no names" and fill("{{a}}", a=None) is None
+    notes = spark.createDataFrame([("f/a.md", "1"), ("f/g/b.md", "2"), ("fa.md", "3"), (None, "4")], "note_path string, text string")
+    stays, goes = R.delete_folder(notes, "/f/", "2024-01-01")
+    assert {r.text for r in stays.collect()} == {"3", "4"} and {(r.text, r.stamp) for r in goes.collect()} == {("1", "2024-01-01"), ("2", "2024-01-01")}
+    assert R.purge(goes, "2024-01-02").count() == 0 and R.purge(goes, "2024-01-01").count() == 2
