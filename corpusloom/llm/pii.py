@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -45,16 +46,19 @@ CALLING_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 80 85 87 88
 #: First numbers of addresses that name no host of a person: this network, loopback, multicast and reserved.
 NO_HOST = frozenset([0, 127, *range(224, 256)])
 SECRET_STARTS = ("ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "AKIA", "ASIA", "AIza", "xoxb-", "xoxp-", "eyJ")
-SECRET_NAMES = re.compile(r"(?i)(token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|credential|auth|bearer)\W{0,3}$")
-# Context words, before a span.
+SECRET_NAMES = re.compile(r"(?i)(token|secret|passw(?:or)?d|pwd|api[_ -]?key|key|credential|auth|bearer|jeton|mot de passe|passwort|schlüssel|contraseña|clave)\W{0,3}$")
+# Context words, before a span, in English, French, German and Spanish.
 FOR = {
-    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write to|reach|reply)\b"),
-    "ip": re.compile(r"(?i)\b(ip|ipv[46]|host|server|address|from|login|connect|client)\b"),
-    "card": re.compile(r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay|paid|payment)\b"),
-    "phone": re.compile(r"(?i)\b(phone|tel|telephone|call|mobile|fax|cell|sms|dial|ring)\b"),
-    "secret": re.compile(r"(?i)(token|secret|passw|pwd|api|credential|auth|login)"),
+    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write to|reach|reply|courriel|écrire|écrivez|contacter|schreiben|antwort|kontakt|correo|escriba|escribir|contacto)\b"),
+    "ip": re.compile(r"(?i)\b(ip|ipv[46]|host|server|address|from|login|connect|client|serveur|hôte|adresse|connexion|rechner|verbindung|servidor|dirección|conexión)\b"),
+    "card": re.compile(r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay|paid|payment|carte|crédit|paiement|payer|karte|kreditkarte|zahlung|bezahlt|tarjeta|crédito|pago|pagar)\b"),
+    "phone": re.compile(r"(?i)\b(phone|tel|telephone|call|mobile|fax|cell|sms|dial|ring|téléphone|appeler|appelez|portable|telefon|handy|anruf|anrufen|rufnummer|teléfono|móvil|llamar|llame)\b"),
+    "secret": re.compile(r"(?i)(token|secret|passw|pwd|api|credential|auth|login|jeton|mot de passe|clé|geheim|schlüssel|contraseña|clave|secreto)"),
 }
-AGAINST = re.compile(r"(?i)\b(version|release|isbn|issn|doi|order|invoice|item|part|serial|section|figure|table|sha|md5|commit|uuid|page|path|file|url|href|src)\b")
+AGAINST = re.compile(
+    r"(?i)\b(version|release|isbn|issn|doi|order|invoice|item|part|serial|section|figure|table|sha|md5|commit|uuid|page|path|file|url|href|src"
+    r"|commande|facture|article|série|fichier|bestellung|rechnung|artikel|seriennummer|abbildung|tabelle|seite|datei|versión|pedido|factura|artículo|serie|figura|tabla|página|archivo)\b"
+)
 LABELERS, EXTRA = 5, 10
 
 
@@ -258,11 +262,24 @@ def accepted_patterns(patterns: DataFrame, threshold: float = 0.5) -> dict[int,
     return accepted
 
 
+def apart(spans: list[tuple[int, int, int]], wanted: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """``spans`` and what of ``wanted`` (probability, kind, start, end) overlaps nothing better: the likelier first, then the longer, then the earlier."""
+    taken = sorted((a, b) for _, a, b in spans)
+    kept = list(spans)
+    for _, kind, a, b in sorted(wanted, key=lambda x: (-x[0], x[2] - x[3], x[2], x[1])):
+        at = bisect_left(taken, (a, a))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            insort(taken, (a, b))
+            kept.append((kind, a, b))
+    return kept
+
+
 def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Spans of personal data in whole texts: doc_id, base and spans, arrays of (kind, start, end) in code points.
 
     ``base`` has the plain rules' spans (leftmost, not overlapping within a kind); ``spans`` these and the candidates
-    that the classifier accepts, which never overlap a base span. Both are ordered by KINDS, then start.
+    that the classifier accepts, which overlap neither a base span nor each other: the likelier one stays. Both are
+    ordered by KINDS, then start.
 
     Null or empty texts have empty arrays; null ids and repeated rows are treated each; other columns are ignored; an
     empty table gives an empty result.
@@ -281,16 +298,17 @@ def find_private(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     schema = "doc_id long, found array<struct<kind: int, start: int, end: int, pattern: int, base: boolean>>"
     found = common.materialise(docs.select("doc_id", "text").mapInArrow(find, schema))
     patterns = found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
-    accepted = docs.sparkSession.sparkContext.broadcast(frozenset(accepted_patterns(patterns, threshold)))
+    accepted = docs.sparkSession.sparkContext.broadcast(accepted_patterns(patterns, threshold))
     plain = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, every = [], []
             for spans in batch.column("found").to_pylist():
-                told = [({"kind": x["kind"], "start": x["start"], "end": x["end"]}, x["base"], x["pattern"]) for x in spans]
-                base.append([x for x, is_base, _ in told if is_base])
-                every.append([x for x, is_base, pattern in told if is_base or pattern in accepted.value])
+                plain_ones = [(x["kind"], x["start"], x["end"]) for x in spans if x["base"]]
+                more = [(accepted.value[x["pattern"]], x["kind"], x["start"], x["end"]) for x in spans if not x["base"] and x["pattern"] in accepted.value]
+                for rows, found_ in ((base, plain_ones), (every, sorted(apart(plain_ones, more)))):
+                    rows.append([{"kind": k, "start": a, "end": b} for k, a, b in found_])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, plain), pa.array(every, plain)], names=["doc_id", "base", "spans"])
 
     out = "array<struct<kind: int, start: int, end: int>>"

@@ -675,3 +675,21 @@ def test_mix_shuffles_rows_without_ids(spark):
     shares = [taken[(n, True)] / 500 for n in (3, 40)]
     assert 0.3 < min(shares) and abs(shares[0] - shares[1]) < 0.12
     assert sorted(map(tuple, mixing.mix_sources(given, share_pct=50).drop("queue_pos").collect()), key=str) == sorted(map(tuple, mixing.mix_sources(given.repartition(7), share_pct=50).drop("queue_pos").collect()), key=str)
+
+
+def test_accepted_spans_stand_apart(spark):
+    assert pii.apart([(0, 5, 9)], [(0.9, 4, 10, 30), (0.8, 3, 12, 20), (0.95, 2, 8, 11), (0.7, 1, 30, 34), (0.7, 3, 32, 40)]) == [(0, 5, 9), (4, 10, 30), (3, 32, 40)]
+    assert pii.apart([], [(0.6, 3, 0, 5), (0.7, 3, 3, 9), (0.5, 3, 9, 12)]) == [(3, 3, 9), (3, 9, 12)]
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"key=2125{number(6)}-212-555-{number(4)}aa and call 212-555-{number(4)} or token: x{number(9)}abcDEF{number(4)}") for i in range(300)]
+    for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = sorted((x.start, x.end) for x in r.spans)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize("before,kind", [("appelez le ", 3), ("téléphone: ", 3), ("Telefon ", 3), ("bitte anrufen ", 3), ("llame al ", 3), ("mi correo es ", 0), ("Kreditkarte ", 2), ("tarjeta ", 2), ("Rechner ", 1), ("contraseña=", 4)])
+def test_context_words_of_four_languages(before, kind):
+    span = {0: "a.b@c.de", 1: "10.20.30.40", 2: "4111111111111111", 3: "212-555-0100", 4: "abcd1234efgh5678"}[kind]
+    assert pii.votes_of(before + span, kind, len(before), len(before) + len(span), False)[0][3] == 1
+    assert pii.votes_of("Seriennummer " + span, kind, 13, 13 + len(span), False)[0][3] == -1
