@@ -216,8 +216,8 @@ def _settled(graph: DataFrame, nodes: DataFrame, total: int) -> DataFrame | None
     """(n, label, d) when nodes of ``graph`` (a, b, w: both ways) have settled; None if none has moved.
 
     A node's gain is its links to a label's nodes minus what its degree and theirs let expect. All nodes look at the
-    same labels, so in a round only half of them may move, and after two rounds half of the labels, by hash, give nodes
-    and the others take some; of two nodes that are alone only the one with the greater label goes to the other. It
+    same labels, so in a round only half of them may move, and after two rounds nodes go from one label to another only
+    if that comes later in the round's order of labels, by hash, so that labels do not swap nodes; of two nodes that are alone only the one with the greater label goes to the other. It
     ends when no node would gain by another label, or when SETTLED rounds together have added less than SETTLED_GAIN to
     modularity, as the last few nodes can be in each other's way for long; the next level moves them with their groups.
     """
@@ -233,8 +233,8 @@ def _settled(graph: DataFrame, nodes: DataFrame, total: int) -> DataFrame | None
         best = choice.groupBy("a", "own", "d").agg(F.min(F.struct((-gain).alias("g"), "label", "size")).alias("best"), F.max(F.when(mine, gain)).alias("stay"), F.max(F.when(mine, F.col("size"))).alias("own_size"), F.max(F.when(mine, F.col("k"))).alias("own_k"))
         alone = (F.col("own_size") == 1) & (F.col("best.size") == 1) & (F.col("best.label") > F.col("own"))
         better = (-F.col("best.g") > F.col("stay")) & ~alone
-        half = lambda x: F.pmod(F.xxhash64(x, F.lit(r)), F.lit(2))  # noqa: E731, B023
-        moves = better & (half(F.col("a")) == 0 if r < 2 else (half(F.col("own")) == 0) & (half(F.col("best.label")) == 1))
+        turn = lambda x: F.xxhash64(x, F.lit(r))  # noqa: E731, B023
+        moves = better & (turn("a") % 2 == 0 if r < 2 else turn("own") > turn("best.label"))
         labels = materialise(best.select(F.col("a").alias("n"), F.when(moves, F.col("best.label")).otherwise(F.col("own")).alias("label"), "d", better.alias("better"), moves.alias("moves"), "own", "own_k"))
         told = labels.groupBy("own").agg(F.count_if("better").alias("better"), F.count_if("moves").alias("moves"), F.sum("own_k").alias("inside"), (F.sum("d") / total).alias("x"))
         told = told.agg(F.sum("better").alias("better"), F.sum("moves").alias("moves"), (F.sum("inside") / total - F.sum(F.col("x") * F.col("x"))).alias("q")).first()
