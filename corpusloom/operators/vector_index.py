@@ -243,7 +243,7 @@ def write_index(chunks: DataFrame, folder: str, cells: int | None = None, rows_a
     """Assign every vector to its nearest centroid and store it with its code below ``folder``, a folder a cell.
 
     ``cells`` is the square root of the number of vectors if not given, MAX_CELLS at most. A cell of more than
-    ``rows_a_file`` rows is written by several tasks, so a cell that holds a third of all rows is no task's. Beside the
+    ``rows_a_file`` rows is dealt to several tasks and files, so a cell that holds a third of all rows is no task's. Beside the
     vectors, ``cells`` holds each centroid with its number of rows and its widest angle. Null vectors are left out.
     """
     spark = chunks.sparkSession
@@ -270,7 +270,7 @@ def write_index(chunks: DataFrame, folder: str, cells: int | None = None, rows_a
     told = {r.cell: r for r in told.collect()}  # a row for each cell
     sizes = spark.createDataFrame([(c, -(-r.rows // rows_a_file)) for c, r in told.items()], "cell int, files long")
     dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("files")))
-    dealt.repartition("cell", "part").drop("files", "part", "angle", "norm").write.partitionBy("cell").parquet(f"{folder}/vectors")
+    dealt.repartition("cell", "part").drop("files", "part", "angle", "norm").write.option("maxRecordsPerFile", rows_a_file).partitionBy("cell").parquet(f"{folder}/vectors")
     rows = [(c, centroids[c].tolist(), r.rows, r.angle, r.norm, scale) for c, r in told.items()]
     spark.createDataFrame(rows, "cell int, centroid array<double>, rows long, angle double, norm double, scale double").coalesce(1).write.parquet(f"{folder}/cells")
 
