@@ -78,8 +78,9 @@ def score_codes(codes: DataFrame, queries: DataFrame, scale: float, keep: int, m
     """(query_id, chunk_id, score): whole-number products of codes; at least the ``keep`` best of each query.
 
     ``codes`` (chunk_id, code) are read as they are, without a shuffle; ``queries`` (query_id, vec) are counted, and a
-    larger set goes to the tasks a block of ``max_queries`` at a time.
+    larger set goes to the tasks a block of ``max_queries`` at a time. Queries without a vector get no rows.
     """
+    queries = queries.where("vec is not null")
     asked = queries.select("query_id", "vec").limit(max_queries + 1).toArrow()
     if asked.num_rows > max_queries:
         blocks = -(-queries.count() // max_queries)

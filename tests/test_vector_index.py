@@ -48,6 +48,7 @@ def test_stored_codes_give_the_same_rows(spark, vectors, tmp_path):
     kept = df.where("vec is not null")
     assert rows(X.coarse_topk(codes, kept, queries, scale)) == rows(V.coarse_rescore(kept, queries))
     some = X.score_codes(codes, queries, scale, 5, max_queries=7)
+    assert X.score_codes(codes, queries.withColumn("vec", F.lit(None).cast("array<float>")), scale, 5).count() == 0
     assert rows(V.top_k(some, 5, "query_id", "chunk_id")) == rows(V.top_k(X.score_codes(codes, queries, scale, 5), 5, "query_id", "chunk_id"))
 
 
