@@ -15,6 +15,7 @@ from corpusloom.jobs.link_queries import LINKS
 from corpusloom.jobs.retrieval_queries import ORACLES as RETRIEVED
 from corpusloom.jobs.retrieval_queries import _gold
 from corpusloom.jobs.time_queries import COUNT, _text_revisions
+from corpusloom.operators import chunking
 from corpusloom.operators import corpus as C
 from corpusloom.operators import embed
 from corpusloom.operators import evaluate as E
@@ -138,6 +139,34 @@ def _refreshed(s, d):
     return fresh.select("note_path", "line", F.sha2("text", 256).alias("sha256"))
 
 
+def _versions(s, d):
+    """Lines of notes after three versions: an older state, a refresh to the tables' state, and notes moved to the trash."""
+    docs = t.plain(s, d).select("note_path", "doc_id", "text")
+    prior = docs.where("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    prior = prior.unionByName(docs.where("doc_id % 50 = 1").withColumn("note_path", F.concat(F.lit("gone/"), "note_path")))
+    stored = snapshot.Snapshot(s, scratch.scratch_dir(s))
+    stored.refresh(prior, _line_chunks)
+    stored.refresh(docs, _line_chunks)
+    moved = _line_chunks(docs.where("doc_id % 9 = 4").withColumn("note_path", F.concat(F.lit("trash/"), "note_path"))).withColumn("content_sha", F.lit("moved"))
+    stored.replace(moved, docs.where("doc_id % 9 = 4"))
+    return stored.read().select("note_path", "line", F.sha2("text", 256).alias("sha256"))
+
+
+def _index_stored(s, d):
+    """Notes through the parser and the cached embedder into versions of a snapshot, and what it holds then."""
+    docs = t.notes(s, d).select("note_path", "doc_id", "text")
+
+    def build(notes):
+        chunks = chunking.chunk_notes(notes)
+        none = s.createDataFrame([], "key string, vec array<float>")
+        return embed.embed_cached(chunks, none, embed.HashEmbedder(8), "hash")[0]
+
+    stored = snapshot.Snapshot(s, scratch.scratch_dir(s))
+    stored.refresh(docs.where("doc_id % 10 <> 0"), build)
+    stored.refresh(docs, build)
+    return stored.read().select("note_path", "ord", "granularity", "byte_start", "byte_end", F.sha2("text", 256).alias("sha256"), F.sha2(F.array_join(F.col("vec").cast("array<string>"), ","), 256).alias("vec_sha256"))
+
+
 def _index_build(s, d):
     """From documents to a stored index, end to end: paragraphs, cached vectors, buckets, and the same read back."""
     docs = t.plain(s, d)
@@ -210,6 +239,8 @@ QUERIES = {
     "narrate_prompts": _narrate,
     "drift_check": _drift,
     "snapshot_refresh": _refreshed,
+    "snapshot_versions": _versions,
+    "index_stored": _index_stored,
     "index_build": _index_build,
     "remove_notes": lambda s, d: snapshot.remove_notes(_line_chunks(t.plain(s, d)), _paths(s, d, 4)).groupBy("note_path").agg(F.count("*").alias("n")),
     "revision_contents": _revision_contents,
@@ -276,6 +307,7 @@ SELECT p AS note_path, sha256('Note: ' || p || chr(10) || chr(10) || 'Revisions
     "drift_check": f"""WITH r AS (SELECT source || '-' || ((doc_id // 20) % 10) AS note_path, CAST(doc_id AS DOUBLE) AS day, CASE WHEN len(regexp_extract_all(lower(text), '[a-z'']+')) = 0 THEN 0.0 ELSE ({COUNT(T.ASSERTIONS)} - ({COUNT(T.HEDGES)})) / len(regexp_extract_all(lower(text), '[a-z'']+')) END AS c,
   len(list_distinct(regexp_extract_all(text, '\\[\\[([^\\]]+?)\\]\\]', 1))) AS s FROM documents),
 g AS (SELECT note_path, count(*) AS n, coalesce(regr_slope(c, day), 0) AS cs, coalesce(regr_slope(s, day), 0) AS ss FROM r GROUP BY note_path) SELECT note_path, n, round(cs, 9) AS conviction_slope, n >= 3 AND cs >= 0.000001 AND ss <= 0.005 AS flagged FROM g""",
+    "snapshot_versions": f"SELECT CASE WHEN doc_id % 9 = 4 THEN 'trash/' ELSE '' END || note_path AS note_path, i AS line, sha256(ls[i]) AS sha256 FROM (SELECT doc_id, {PATH} AS note_path, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)",
     "snapshot_refresh": f"SELECT note_path, i AS line, sha256(ls[i]) AS sha256 FROM (SELECT {PATH} AS note_path, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)",
     "index_build": f"WITH c AS (SELECT note_path, i AS line, ls[i] AS x FROM (SELECT {PATH} AS note_path, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i) WHERE ls[i] <> '') SELECT note_path, line, sha256(x) AS sha256, x IN (SELECT x FROM c WHERE line = 1) AS cached FROM c",
     "remove_notes": f"SELECT {PATH} AS note_path, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 4 <> 0",

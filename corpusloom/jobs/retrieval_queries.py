@@ -8,6 +8,7 @@ from corpusloom.functions import vectors as U
 from corpusloom.jobs import tables as t
 from corpusloom.operators import embed
 from corpusloom.operators import evaluate as E
+from corpusloom.operators import postings_index as P
 from corpusloom.operators import retrieval as V
 from corpusloom.operators import vector_index as X
 from corpusloom.sources.scratch import scratch_dir
@@ -74,6 +75,15 @@ def _bm25(s, d):
     return V.bm25(*V.index_terms(chunks), _benchmark_queries(s, d), 10)
 
 
+def _bm25_index(s, d):
+    """The chunks as stored postings in two segments; the second also replaces texts of the first that are out of date."""
+    chunks, index = t.text_chunks(s, d), P.PostingsIndex(s, scratch_dir(s))
+    stale = F.when(F.col("chunk_id") % 10 == 1, F.concat(F.lit("old "), F.substring("text", 3, 40))).otherwise(F.col("text"))
+    index.add(chunks.where("chunk_id % 3 <> 0").withColumn("text", stale))
+    index.add(chunks.where("chunk_id % 3 = 0 or chunk_id % 10 = 1"))
+    return index.search(_benchmark_queries(s, d), 10)
+
+
 def _gold(s, d):
     """Relevant vectors: those of the query's label and parity."""
     q = t.table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
@@ -165,6 +175,7 @@ QUERIES = {
     "l2_normalize": lambda s, d: t.table(s, d, "embeddings").select("vec_id", F.round(U.dot(U.l2_normalize(F.transform("embedding", lambda x: x * 3)), U.l2_normalize(F.col("embedding"))), 5).alias("cosine")),
     "diversity_rerank": _diverse,
     "bm25_topk": lambda s, d: _round(_bm25(s, d)),
+    "bm25_index": lambda s, d: _round(_bm25_index(s, d)),
     "rrf_fusion": lambda s, d: _round(V.rrf(_lists(s, d))),
     "rrf_weighted": lambda s, d: _round(V.rrf(_lists(s, d), {0: 1.0, 1: 0.4})),
     "router_intent": lambda s, d: t.table(s, d, "conversations").select("conv_id", "turn", V.intent(F.col("text")).alias("intent")),
@@ -211,6 +222,7 @@ WHERE score >= 0.92 ORDER BY p.score DESC, p.a, p.b LIMIT 50""",
     "index_topk_exact": f"{TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS cosine FROM embeddings",
     "bm25_topk": f"{BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10",
+    "bm25_index": f"{BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM b WHERE rank <= 10",
     "rrf_fusion": f"{TOP}, {RRF.format(w='1.0')}",
     "rrf_weighted": f"{TOP}, {RRF.format(w='0.4')}",
     "router_intent": r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'mixed' WHEN regexp_matches(text, '"[^"]+"|“[^”]+”') OR regexp_matches(text, '\b[A-Z]{3,}\b') OR regexp_matches(text, '\b[A-Z][a-z]+[A-Z][a-zA-Z]*\b')

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.sources.scratch import materialise
+from corpusloom.sources.versions import Versions
 
 BUCKETS = 64
 
@@ -43,3 +49,124 @@ def read_buckets(spark: SparkSession, folder: str, note_path: str | None = None)
     if note_path is not None:
         rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(note_path)), F.lit(BUCKETS)).cast("int")) & (F.col("note_path") == note_path))
     return rows.drop("bucket")
+
+
+# --- versions
+
+
+#: Bytes of a bucket that are aimed at, and of a file in it.
+BUCKET_BYTES, FILE_BYTES = 1 << 27, 1 << 26
+#: Buckets at most: a manifest names the folder of each.
+MAX_BUCKETS = 1 << 17
+
+
+class Snapshot:
+    """A table with note_path, kept in immutable bucket folders under ``versions.Versions``.
+
+    A change writes the buckets that it touches and no others, then commits a manifest that names each bucket's newest
+    folder. The number of buckets is a power of two that follows the stored bytes: when they outgrow it, the table is
+    written once with more. A bucket can have several files, so neither a large bucket nor the rows of one note are one
+    task. Rows whose note_path is null are kept and replaced as a note of their own.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, bucket_bytes: int = BUCKET_BYTES, file_bytes: int = FILE_BYTES):
+        self.spark, self.versions, self.bucket_bytes, self.file_bytes = spark, Versions(spark, folder), bucket_bytes, file_bytes
+
+    def read(self, note_path: str | None = None, version: int | None = None) -> DataFrame:
+        """The rows of a version, of the latest where none is named; for one note only its bucket is read."""
+        _, manifest = self.versions.manifest(version)
+        if not manifest:
+            raise ValueError(f"nothing is stored in {self.versions.folder}")
+        schema = T.StructType.fromJson(manifest["schema"])
+        only = None
+        if note_path is not None:
+            only = self.spark.range(1).select(_bucket(F.lit(note_path), manifest["buckets"])).first()[0]
+        rows = self._folders(manifest, schema, None if only is None else {only})
+        return rows if note_path is None else rows.where(F.col("note_path") == note_path)
+
+    def _folders(self, manifest: dict, schema: T.StructType, buckets: set[int] | None = None) -> DataFrame:
+        paths = []
+        for name, stored in manifest["writes"].items():
+            root = self.versions.data(name)
+            current = [b for b, w in manifest["current"].items() if w == name]
+            whole = buckets is None and len(current) == stored["buckets"]
+            paths += [root] if whole else [f"{root}/bucket={b}" for b in current if buckets is None or int(b) in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        # the folders' own names are not columns of the table
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
+
+    def _store(self, rows: DataFrame, buckets: int, files: int) -> tuple[str, dict[str, int]]:
+        """Writes rows into a new folder; its name, and the bytes of each bucket."""
+        name = self.versions.new_data()
+        root = self.versions.data(name)
+        spread = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map") and "map<" not in kind]), F.lit(files))
+        dealt = rows.withColumn("bucket", _bucket(F.col("note_path"), buckets))
+        tasks = max(1, min(buckets * files, 4 * self.spark.sparkContext.defaultParallelism * files))
+        dealt.repartition(tasks, "bucket", spread).sortWithinPartitions("bucket", "note_path").write.partitionBy("bucket").parquet(root)
+        return name, self.versions.sizes(f"data/{name}")
+
+    def write(self, rows: DataFrame) -> int:
+        """Replaces the whole table; the version's number."""
+        number, _ = self.versions.manifest()
+        rows = materialise(rows)
+        return self.versions.commit(number, self._whole(rows, 1, self.versions.bytes_of(rows)))
+
+    def _whole(self, rows: DataFrame, buckets: int, bytes_: int) -> dict:
+        """A manifest of ``rows`` alone, with as many buckets as their bytes ask for."""
+        while buckets < MAX_BUCKETS and bytes_ > buckets * self.bucket_bytes:
+            buckets *= 2
+        files = max(1, -(-bytes_ // (buckets * self.file_bytes)))
+        name, told = self._store(rows, buckets, files)
+        return {"schema": rows.schema.jsonValue(), "buckets": buckets, "writes": {name: {"buckets": len(told)}}, "current": dict.fromkeys(told, name), "bytes": told}
+
+    def replace(self, rows: DataFrame, removed: DataFrame | None = None) -> int:
+        """Puts ``rows`` in place of the stored rows of their notes, and takes out the notes of ``removed`` (note_path)."""
+        number, manifest = self.versions.manifest()
+        rows = materialise(rows)
+        if not manifest:
+            return self.versions.commit(0, self._whole(rows, 1, self.versions.bytes_of(rows)))
+        schema, buckets = T.StructType.fromJson(manifest["schema"]), manifest["buckets"]
+        paths = rows.select("note_path")
+        paths = materialise((paths if removed is None else paths.unionByName(removed.select("note_path"))).distinct())
+        touched = {r[0] for r in paths.select(_bucket(F.col("note_path"), buckets)).distinct().collect()}  # MAX_BUCKETS at most
+        if not touched:
+            return number
+        old = self._folders(manifest, schema, touched).alias("old")
+        kept = old.join(paths.alias("p"), F.col("old.note_path").eqNullSafe(F.col("p.note_path")), "left_anti")
+        fresh = kept.unionByName(rows.select(*schema.names))
+        largest = max((manifest["bytes"].get(str(b), 0) for b in touched), default=0)
+        name, told = self._store(fresh, buckets, max(1, -(-largest // self.file_bytes)))
+        current = {b: w for b, w in manifest["current"].items() if int(b) not in touched} | dict.fromkeys(told, name)
+        sizes = {b: n for b, n in manifest["bytes"].items() if int(b) not in touched} | told
+        writes = {w: s for w, s in (manifest["writes"] | {name: {"buckets": len(told)}}).items() if w in set(current.values())}
+        made = manifest | {"writes": writes, "current": current, "bytes": sizes}
+        if buckets < MAX_BUCKETS and sum(sizes.values()) > 2 * buckets * self.bucket_bytes:
+            made = self._whole(self._folders(made, schema), buckets, sum(sizes.values()))
+        return self.versions.commit(number, made)
+
+    def refresh(self, notes: DataFrame, build: Callable[[DataFrame], DataFrame]) -> tuple[int, DataFrame]:
+        """Brings the table to the state of ``notes`` (note_path, text, ...): (version, what became of each path).
+
+        ``build`` makes rows with note_path from notes, at least one for each, and is given new and changed notes only.
+        Stored rows carry the content_sha of their note. A path that several notes share is built anew each time.
+        """
+        current = content_sha(notes).withColumn("content_sha", F.coalesce("content_sha", F.sha2(F.lit(""), 256)))
+        number, manifest = self.versions.manifest()
+        shas = current.groupBy("note_path").agg(F.min("content_sha").alias("_new"), F.max("content_sha").alias("_most"), F.count("*").alias("_n"))
+        prior = (self.read() if manifest else self.spark.createDataFrame([], "note_path string, content_sha string")).groupBy("note_path").agg(F.max("content_sha").alias("_old")).withColumnRenamed("note_path", "_path").withColumn("_stored", F.lit(True))
+        joined = shas.withColumn("_given", F.lit(True)).join(prior, F.col("note_path").eqNullSafe(F.col("_path")), "full")
+        action = F.when(F.col("_given").isNull(), "pruned").when((F.col("_new") == F.col("_old")) & (F.col("_n") == 1), "restored").otherwise("rebuilt")
+        diff = materialise(joined.select(F.when(F.col("_given").isNull(), F.col("_path")).otherwise(F.col("note_path")).alias("note_path"), action.alias("action")))
+        changed = current.alias("c").join(diff.where("action = 'rebuilt'").select("note_path").alias("d"), F.col("c.note_path").eqNullSafe(F.col("d.note_path")), "left_semi")
+        changed = materialise(changed)
+        told = changed.groupBy("note_path").agg(F.max("content_sha").alias("content_sha")).withColumnRenamed("note_path", "_path")
+        built = build(changed.drop("content_sha")).join(told, F.col("note_path").eqNullSafe(F.col("_path"))).drop("_path")
+        return self.replace(built, diff.where("action = 'pruned'").select("note_path")), diff
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        return self.versions.vacuum(lambda m: list(m.get("writes", {})), keep)
+
+
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
