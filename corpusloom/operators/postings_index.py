@@ -34,7 +34,7 @@ _IMPACT = pa.struct([("tf", pa.int32()), ("dl", pa.int32())])
 
 
 def _block_rows(block: int, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
-    """A row for each term of a block."""
+    """A row for each term of a block, and one without a term for all its chunks."""
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
@@ -51,12 +51,14 @@ def _block_rows(block: int, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
     chosen = order[fresh]
     heads = np.concatenate(([0], np.cumsum(np.bincount(term[chosen], minlength=len(first))))).astype(np.int32)
     struct = lambda kind, at, **other: pa.StructArray.from_arrays([pa.array(v.astype(f.type.to_pandas_dtype())) for f, v in zip(kind, [other[x.name] if x.name in other else at[x.name] for x in kind])], fields=list(kind))  # noqa: E731, B905
+    every = np.arange(len(ids))
+    slot, tf, dl_ = np.concatenate((slot, every)), np.concatenate((tf, 0 * every)), np.concatenate((dl, sizes))
     columns = [
-        coded.dictionary.take(pa.array(term[first])),
-        pa.array(np.full(len(first), block, np.int64)),
-        pa.array(np.diff(ends).astype(np.int32)),
-        pa.ListArray.from_arrays(pa.array(heads), struct(_IMPACT, {"tf": tf[chosen], "dl": dl[chosen]})),
-        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), struct(_POSTING, {"slot": slot, "chunk_id": ids[slot], "tf": tf, "dl": dl})),
+        pa.concat_arrays([coded.dictionary.take(pa.array(term[first])), pa.nulls(1, coded.dictionary.type)]),
+        pa.array(np.full(len(first) + 1, block, np.int64)),
+        pa.array(np.append(np.diff(ends), len(ids)).astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(np.append(heads, heads[-1])), struct(_IMPACT, {"tf": tf[chosen], "dl": dl[chosen]})),
+        pa.ListArray.from_arrays(pa.array(np.append(ends, len(slot)).astype(np.int32)), struct(_POSTING, {"slot": slot, "chunk_id": ids[slot], "tf": tf, "dl": dl_})),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "impacts", "postings"])
 
@@ -135,20 +137,17 @@ class PostingsIndex:
             return []
         # chunks with like terms meet in a block: the least hash of a chunk's terms is often that of a like chunk's
         like = F.array_min(F.transform("terms", lambda x: F.xxhash64(x)))
-        files = max(1, -(-told.chunks // (BLOCK * 512)))
-        ranged = placed.select("chunk_id", "terms", F.col("dl").cast("int").alias("dl"), F.coalesce(like, F.lit(0)).alias("like")).repartitionByRange(max(files, 8), "like", "chunk_id").sortWithinPartitions("like", "chunk_id", "dl")
+        files = max(-(-told.chunks // (BLOCK * 512)), min(8, -(-told.chunks // (BLOCK * 8))))
+        ranged = placed.select("chunk_id", "terms", F.col("dl").cast("int").alias("dl"), F.coalesce(like, F.lit(0)).alias("like")).repartitionByRange(files, "like", "chunk_id").sortWithinPartitions("like", "chunk_id", "dl")
         numbered = materialise(ranged.select("chunk_id", "terms", "dl", F.monotonically_increasing_id().alias("at")))  # stored: a task that is run again gives the numbers anew
         name = self.versions.new_data()
         # rows of a stored file stay together; blocks begin where they are told to by numbers alone
-        rows = materialise(numbered.repartition(max(files, 8), F.shiftright("at", 33)).sortWithinPartitions("at").select("chunk_id", "terms", "at").mapInArrow(_blocks, ROWS))
-        widest = rows.select("block").distinct().count()
+        rows = materialise(numbered.repartition(files, F.shiftright("at", 33)).sortWithinPartitions("at").select("chunk_id", "terms", "at").mapInArrow(_blocks, ROWS))
+        widest = rows.where("term is null").count()
         buckets, parts = max(1, min(4096, -(-told.terms // 4_000_000))), max(1, -(-widest // 65_536))
-        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+        dealt = rows.where("term is not null").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
         dealt.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "block").write.option("maxRecordsPerFile", 2_000_000).partitionBy("bucket").parquet(f"{self.versions.data(name)}/postings")
-        # where each chunk is; those without terms are in no block, and get a negative number of their own
-        at = rows.select("block", F.explode("postings").alias("p")).select("block", "p.slot", "p.chunk_id", "p.dl").distinct()
-        bare = numbered.where("dl = 0").select((-1 - F.col("at")).alias("block"), F.lit(0).alias("slot"), "chunk_id", "dl")
-        at.unionByName(bare).write.parquet(f"{self.versions.data(name)}/chunks")
+        rows.where("term is null").select("block", F.explode("postings").alias("p")).select("block", "p.slot", "p.chunk_id", "p.dl").write.parquet(f"{self.versions.data(name)}/chunks")
         return [{"name": name, "buckets": int(buckets), "blocks": int(widest), "chunks": told.chunks, "terms": told.terms}]
 
     def _mark(self, manifest: dict, ids: DataFrame) -> list[dict]:
