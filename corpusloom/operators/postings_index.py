@@ -27,9 +27,8 @@ from corpusloom.sources.versions import Versions
 
 #: Chunks of a block, and terms (repeats counted) above which a block ends earlier.
 BLOCK, BLOCK_TERMS = 64, 1 << 18
-POSTING = "struct<slot:int,chunk_id:bigint,tf:int,dl:int>"
-ROWS = f"term string, block bigint, n int, impacts array<struct<tf:int,dl:int>>, postings array<{POSTING}>"
-_POSTING = pa.struct([("slot", pa.int32()), ("chunk_id", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
+#: A term's row in a block has the slots of its chunks and its counts there; the row without a term has all chunks and lengths.
+ROWS = "term string, block bigint, n int, impacts array<struct<tf:int,dl:int>>, slots array<int>, counts array<int>, ids array<bigint>"
 _IMPACT = pa.struct([("tf", pa.int32()), ("dl", pa.int32())])
 
 
@@ -52,15 +51,17 @@ def _block_rows(block: int, ids: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
     heads = np.concatenate(([0], np.cumsum(np.bincount(term[chosen], minlength=len(first))))).astype(np.int32)
     struct = lambda kind, at, **other: pa.StructArray.from_arrays([pa.array(v.astype(f.type.to_pandas_dtype())) for f, v in zip(kind, [other[x.name] if x.name in other else at[x.name] for x in kind])], fields=list(kind))  # noqa: E731, B905
     every = np.arange(len(ids))
-    slot, tf, dl_ = np.concatenate((slot, every)), np.concatenate((tf, 0 * every)), np.concatenate((dl, sizes))
+    wide = lambda a, b: pa.ListArray.from_arrays(pa.array(np.append(ends, len(a) + len(b)).astype(np.int32)), pa.array(np.concatenate((a, b)).astype(np.int32)))
     columns = [
         pa.concat_arrays([coded.dictionary.take(pa.array(term[first])), pa.nulls(1, coded.dictionary.type)]),
         pa.array(np.full(len(first) + 1, block, np.int64)),
         pa.array(np.append(np.diff(ends), len(ids)).astype(np.int32)),
         pa.ListArray.from_arrays(pa.array(np.append(heads, heads[-1])), struct(_IMPACT, {"tf": tf[chosen], "dl": dl[chosen]})),
-        pa.ListArray.from_arrays(pa.array(np.append(ends, len(slot)).astype(np.int32)), struct(_POSTING, {"slot": slot, "chunk_id": ids[slot], "tf": tf, "dl": dl_})),
+        wide(slot, every),
+        wide(tf, sizes),
+        pa.ListArray.from_arrays(pa.array(np.append(0 * ends, len(ids)).astype(np.int32)), pa.array(ids)),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "impacts", "postings"])
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "impacts", "slots", "counts", "ids"])
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +89,47 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def _scorer(shared, mean: float, k: int):
+    """Scores of one block: (its rows, the queries that visit it); weights come with the queries or are broadcast."""
+
+    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asks.num_rows:
+            return pa.Table.from_batches([R._scored(np.zeros(0, np.int64), R._Best(0, k))])
+        place = rows.filter(pc.is_null(rows["term"]))
+        rows = rows.filter(pc.is_valid(rows["term"])).combine_chunks()
+        if not place.num_rows:  # all its chunks are gone
+            return pa.Table.from_batches([R._scored(np.zeros(0, np.int64), R._Best(0, k))])
+        living, dl, chunk = (np.array(place[c][0].as_py(), np.int64) for c in ("slots", "counts", "ids"))
+        length = np.full(int(max(living.max(), pc.max(pc.list_flatten(rows["slots"])).as_py() or 0)) + 1, -1.0)
+        length[living] = dl
+        slot, tf = (pc.list_flatten(rows[c]).to_numpy().astype(np.int64) for c in ("slots", "counts"))
+        term = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows["slots"]).to_numpy())
+        parts = np.zeros((rows.num_rows, len(length)))
+        parts[term, slot] = tf / (tf + 1.2 * (0.25 + 0.75 * np.maximum(length[slot], 0) / mean))
+        parts = parts[:, living]
+        ids = asks["query_id"].to_numpy()
+        if shared is None:
+            terms, weights = asks["terms"].combine_chunks(), asks["w"].combine_chunks()
+        else:
+            known, terms, weights = shared.value
+            at = np.argsort(known, kind="stable")
+            at = pa.array(at[np.searchsorted(known, ids, sorter=at)])
+            terms, weights = terms.take(at), weights.take(at)
+        best, step = R._Best(len(ids), k), max(1, R.SCORES // max(1, rows.num_rows))
+        for a in range(0, len(ids), step):
+            some = terms.slice(a, step)
+            row = np.repeat(np.arange(len(some)), pc.list_value_length(some).to_numpy())
+            column = pc.fill_null(pc.index_in(some.flatten(), value_set=rows["term"].combine_chunks()), -1).to_numpy()
+            matrix = np.zeros((len(some), rows.num_rows))
+            matrix[row[column >= 0], column[column >= 0]] = weights.slice(a, step).flatten().to_numpy()[column >= 0]
+            scores = matrix @ parts
+            q, c = np.nonzero(scores > 0)
+            best.add(q + a, np.round(scores[q, c], 9), chunk[c])
+        return pa.Table.from_batches([R._scored(ids, best)])
+
+    return run
+
+
 class PostingsIndex:
     """Chunks (chunk_id, text) under BM25; ``add`` and ``remove`` commit a version each.
 
@@ -118,7 +160,7 @@ class PostingsIndex:
         if not manifest:
             return number
         living = self._living(manifest)
-        terms = self._postings(manifest).select("segment", F.explode("postings").alias("p"), "term", "block").select("segment", "block", "p.slot", "p.tf", "term")
+        terms = self._postings(manifest).select("segment", F.explode(F.arrays_zip("slots", "counts")).alias("p"), "term", "block").select("segment", "block", F.col("p.slots").alias("slot"), F.col("p.counts").alias("tf"), "term")
         lists = terms.groupBy("segment", "block", "slot").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf")))).alias("terms"))  # a chunk's own terms
         placed = materialise(living.join(lists, ["segment", "block", "slot"], "left").select("chunk_id", "dl", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))
         return self.versions.commit(number, self._with({}, self._segment(placed), []))
@@ -145,9 +187,9 @@ class PostingsIndex:
         rows = materialise(numbered.repartition(files, F.shiftright("at", 33)).sortWithinPartitions("at").select("chunk_id", "terms", "at").mapInArrow(_blocks, ROWS))
         widest = rows.where("term is null").count()
         buckets, parts = max(1, min(4096, -(-told.terms // 4_000_000))), max(1, -(-widest // 65_536))
-        dealt = rows.where("term is not null").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+        dealt = rows.where("term is not null").drop("ids").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
         dealt.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "term", "block").write.option("maxRecordsPerFile", 2_000_000).partitionBy("bucket").parquet(f"{self.versions.data(name)}/postings")
-        rows.where("term is null").select("block", F.explode("postings").alias("p")).select("block", "p.slot", "p.chunk_id", "p.dl").write.parquet(f"{self.versions.data(name)}/chunks")
+        rows.where("term is null").select("block", F.explode(F.arrays_zip("slots", "ids", "counts")).alias("p")).select("block", F.col("p.slots").alias("slot"), F.col("p.ids").alias("chunk_id"), F.col("p.counts").alias("dl")).write.parquet(f"{self.versions.data(name)}/chunks")
         return [{"name": name, "buckets": int(buckets), "blocks": int(widest), "chunks": told.chunks, "terms": told.terms}]
 
     def _mark(self, manifest: dict, ids: DataFrame) -> list[dict]:
@@ -161,7 +203,7 @@ class PostingsIndex:
         name = self.versions.new_data()
         dead.write.parquet(f"{self.versions.data(name)}/chunks")
         blocks = dead.select("segment", "block").distinct()
-        hit = self._postings(manifest).join(blocks, ["segment", "block"], "left_semi").select("segment", "block", "term", F.explode("postings.slot").alias("slot"))
+        hit = self._postings(manifest).join(blocks, ["segment", "block"], "left_semi").select("segment", "block", "term", F.explode("slots").alias("slot"))
         hit.join(dead.select("segment", "block", "slot"), ["segment", "block", "slot"], "left_semi").groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{self.versions.data(name)}/terms")
         return [{"name": name, "chunks": told.chunks, "terms": told.terms}]
 
@@ -172,7 +214,7 @@ class PostingsIndex:
         return reduce(DataFrame.unionByName, read) if read else self.spark.createDataFrame([], schema)
 
     def _postings(self, manifest: dict) -> DataFrame:
-        return self._each([s["name"] for s in manifest.get("segments", [])], "postings", f"{ROWS}, bucket int, segment string")
+        return self._each([s["name"] for s in manifest.get("segments", [])], "postings", "term string, block bigint, n int, impacts array<struct<tf:int,dl:int>>, slots array<int>, counts array<int>, bucket int, segment string")
 
     def _gone(self, manifest: dict) -> DataFrame:
         read = [self.spark.read.parquet(f"{self.versions.data(g['name'])}/chunks") for g in manifest.get("gone", [])]
@@ -211,20 +253,29 @@ class PostingsIndex:
         idf = F.ln((F.lit(chunks) - n + 0.5) / (n + 0.5))
         spread = spread.groupBy("term").agg(F.sum("n").alias("n")).where("n > 0").select("term", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
         weighed = materialise(asked.join(spread, "term").select("query_id", "term", (F.col("times") * F.col("idf") * 2.2).alias("w")))
-        weighed_ = F.broadcast(weighed) if small and weighed.limit(R.MAX_ASKED + 1).count() <= R.MAX_ASKED else weighed
+        entries = weighed.count()
+        weighed_ = F.broadcast(weighed) if entries <= R.MAX_ASKED else weighed
         reach = bounds.join(weighed_, "term").groupBy("query_id", "segment", "block").agg(F.sum(F.col("w") * F.col("best")).alias("bound"))
         reach = materialise(reach)
         ahead = materialise(R.top_k(reach, first, "query_id", "segment", "block", score="bound").drop("rank"))
-        dead = self._gone(manifest).select("segment", "block", "slot") if manifest.get("gone") else None
+        places = self._living(manifest).groupBy("segment", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "chunk_id", "dl"))).alias("c"))  # 64 a block
+        none = lambda kind: F.lit(None).cast(kind)
+        places = places.select("segment", "block", none("string").alias("term"), F.col("c.slot").alias("slots"), F.col("c.dl").alias("counts"), F.col("c.chunk_id").alias("ids"))
+        lists = stored.join(wanted, "term", "left_semi").select("segment", "block", "term", "slots", "counts", none("array<bigint>").alias("ids"))
 
         def score(visits: DataFrame) -> DataFrame:
-            terms = visits.select("query_id", "segment", "block").join(weighed_, "query_id")
-            rows = stored.join(wanted, "term", "left_semi").select("term", "segment", "block", "postings").join(terms, ["term", "segment", "block"])
-            each = rows.select("query_id", "segment", "block", "w", F.explode("postings").alias("p")).select("query_id", "segment", "block", "p.slot", "p.chunk_id", (F.col("w") * part(F.col("p"))).alias("x"))
-            if dead is not None:
-                each = each.join(dead, ["segment", "block", "slot"], "left_anti")
-            return each.groupBy("query_id", "segment", "block", "slot", "chunk_id").agg(F.round(F.sum("x"), 9).alias("score")).select("query_id", "chunk_id", "score")
-
+            """Each block's k best chunks of each query that visits it; a block's postings are shuffled once for all its queries."""
+            asks = visits.select("query_id", "segment", "block").join(weighed_, "query_id")
+            blocks = visits.select("segment", "block").distinct()
+            asks = asks.groupBy("segment", "block", "query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w")) if entries > R.MAX_TERMS else visits.select("segment", "block", "query_id")
+            rows = lists.unionByName(places).join(blocks, ["segment", "block"], "left_semi")
+            by = ["segment", "block"]
+            return rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(_scorer(shared, mean or 1.0, k), R.SCORED)
+
+        shared = None
+        if entries <= R.MAX_TERMS:
+            table = weighed.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w")).toArrow()
+            shared = self.spark.sparkContext.broadcast((table["query_id"].to_numpy(), table["terms"].combine_chunks(), table["w"].combine_chunks()))
         early = materialise(R.top_k(score(ahead), k, "query_id", "chunk_id"))
         floor = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         # rounding takes 5e-10 at most from a score, and adding up in another order less
