@@ -181,10 +181,9 @@ class PostingsIndex:
         like = F.array_min(F.transform("terms", lambda x: F.xxhash64(x)))
         files = max(-(-told.chunks // (BLOCK * 512)), min(8, -(-told.chunks // (BLOCK * 8))))
         ranged = placed.select("chunk_id", "terms", F.col("dl").cast("int").alias("dl"), F.coalesce(like, F.lit(0)).alias("like")).repartitionByRange(files, "like", "chunk_id").sortWithinPartitions("like", "chunk_id", "dl")
-        numbered = materialise(ranged.select("chunk_id", "terms", "dl", F.monotonically_increasing_id().alias("at")))  # stored: a task that is run again gives the numbers anew
         name = self.versions.new_data()
-        # rows of a stored file stay together; blocks begin where they are told to by numbers alone
-        rows = materialise(numbered.repartition(files, F.shiftright("at", 33)).sortWithinPartitions("at").select("chunk_id", "terms", "at").mapInArrow(_blocks, ROWS))
+        # a task's numbers are used in that task alone, and its blocks are stored, so a task may be run again
+        rows = materialise(ranged.select("chunk_id", "terms", F.monotonically_increasing_id().alias("at")).mapInArrow(_blocks, ROWS))
         widest = rows.where("term is null").count()
         buckets, parts = max(1, min(4096, -(-told.terms // 4_000_000))), max(1, -(-widest // 65_536))
         dealt = rows.where("term is not null").drop("ids").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
