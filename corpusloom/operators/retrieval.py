@@ -32,58 +32,97 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 #: Queries that go to all tasks at once; more are met in blocks.
 MAX_QUERIES = 10_000
-#: Scores that a task works out at a time.
+#: Scores of words that a task works out at a time.
 SCORES = 1 << 21
+#: Products of vectors that a task works out at a time, and entries that it holds before it drops what is not among the best.
+PRODUCTS = 1 << 18
+#: Best entries of all queries that a task holds: with many a query, fewer queries go to all tasks at once.
+MAX_BEST = 1 << 20
+#: Vectors that are turned into a matrix at a time.
+ROWS = 2048
 
 
 class _Best:
-    """The ``keep`` best (score, chunk) of each of n queries, ties to the lower chunk, from scores given in any order."""
+    """The ``keep`` best (score, chunk) of each of n queries, ties to the lower chunk, from scores given in any order.
+
+    Not more than twice n * keep entries are held, or n * keep and PRODUCTS if that is more, beside what one call of
+    ``add`` brings; so the memory of a task follows the queries that it was given and not the chunks that it reads.
+    """
 
     def __init__(self, n: int, keep: int):
         self.n, self.keep, self.size = n, keep, 0
         self.floor, self.held = np.full(n, -np.inf), []  # a query's keep-th best so far, and (query, score, chunk) above it
+        self.last = np.full(n, np.iinfo(np.int64).max)  # the chunk of that keep-th best
+        self.most = n * keep + max(PRODUCTS, n * keep)
 
     def add(self, q: np.ndarray, s: np.ndarray, c: np.ndarray) -> None:
-        self.held.append((q, s, c))
-        self.size += len(q)
-        if self.size > SCORES:
+        floor = self.floor[q]
+        fit = (s > floor) | ((s == floor) & (c < self.last[q]))
+        self.held.append((q[fit].astype(np.int32), s[fit], c[fit]))
+        self.size += len(self.held[-1][0])
+        if self.size > self.most:
             self.held = [self.rows()]
             self.size = len(self.held[0][0])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, s, c = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # noqa: B905
+        q, s, c = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64))  # noqa: B905
+        self.held = []
         order = np.lexsort((c, -s, q))
+        start = np.concatenate(([0], np.cumsum(np.bincount(q, minlength=self.n))))  # of each query in that order
+        order = order[np.arange(len(q)) - np.repeat(start[:-1], np.diff(start)) < self.keep]
         q, s, c = q[order], s[order], c[order]
-        some = np.arange(len(q)) - np.searchsorted(q, q) < self.keep
-        q, s, c = q[some], s[some], c[some]
-        full = np.flatnonzero(np.bincount(q, minlength=self.n) == self.keep)
-        self.floor[full] = s[np.searchsorted(q, full, side="right") - 1]
+        ends = np.cumsum(np.bincount(q, minlength=self.n))
+        full = np.flatnonzero(np.diff(ends, prepend=0) == self.keep)
+        self.floor[full], self.last[full] = s[ends[full] - 1], c[ends[full] - 1]
         return q, s, c
 
 
+def _rank_all(best: _Best, asked: np.ndarray, rows: np.ndarray, chunk: np.ndarray, at: np.ndarray | None = None) -> None:
+    """Offers ``best`` the products of all ``asked`` with all ``rows``, PRODUCTS of them at a time.
+
+    ``at`` are the places of ``asked`` among the queries of ``best``, all of them if not given. A matrix product rounds by
+    the shape of its operands; what may be among the best is worked out again in one fixed order, so that equal
+    vectors have equal scores. Products of whole numbers (float32 codes too) are exact as they are.
+    """
+    at = np.arange(len(asked)) if at is None else at
+    if not len(asked) or not len(rows):
+        return
+    exact = asked.dtype == np.float32
+    length = np.linalg.norm(rows, axis=1)
+    slack = np.zeros(len(asked)) if exact else 1e-11 * np.linalg.norm(asked, axis=1) * length[np.isfinite(length)].max(initial=0)
+    tile, few = max(1, PRODUCTS // len(asked)), max(1, PRODUCTS // rows.shape[1])
+    for i in range(0, len(rows), tile):
+        part, ids = rows[i : i + tile], chunk[i : i + tile]
+        scores = asked @ part.T
+        q, c = np.nonzero(scores >= (best.floor[at] - slack)[:, None])
+        if exact:
+            best.add(at[q], scores[q, c].astype(np.float64), ids[c])
+            continue
+        for j in range(0, len(q), few):
+            x, y = q[j : j + few], c[j : j + few]
+            best.add(at[x], (asked[x] * part[y]).sum(axis=1), ids[y])
+
+
 SCORED = "query_id long, chunk_id long, score double"
 
 
+def queries_at_once(keep: int, most: int = MAX_QUERIES) -> int:
+    """Queries that may go to a task that holds the ``keep`` best of each."""
+    return max(1, min(most, MAX_BEST // max(1, keep)))
+
+
 def _scored(ids: np.ndarray, best: _Best) -> pa.RecordBatch:
     q, s, c = best.rows()
     return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "score"])
 
 
-def _best(scores: np.ndarray, chunk: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the ``keep`` best scores, ties to the lower chunk."""
-    if len(scores) > 4 * keep:
-        edge = np.partition(scores, len(scores) - keep)[len(scores) - keep]
-        some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((chunk[some], -scores[some]))[:keep]]
-    return np.lexsort((chunk, -scores))[:keep]
-
-
 def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries: int = MAX_QUERIES) -> DataFrame:
     """(query_id, chunk_id, score): exact dot products; at least the ``keep`` best of each query, a few from each task.
 
     Queries are counted first. Up to ``max_queries`` they go to all tasks and each task sends its best; a larger set is
     dealt to blocks that meet blocks of chunks, so that a task holds one block of either.
     """
+    max_queries = queries_at_once(keep, max_queries)
     asked = queries.select("query_id", "vec").limit(max_queries + 1).toArrow()
     if asked.num_rows > max_queries:
         return _score_blocks(chunks, queries, keep, max_queries)
@@ -91,13 +130,11 @@ def score_queries(chunks: DataFrame, queries: DataFrame, keep: int, max_queries:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best, rows = _Best(len(ids), keep), max(1, SCORES // max(1, len(ids)))
+        best = _Best(len(ids), keep)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                scores, chunk = matrix @ _matrix(part.column("vec")).T, part.column("chunk_id").to_numpy()
-                q, c = np.nonzero(scores >= best.floor[:, None])
-                best.add(q, scores[q, c], chunk[c])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                _rank_all(best, matrix, _matrix(part.column("vec")), part.column("chunk_id").to_numpy())
         yield _scored(ids, best)
 
     return chunks.select("chunk_id", "vec").mapInArrow(run, SCORED)
@@ -113,14 +150,9 @@ def _score_blocks(chunks: DataFrame, queries: DataFrame, keep: int, block: int)
     def run(table: pa.Table) -> pa.Table:
         mine = np.asarray(table["asked"])
         ids, m = table["id"].to_numpy(), _matrix(table["vec"].combine_chunks())
-        chunk, other = ids[~mine], m[~mine]
-        out = []
-        for i in np.flatnonzero(mine) if len(chunk) else ():
-            scores = other @ m[i]
-            at = _best(scores, chunk, keep)
-            out.append((np.full(len(at), ids[i]), chunk[at], scores[at]))
-        q, c, s = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])  # noqa: B905
-        return pa.table({"query_id": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
+        best = _Best(int(mine.sum()), keep)
+        _rank_all(best, m[mine], m[~mine], ids[~mine])
+        return pa.Table.from_batches([_scored(ids[mine], best)])
 
     return met.groupBy("c", "q").applyInArrow(run, SCORED)
 

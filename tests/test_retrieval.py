@@ -216,3 +216,42 @@ def test_scores_of_a_task_in_slices_of_any_size(monkeypatch):
         V._weigh(best, list(V._asked_terms(table)), np.arange(120), length, pa.array(lists, pa.list_(pa.string())))
         q, _, c = best.rows()
         assert [list(c[q == i]) for i in range(30)] == expected
+
+
+def test_memory_of_scores_does_not_follow_the_chunks():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    asked, vecs = rng.normal(size=(2000, 16)), rng.normal(size=(6000, 16))
+    for dtype in (np.float64, np.float32):  # vectors, and codes
+        asked, vecs = np.round(asked * (1 if dtype == np.float64 else 20)).astype(dtype), np.round(vecs * (1 if dtype == np.float64 else 20)).astype(dtype)
+        best = V._Best(2000, 40)
+        tracemalloc.start()
+        for at in range(0, 6000, 1000):
+            V._rank_all(best, asked, vecs[at : at + 1000], np.arange(at, at + 1000))
+        q, s, c = best.rows()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64e6  # products of whole batches took 230 MB and more
+        assert np.array_equal(np.bincount(q), np.full(2000, 40))
+        for i in (0, 777, 1999):
+            scores = vecs.astype(float) @ asked[i].astype(float)
+            assert list(c[q == i]) == list(np.lexsort((np.arange(6000), -scores))[:40])
+
+
+def test_equal_vectors_have_equal_scores(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=61)
+    vecs = [one if i % 3 else rng.normal(size=61) for i in range(700)]
+    chunks = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "chunk_id long, vec array<float>").repartition(3)
+    asked = chunks.where("chunk_id < 23").select(F.col("chunk_id").alias("query_id"), "vec")
+    for most in (V.MAX_QUERIES, 5):  # all at once, and in blocks
+        rows = V.top_k(V.score_queries(chunks, asked, 300, most), 300, "query_id", "chunk_id").collect()
+        assert len(rows) == 23 * 300
+        for i in (1, 2, 22):
+            same = sorted((r["rank"], r.chunk_id, r.score) for r in rows if r.query_id == i and r.chunk_id % 3)
+            assert len({s for _, _, s in same}) == 1 and [c for _, c, _ in same] == sorted(c for _, c, _ in same) and len(same) > 250
