@@ -81,11 +81,12 @@ def score_codes(codes: DataFrame, queries: DataFrame, scale: float, keep: int, m
     larger set goes to the tasks a block of ``max_queries`` at a time. Queries without a vector get no rows.
     """
     queries = queries.where("vec is not null")
-    asked = queries.select("query_id", "vec").limit(max_queries + 1).toArrow()
-    if asked.num_rows > max_queries:
-        blocks = -(-queries.count() // max_queries)
+    most = R.queries_at_once(keep, max_queries)
+    asked = queries.select("query_id", "vec").limit(most + 1).toArrow()
+    if asked.num_rows > most:
+        blocks = -(-queries.count() // most)
         parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i) for i in range(2 * blocks)]
-        found = [score_codes(codes, p, scale, keep, 4 * max_queries) for p in parts]
+        found = [score_codes(codes, p, scale, keep, 4 * most) for p in parts]
         for more in found[1:]:
             found[0] = found[0].unionByName(more)
         return found[0]
@@ -95,13 +96,11 @@ def score_codes(codes: DataFrame, queries: DataFrame, scale: float, keep: int, m
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, small = shared.value
         mine = small.astype(np.float32 if small.shape[1] * 127 * 127 < 1 << 24 else np.float64)
-        best, rows = R._Best(len(ids), keep), max(1, R.SCORES // max(1, len(ids)))
+        best = R._Best(len(ids), keep)
         for batch in batches:
-            for at in range(0, batch.num_rows if len(ids) else 0, rows):
-                part = batch.slice(at, rows)
-                scores = mine @ unpack(part.column("code"), mine.shape[1]).T
-                q, c = np.nonzero(scores >= best.floor[:, None])
-                best.add(q, scores[q, c].astype(np.float64), part.column("chunk_id").to_numpy()[c])
+            for at in range(0, batch.num_rows if len(ids) else 0, R.ROWS):
+                part = batch.slice(at, R.ROWS)
+                R._rank_all(best, mine, unpack(part.column("code"), mine.shape[1]), part.column("chunk_id").to_numpy())
         yield R._scored(ids, best)
 
     return codes.select("chunk_id", "code").mapInArrow(run, R.SCORED)
@@ -251,12 +250,12 @@ def write_index(chunks: DataFrame, folder: str, cells: int | None = None, rows_a
     n = chunks.count()
     cells = min(MAX_CELLS, cells or max(1, round(math.sqrt(n))))
     centroids, scale = fit_centroids(chunks, cells, sample), code_scale(chunks)
-    shared = spark.sparkContext.broadcast(centroids)
+    shared, step = spark.sparkContext.broadcast(centroids), max(1, R.PRODUCTS // max(1, len(centroids)))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 m = R._matrix(part.column("vec"))
                 scores = m @ shared.value.T
                 cell, norm = scores.argmax(axis=1), np.maximum(np.linalg.norm(m, axis=1), 1e-12)
@@ -366,12 +365,9 @@ class VectorIndex:
                 cell = batch.column("cell").to_numpy()
                 for c in np.unique(cell).tolist():
                     rows = batch.take(pa.array(np.flatnonzero(cell == c)))
-                    step = max(1, R.SCORES // len(asked[c]))
-                    for at in range(0, rows.num_rows, step):
-                        part = rows.slice(at, step)
-                        scores = codes[asked[c]] @ unpack(part.column("code"), codes.shape[1]).T
-                        q, x = np.nonzero(scores >= best.floor[asked[c]][:, None])
-                        best.add(asked[c][q], scores[q, x].astype(np.float64), part.column("chunk_id").to_numpy()[x])
+                    for at in range(0, rows.num_rows, R.ROWS):
+                        part = rows.slice(at, R.ROWS)
+                        R._rank_all(best, codes[asked[c]], unpack(part.column("code"), codes.shape[1]), part.column("chunk_id").to_numpy(), asked[c])
             yield R._scored(ids, best)
 
         return self.vectors(by_cell).select("cell", "chunk_id", "code").mapInArrow(run, R.SCORED), list(by_cell)
@@ -401,12 +397,7 @@ class VectorIndex:
             asks, ids = np.asarray(table["asks"]), table["id"].to_numpy()
             codes = unpack(table["code"].combine_chunks(), len(table["code"][0].as_py()))
             best = R._Best(int(asks.sum()), keep)
-            mine, other, chunk = codes[asks], codes[~asks], ids[~asks]
-            step = max(1, R.SCORES // max(1, len(mine)))
-            for at in range(0, len(other) if len(mine) else 0, step):
-                scores = mine @ other[at : at + step].T
-                q, x = np.nonzero(scores >= best.floor[:, None])
-                best.add(q, scores[q, x].astype(np.float64), chunk[at + x])
+            R._rank_all(best, codes[asks], codes[~asks], ids[~asks])
             return pa.Table.from_batches([R._scored(ids[asks], best)])
 
         return met.groupBy("cell", "p", "b").applyInArrow(score, R.SCORED)
