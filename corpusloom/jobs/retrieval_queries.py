@@ -44,7 +44,8 @@ def _flags(s, d):
 def _bridges(s, d, cross, top_n=50):
     """Labels stand for communities: here each chunk has one of its own."""
     chunks, linked = _flags(s, d)
-    pairs = V.bridges(chunks, chunks.select("note_path").distinct().withColumn("community", F.lit(0)), linked, None, 0.3)
+    best = V.similar_pairs(chunks, 0.3, best=top_n, apart="label" if cross else None)
+    pairs = V.bridges(chunks, chunks.select("note_path").distinct().withColumn("community", F.lit(0)), linked, None, 0.3, pairs=best)
     of = chunks.select("chunk_id", "label")
     named = pairs.drop("cross_community").join(of.select(F.col("chunk_id").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("chunk_id").alias("b"), F.col("label").alias("lb")), "b")
     flagged = named.select("a", "b", "score", (~F.col("la").eqNullSafe(F.col("lb"))).alias("cross_community"), "linked")

@@ -196,45 +196,91 @@ def search_in_note(chunks: DataFrame, queries: DataFrame, note_path: str, k: int
     return top_k(best.drop("rank"), k, "query_id", "chunk_id")
 
 
-def similar_pairs(chunks: DataFrame, min_score: float = 0.5, block: int = 1024) -> DataFrame:
+#: Blocks of ``similar_pairs`` at most, unless a block would have more numbers than that; rows of a block at least.
+BLOCKS, BLOCK_NUMBERS, BLOCK_ROWS = 24, 1 << 21, 1024
+
+
+def similar_pairs(chunks: DataFrame, min_score: float = 0.5, block: int | None = None, best: int | None = None, apart: str | None = None) -> DataFrame:
     """(a, b, score) with a < b, of different notes: all pairs of unit vectors with cosine of at least ``min_score``.
 
-    Vectors are dealt to blocks of about ``block``; each pair of blocks is one group that multiplies two matrices, so
-    a task holds two blocks whatever the number of vectors, and only qualifying pairs leave it.
+    Vectors are dealt to blocks; each pair of blocks is one group that multiplies two matrices a few rows at a time, so a
+    task holds two blocks whatever the number of vectors, and only qualifying pairs leave it. A row is sent once for
+    each block: there are BLOCKS of them at most, so that what is shuffled follows the number of vectors, until blocks
+    have BLOCK_NUMBERS components (786,432 vectors of 64); from there on it grows with the square, as the pairs do.
+    ``block`` sets the rows of a block.
+
+    With ``best`` a group sends no more than its so many best pairs (by score, then a, then b), and the best of the whole
+    are among them. ``apart``: a column in which the two of a pair must differ, null being a value of its own.
     """
-    n = chunks.count()
-    blocks = max(1, -(-n // block))
-    placed = chunks.select("chunk_id", "note_path", "vec", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("x"))
+    n, dims = chunks.agg(F.count("*"), F.max(F.size("vec"))).first()
+    most = max(BLOCK_ROWS, BLOCK_NUMBERS // max(1, dims or 1))
+    blocks = max(1, -(-n // (block or min(most, max(BLOCK_ROWS, -(-n // BLOCKS))))))
+    told = ["chunk_id", "note_path", "vec", *([F.col(apart).alias("apart")] if apart else [])]
+    placed = chunks.select(*told, F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("x"))
     # block x is needed with every block y: as (x, y) for y >= x and as (y, x) for y < x
     spread = placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.select("chunk_id", "note_path", "vec", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"))
+    spread = spread.select(*(c for c in placed.columns if c != "x"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"))
 
-    def pair(table: pa.Table) -> pa.Table:
-        ids, notes = table["chunk_id"].to_numpy(), np.array(table["note_path"].to_pylist(), dtype=object)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        ids, notes, differ = table["chunk_id"].to_numpy(), _numbers(table["note_path"]), _numbers(table["apart"]) if apart else None
         m, left = _matrix(table["vec"].combine_chunks()), np.asarray(table["left"])
         same = table["i"][0].as_py() == table["j"][0].as_py()
         l, r = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        out = []
-        for s in range(0, len(l), 512):
-            part = l[s : s + 512]
-            scores = m[part] @ m[r].T
-            x, y = np.nonzero(scores >= min_score)
-            a, b, score = ids[part[x]], ids[r[y]], scores[x, y]
-            keep = (a < b if same else np.ones(len(a), bool)) & (notes[part[x]] != notes[r[y]])
-            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], score[keep]))
-        a, b, score = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])  # noqa: B905
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
+        del table
+        other, step, few = m[r], max(1, PRODUCTS // max(1, len(r))), max(1, PRODUCTS // m.shape[1])
+        found, held, floor = [], 0, min_score
+        for s in range(0, len(l), step):
+            part = l[s : s + step]
+            scores = m[part] @ other.T
+            x, y = np.nonzero(scores >= (floor if best is None else floor - 1e-11))
+            score, x, y = scores[x, y], part[x], r[y]
+            keep = (ids[x] < ids[y] if same else np.ones(len(x), bool)) & (notes[x] != notes[y])
+            keep = keep if differ is None else keep & (differ[x] != differ[y])
+            score, x, y = score[keep], x[keep], y[keep]
+            if best is not None:  # in one order of the sum, so that equal vectors have equal scores
+                score = np.concatenate([np.zeros(0), *((m[x[t : t + few]] * m[y[t : t + few]]).sum(axis=1) for t in range(0, len(x), few))])
+                score, x, y = score[score >= floor], x[score >= floor], y[score >= floor]
+            found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), score))
+            held += len(x)
+            if held > PRODUCTS:
+                if best is None:
+                    yield _pair_rows(found)
+                found = [] if best is None else [_first(found, best)]
+                held, floor = (0, floor) if best is None else (len(found[0][0]), found[0][2].min() if len(found[0][0]) == best else floor)
+        yield _pair_rows(found if best is None or not found else [_first(found, best)])
 
     return spread.groupBy("i", "j").applyInArrow(pair, "a long, b long, score double")
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers; null is one of them."""
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy()
+
+
+def _pair_rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, score = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], names=["a", "b", "score"])
+
+
+def _first(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n first pairs by score from the highest, then a, then b."""
+    a, b, score = (np.concatenate(x) for x in zip(*found))  # noqa: B905
+    order = np.lexsort((b, a, -score))[:n]
+    return a[order], b[order], score[order]
+
+
 def bridges(chunks: DataFrame, communities: DataFrame, linked: DataFrame, top_n: int | None = 20, min_score: float = 0.5, cross_only: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, score, cross_community, linked): similar chunks of different notes, the best first.
 
-    ``pairs`` (a, b, score) can come from an index (``vector_index.near_pairs``); all pairs are compared if not given.
+    ``pairs`` (a, b, score) can come from an index (``vector_index.near_pairs``); all pairs are compared if not given, and
+    of these only the ``top_n`` best of each group of blocks are joined with what flags them.
     ``communities`` (note_path, community) and ``linked`` (a, b: note paths with a < b) only flag, unless ``cross_only``.
     """
-    pairs = similar_pairs(chunks, min_score) if pairs is None else pairs
+    if pairs is None:
+        both = chunks.select("chunk_id", "note_path", "vec")
+        both = both.join(communities.select("note_path", "community"), "note_path", "left") if cross_only else both
+        pairs = similar_pairs(both, min_score, best=top_n, apart="community" if cross_only else None)
     of = chunks.select("chunk_id", "note_path").join(communities, "note_path", "left")
     named = pairs.join(of.select(F.col("chunk_id").alias("a"), F.col("note_path").alias("na"), F.col("community").alias("ca")), "a")
     named = named.join(of.select(F.col("chunk_id").alias("b"), F.col("note_path").alias("nb"), F.col("community").alias("cb")), "b")

@@ -255,3 +255,25 @@ def test_equal_vectors_have_equal_scores(spark):
         for i in (1, 2, 22):
             same = sorted((r["rank"], r.chunk_id, r.score) for r in rows if r.query_id == i and r.chunk_id % 3)
             assert len({s for _, _, s in same}) == 1 and [c for _, c, _ in same] == sorted(c for _, c, _ in same) and len(same) > 250
+
+
+def test_blocks_of_pairs_follow_the_number_of_vectors(spark, monkeypatch):
+    """A vector is sent once for each block, so there are not more blocks with more vectors, and memory stays in slices."""
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(900, 16))
+    m[300:420] = m[7]  # equal vectors
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, f"n{i // 3}", v.tolist(), i % 5 or None) for i, v in enumerate(m)], "chunk_id long, note_path string, vec array<double>, kind int")
+    monkeypatch.setattr(V, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(V, "BLOCKS", 5)
+    plan = V.similar_pairs(df, 0.4)._jdf.queryExecution().toString()
+    assert "explode(sequence(0, 4" in plan
+    score = (m[:, None, :] * m[None, :, :]).sum(axis=2)
+    every = [(-score[i, j], i, j) for i in range(900) for j in range(i + 1, 900) if i // 3 != j // 3 and score[i, j] >= 0.4]
+    assert sorted((r.a, r.b) for r in V.similar_pairs(df, 0.4).collect()) == sorted((i, j) for _, i, j in every)
+    monkeypatch.setattr(V, "PRODUCTS", 300)
+    for apart in (None, "kind"):
+        some = sorted(x for x in every if apart is None or x[1] % 5 != x[2] % 5)[:50]
+        pairs = V.similar_pairs(df, 0.4, best=50, apart=apart)
+        assert [(r.a, r.b) for r in pairs.orderBy(F.desc("score"), "a", "b").limit(50).collect()] == [(i, j) for _, i, j in some]
+        assert pairs.count() <= 15 * 50 < len(every)
