@@ -142,23 +142,22 @@ def split_notes(notes: DataFrame, depth: int = 2, folder: str = "") -> DataFrame
     Notes go below ``folder`` into a folder of the note that they come from (its path without .md, and ``-split``), named
     by the title: ASCII letters, digits, ``_``, ``.`` and ``-``, white space as ``-``, 80 characters at most, or ``untitled``.
     No section is lost: the second of a name within its note gets `` (2)``, which no title leaves in a name, and so on.
-    Null texts and notes without such headings give none; repeated rows are split alike. Everything stays in its row.
+    Null texts and notes without such headings give none; repeated rows are split alike. Everything stays in its row, and
+    a text is cut at all its headings by one pass.
     """
     heading = rf"^#{{{depth}}}\s+(.+?)\s*$"
-    lines = notes.select("note_path", F.split("text", "\r?\n").alias("lines"))
-    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(heading))
-    found = lines.withColumn("at", at).where(F.size("at") > 0)
-    # the end of each section is the next heading, or the end of the note
-    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("lines") + 1))
-    found = found.withColumn("ends", ends)
-    bodies = F.zip_with("at", "ends", lambda i, j: F.array_join(F.slice("lines", i, j - i), "\n"))
-    title = lambda i: F.trim(F.regexp_extract(F.element_at("lines", i), heading, 1))
-    bare = lambda i: F.trim(F.regexp_replace(title(i), r"[^A-Za-z0-9_\s.-]", ""))
-    name = lambda i: F.regexp_replace(F.substring(F.regexp_replace(bare(i), r"\s+", "-"), 1, 80), r"\A\.+|\.+\z", "")
-    found = found.select("note_path", bodies.alias("texts"), F.transform("at", lambda i: F.coalesce(F.nullif(name(i), F.lit("")), F.lit("untitled"))).alias("names"))
+    # the same inside a text of lines: without MULTILINE, . and $ know these line ends too
+    line = r"#{%d}[ \t\x0B\f\r]+[^\n\r\x85\u2028\u2029]+?[ \t\x0B\f\r]*[\x85\u2028\u2029]?(?:\n|\z)" % depth
+    parts = F.split(F.concat(F.lit("\n"), F.regexp_replace("text", "\r\n", "\n")), rf"\n(?={line})")
+    found = notes.select("note_path", F.slice(parts, 2, (1 << 31) - 1).alias("texts"))
+    title = lambda x: F.trim(F.regexp_extract(F.substring_index(x, "\n", 1), heading, 1))
+    bare = lambda x: F.trim(F.regexp_replace(title(x), r"[^A-Za-z0-9_\s.-]", ""))
+    name = lambda x: F.regexp_replace(F.substring(F.regexp_replace(bare(x), r"\s+", "-"), 1, 80), r"\A\.+|\.+\z", "")
+    found = found.withColumn("names", F.transform("texts", lambda x: F.coalesce(F.nullif(name(x), F.lit("")), F.lit("untitled"))))
     before = F.transform("names", lambda x, i: F.size(F.filter(F.slice("names", F.lit(1), i + 1), lambda y: y == x)))
-    found = found.withColumn("nth", before)
-    each = found.select("note_path", F.inline(F.arrays_zip("texts", "names", "nth")))
+    found = found.withColumn("nth", F.when(F.size(F.array_distinct("names")) == F.size("names"), F.transform("names", lambda x: F.lit(1))).otherwise(before))
+    # outer: a filter on the size of the arrays would be pushed down and work all of them out again for each line
+    each = found.select("note_path", F.inline_outer(F.arrays_zip("texts", "names", "nth"))).where("nth is not null")
     number = F.when(F.col("nth") > 1, F.concat(F.lit(" ("), F.col("nth").cast("string"), F.lit(")"))).otherwise("")
     path = F.concat(F.lit(folder), F.regexp_replace("note_path", r"(?i)\.md\z", ""), F.lit("-split/"), "names", number, F.lit(".md"))
     return each.select(path.alias("note_path"), F.col("texts").alias("text"))

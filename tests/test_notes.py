@@ -317,3 +317,17 @@ def test_templates_fill_once_and_folders_go(spark):
     stays, goes = R.delete_folder(notes, "/f/", "2024-01-01")
     assert {r.text for r in stays.collect()} == {"3", "4"} and {(r.text, r.stamp) for r in goes.collect()} == {("1", "2024-01-01"), ("2", "2024-01-01")}
     assert R.purge(goes, "2024-01-02").count() == 0 and R.purge(goes, "2024-01-01").count() == 2
+
+
+def test_split_notes_cuts_a_text_once(spark):
+    """No array of lines is worked out again for each line: a note of many lines takes no longer than many short ones."""
+    import time
+
+    lines = ["## Part one" if i % 40 == 0 else f"line {i}" for i in range(12_000)]
+    notes = spark.createDataFrame([("long.md", "\r\n".join(lines))], "note_path string, text string")
+    # a text that is an expression itself, as that of markdown_notes
+    made = notes.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit(""))), "\n"))
+    began = time.perf_counter()
+    rows = {r.note_path: r.text for r in R.split_notes(made, 2).collect()}
+    assert time.perf_counter() - began < 20
+    assert len(rows) == 300 and rows["long-split/Part-one.md"] == "\n".join(lines[:40]) and rows["long-split/Part-one (300).md"] == "\n".join(lines[-40:])
