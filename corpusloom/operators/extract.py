@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from corpusloom.functions import text as T
 
@@ -137,17 +139,35 @@ def quotes(notes: DataFrame) -> DataFrame:
     return grouped.select("note_path", (F.col("all")[0]["pos"] + 1).cast("long").alias("line"), F.array_join(F.transform("all", lambda x: x["content"]), "\n").alias("quote"))
 
 
+#: Characters of notes that a task scans at a time (one note at least), and of results that it holds.
+SCAN_CHARS = 1 << 20
+
+
 def _per_note(notes: DataFrame, schema: str, scan) -> DataFrame:
-    """Rows that ``scan(lines)`` yields for each note, in Arrow batches; for what needs a state machine over lines."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    """Rows that ``scan(lines)`` yields for each note, in Arrow batches; for what needs a state machine over lines.
+
+    Notes are taken from a batch one by one and rows sent on as soon as they are from SCAN_CHARS characters, so a task
+    holds the lines of one note and not those of a batch.
+    """
+    kinds = [to_arrow_type(f.dataType) for f in DataType.fromDDL(schema).fields]
+    names = DataType.fromDDL(schema).names
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch.column("note_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(path, *r) for r in scan((text or "").replace("\r\n", "\n").split("\n"))]
+            rows, held = [], 0
+            for path, text in zip(batch.column("note_path"), batch.column("text"), strict=True):
+                path, text = path.as_py(), text.as_py() or ""
+                for r in scan(text.replace("\r\n", "\n").split("\n")):
+                    rows.append((path, *r))
+                held += len(text)
+                if rows and held > SCAN_CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+                yield made(rows)
 
     return notes.select("note_path", "text").mapInArrow(run, schema)
 

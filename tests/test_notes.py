@@ -331,3 +331,21 @@ def test_split_notes_cuts_a_text_once(spark):
     rows = {r.note_path: r.text for r in R.split_notes(made, 2).collect()}
     assert time.perf_counter() - began < 20
     assert len(rows) == 300 and rows["long-split/Part-one.md"] == "\n".join(lines[:40]) and rows["long-split/Part-one (300).md"] == "\n".join(lines[-40:])
+
+
+def test_scans_hold_one_note_at_a_time(spark, monkeypatch):
+    """Rows leave in batches of bounded size instead of one for all notes of an Arrow batch."""
+    import pyarrow as pa
+
+    from corpusloom.operators import extract as X
+
+    got = {}
+    none = spark.createDataFrame([], "note_path string, text string")
+    monkeypatch.setattr(type(none), "mapInArrow", lambda self, run, schema: got.update(run=run) or self)
+    X.code_blocks(none)
+    texts = ["```py\n" + "x" * 300_000 + "\n```\n", None, "no block", "a\r\n```\r\nb\r\nc\r\n```"] * 10
+    batch = pa.RecordBatch.from_pydict({"note_path": pa.array([f"n{i}" for i in range(40)]), "text": pa.array(texts)})
+    made = list(got["run"](iter([batch])))
+    assert len(made) >= 2 and max(b.nbytes for b in made) < 2 * X.SCAN_CHARS
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == [x for i in range(0, 40, 4) for x in ((f"n{i}", 1, "py", "x" * 300_000), (f"n{i + 3}", 2, "", "b\nc"))]
