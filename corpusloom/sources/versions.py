@@ -72,10 +72,11 @@ class Versions:
     def data(self, name: str) -> str:
         return f"{self.folder}/data/{name}"
 
-    def sizes(self, name: str) -> dict[str, int]:
-        """Bytes of each bucket in a folder with a folder ``bucket=b`` for each."""
+    def sizes(self, name: str) -> tuple[dict[str, int], dict[str, int]]:
+        """Bytes, and files, of each bucket in a folder with a folder ``bucket=b`` for each."""
         fs, _ = self._path(name)
-        return {b.removeprefix("bucket="): fs.getContentSummary(self._path(f"{name}/{b}")[1]).getLength() for b in self._names(name) if b.startswith("bucket=")}
+        told = {b.removeprefix("bucket="): fs.getContentSummary(self._path(f"{name}/{b}")[1]) for b in self._names(name) if b.startswith("bucket=")}
+        return {b: c.getLength() for b, c in told.items()}, {b: c.getFileCount() for b, c in told.items()}
 
     def bytes_of(self, stored: DataFrame) -> int:
         """Bytes of the files that ``stored``, a table as it was read, has."""

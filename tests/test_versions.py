@@ -130,3 +130,25 @@ def test_segments_replace_remove_and_compact(spark, tmp_path, texts, asked):
     assert len(index.vacuum()) == 4 and _hits(index.search(asked, 5)) == living
     index.remove(known.select("chunk_id"))
     assert index.sizes() == (0, 0.0) and index.search(asked, 5).count() == 0
+
+
+def test_refresh_stores_no_text_on_the_way_and_kept_rows_stay(spark, tmp_path, monkeypatch):
+    stored = snapshot.Snapshot(spark, f"{tmp_path}/s", file_bytes=8192)  # one bucket, large enough to be left where it is
+    state = [(f"n{i}.md", f"{i * 7919 % 1009} of {i}\nsecond {i}") for i in range(900)] + [(None, "no path"), ("twice.md", "a"), ("twice.md", "b")]
+    seen, shuffled = [], []
+    keep, deal = snapshot.materialise, type(spark.range(1)).repartition
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "materialise", lambda df: seen.append(df.columns) or keep(df))
+        m.setattr(type(spark.range(1)), "repartition", lambda self, *a: shuffled.append(self.count()) or deal(self, *a))
+        stored.refresh(_notes(spark, state), _build)
+        after = [("n0.md", "other\ntext"), *state[1:-1], ("new.md", "1\n2\n3"), ("late.md", "x")]
+        stored.refresh(_notes(spark, after), _build)
+    assert not any({"text", "line"} & {*columns} for columns in seen)
+    # the notes' lines and a mark for each note, and in the second change no row that was kept
+    assert shuffled[0] <= 1803 + 902 and shuffled[1] < 60
+    assert _rows(stored.read()) == _rows(_build(_notes(spark, after))) and stored.read().where("content_sha is null").count() == 0
+    for n in range(8):  # many small changes don't leave ever more files
+        stored.replace(_notes(spark, [(f"n{n}.md", f"v{n}")]).select("note_path", F.col("text").alias("line"), F.lit("s").alias("content_sha")))
+    assert len(stored.read().inputFiles()) < 24
+    want = {p: t for p, t in after if p} | {f"n{n}.md": f"v{n}" for n in range(8)}
+    assert _rows(stored.read()) == sorted([(p, x) for p, t in [*want.items(), (None, "no path")] for x in t.split("\n")], key=str)
