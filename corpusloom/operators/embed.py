@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.scratch import materialise
+
 Provider = Callable[[list[str]], np.ndarray]
 
+#: Rows of one text above which its vector is made first, and its rows are dealt to many tasks.
+COPIES = 1024
+
 
 class HashEmbedder:
     """Deterministic offline stand-in: component d is the FNV-1a hash of ``text:d`` scaled to -1..1, then unit length."""
@@ -74,7 +79,55 @@ def embed(texts: DataFrame, provider: Provider, batch: int = 256) -> DataFrame:
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, provider: Provider, model: str) -> tuple[DataFrame, DataFrame]:
-    """(texts with vec, rows to append to the cache)."""
-    fresh = embed(cache_misses(texts, cache, model), provider).select("key", "vec")
-    known = cache.select("key", "vec").unionByName(fresh)
-    return texts.withColumn("_key", cache_key(model, "text")).join(known.withColumnRenamed("key", "_key"), "_key", "left").drop("_key"), fresh
+    """(texts with vec, rows to append to the cache).
+
+    Texts are shuffled once, to lie beside their copies and the cache's row; the provider gets the first of those that
+    the cache lacks. A text of more than COPIES rows (few texts, for that reason) gets its vector before, and its rows
+    are dealt to many tasks. Null texts have no vector.
+    """
+    keyed = texts.withColumn("_key", cache_key(model, "text"))
+    fresh = embed(cache_misses(texts, cache, model).where("key is not null"), provider).select("key", "vec")
+    often = materialise(keyed.where("_key is not null").groupBy("_key").count().where(F.col("count") > COPIES).select("_key"))
+    vec = T.ArrayType(T.FloatType())
+    if often.isEmpty():
+        dealt = keyed.withColumn("vec", F.lit(None).cast(vec))
+    else:
+        copied = keyed.join(F.broadcast(often), "_key", "left_semi").select("text")
+        held = cache.join(F.broadcast(often), F.col("key") == F.col("_key"), "left_semi").select("key", "vec").dropDuplicates(["key"])
+        made = embed(cache_misses(copied, held, model), provider).select("key", "vec").unionByName(held)
+        dealt = keyed.join(F.broadcast(materialise(made.select(F.col("key").alias("_key"), "vec"))), "_key", "left")
+    apart = F.col("vec").isNotNull() | F.col("_key").isNull()
+    spread = [c for c, kind in texts.dtypes if "map<" not in kind]
+    dealt = dealt.select(*texts.columns, "_key", "vec", F.lit(True).alias("_row"), F.when(apart, F.xxhash64(F.spark_partition_id(), *spread) % 1024).otherwise(0).alias("_part"))
+    known = cache.select(F.col("key").alias("_key"), F.col("vec").cast(vec).alias("vec"), F.lit(False).alias("_row"), F.lit(0).cast("long").alias("_part"))
+    beside = dealt.unionByName(known, allowMissingColumns=True).repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_row")
+    return _vectors_of_runs(beside, texts.columns, provider), fresh
+
+
+def _vectors_of_runs(beside: DataFrame, names: list[str], provider: Provider, batch: int = 256) -> DataFrame:
+    """Rows sorted by _key, those with a vec first: all rows of a key get the first's vec, by the provider where it has none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, vec = None, pa.nulls(1, pa.list_(pa.float32()))  # of the last row so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, given = b.column("_key").to_pylist(), b.column("vec").cast(vec.type)
+            first = [k is not None and k != p for k, p in zip(keys, [key, *keys], strict=False)]
+            ask = [i for i, (f, valid) in enumerate(zip(first, given.is_valid().to_pylist(), strict=True)) if f and not valid]
+            made = [vec, given]
+            for a in range(0, len(ask), batch):
+                vectors = provider(b.column("text").take(pa.array(ask[a : a + batch])).to_pylist())
+                if len(vectors) != len(ask[a : a + batch]):
+                    raise ValueError("the provider returned another number of vectors")
+                made.append(pa.array(list(vectors), vec.type))
+            # places in ``made``: the last vector, those given, those of the provider
+            at = np.where(first, np.arange(len(keys)) + 1, 0)
+            at[ask] = len(keys) + 1 + np.arange(len(ask))
+            at = at[np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))] * (np.maximum.accumulate(first) > 0)
+            every = pa.concat_arrays(made).take(pa.array(at, mask=np.array([k is None for k in keys])))
+            key, vec = keys[-1], every.slice(len(every) - 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), every], names=[*names, "vec"]).filter(b.column("_row"))
+
+    fields = [beside.schema[n] for n in names]
+    return beside.mapInArrow(run, T.StructType([*fields, T.StructField("vec", T.ArrayType(T.FloatType()))]))

@@ -129,6 +129,28 @@ def test_cache(spark):
     assert np.linalg.norm(calls(["x"])[0]) == pytest.approx(1, abs=1e-6)
 
 
+def test_cache_shuffles_texts_once_and_asks_for_each_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embed, "COPIES", 20)
+    rows = [(i, f"text {i % 300}") for i in range(900)] + [(1000 + i, "often") for i in range(200)] + [(2000 + i, "often and known") for i in range(50)] + [(3000, None), (3001, None)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    held = spark.createDataFrame([(f"text {i}", [float(i)]) for i in range(0, 300, 2)] + [("often and known", [7.0]), ("of no row", [8.0])], "text string, vec array<float>").select(embed.cache_key("m", "text").alias("key"), "vec")
+    log = f"{tmp_path}/calls"
+
+    def provider(asked):
+        with open(log, "a") as f:
+            f.write("".join(x + "\n" for x in asked))
+        return np.array([[-float(len(x))] for x in asked], np.float32)
+
+    told, _ = embed.embed_cached(texts, held, provider, "m")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_key") == 1 and "SortMergeJoin" not in plan
+    got = {r.id: r.vec for r in told.collect()}
+    known = {f"text {i}": [float(i)] for i in range(0, 300, 2)} | {"often and known": [7.0]}
+    assert got == {i: None if x is None else known.get(x, [-float(len(x))]) for i, x in rows} and told.columns == ["id", "text", "vec"]
+    with open(log) as f:
+        assert sorted(f.read().split("\n")[:-1]) == sorted({x for _, x in rows if x and x not in known})
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "x", 1), (1, "y", 2)], "query_id long, note_path string, rank long")
     gold = spark.createDataFrame([(0, "a"), (0, "b"), (1, "y"), (1, "z"), (2, "q")], "query_id long, note_path string")
